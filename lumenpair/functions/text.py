@@ -70,7 +70,7 @@ def _valid_or_all(cleaned: Column) -> Column:
     return let(
         F.filter(cleaned, lambda s: s != ""),
         lambda kept: let(
-            F.filter(kept, is_valid_sentence),
+            F.filter(kept, lambda s: is_valid_sentence(s)),
             lambda valid: F.when(F.size(valid) > 0, valid).otherwise(kept),
         ),
     )
@@ -79,13 +79,13 @@ def _valid_or_all(cleaned: Column) -> Column:
 def split_sentences(col: Column) -> Column:
     """Sentences of a caption string; an empty array for null or blank text."""
     parts = F.split(F.coalesce(col, F.lit("")), SENTENCE_BOUNDARY)
-    return _valid_or_all(F.transform(parts, clean_sentence))
+    return _valid_or_all(F.transform(parts, lambda s: clean_sentence(s)))
 
 
 def clean_sentence_list(col: Column) -> Column:
     """As `split_sentences` for captions that are already a list: cleaned, not split."""
     empty = F.array().cast("array<string>")
-    return _valid_or_all(F.transform(F.coalesce(col, empty), clean_sentence))
+    return _valid_or_all(F.transform(F.coalesce(col, empty), lambda s: clean_sentence(s)))
 
 
 def clean_text(col: Column, max_words: int | None = None) -> Column:

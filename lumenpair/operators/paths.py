@@ -19,42 +19,42 @@ def resolve_paths(
     base in turn, then `base/last part` for each base in turn. `listing` has a
     `path` column. Each distinct reference is resolved once.
     """
-    ref = F.col("__ref")
+    ref = F.col("__lookup_ref")
     full = [F.concat(F.lit(b.rstrip("/") + "/"), ref) for b in base_dirs]
     last = [F.concat(F.lit(b.rstrip("/") + "/"), basename(ref)) for b in base_dirs]
     absolute = ref.startswith("/")
     # An absolute reference replaces the base when the two are joined.
     ordered = F.when(absolute, F.concat(F.array(ref), F.array(*last) if last else F.array().cast("array<string>")))
     ordered = ordered.otherwise(F.array(*full, *last)) if full else ordered.otherwise(F.array().cast("array<string>"))
-    refs = df.select(F.col(value).alias("__ref")).where(F.col(value).isNotNull()).distinct()
-    tried = refs.select("__ref", F.posexplode(ordered).alias("__priority", "path"))
+    refs = df.select(F.col(value).alias("__lookup_ref")).where(F.col(value).isNotNull()).distinct()
+    tried = refs.select("__lookup_ref", F.posexplode(ordered).alias("__priority", "path"))
     found = (
         tried.join(listing.select("path").distinct(), "path")
-        .groupBy("__ref")
+        .groupBy("__lookup_ref")
         .agg(F.min_by("path", "__priority").alias(name))
     )
     kept = df.drop(name) if name in df.columns else df
-    return kept.join(found, kept[value] == found["__ref"], "left").drop("__ref")
+    return kept.join(found, kept[value] == found["__lookup_ref"], "left").drop("__lookup_ref")
 
 
 def has_image(df: DataFrame, value: str, roots: Sequence[str], listing: DataFrame, prefix: str | None = None) -> DataFrame:
     """Add `image_ok`: whether any candidate name of the reference exists under any root."""
-    refs = df.select(F.col(value).alias("__ref")).where(F.col(value).isNotNull()).distinct()
-    tried = refs.select("__ref", F.explode(candidate_names(F.col("__ref"), prefix)).alias("__name"))
+    refs = df.select(F.col(value).alias("__lookup_ref")).where(F.col(value).isNotNull()).distinct()
+    tried = refs.select("__lookup_ref", F.explode(candidate_names(F.col("__lookup_ref"), prefix)).alias("__name"))
     paths = tried.select(
-        "__ref",
+        "__lookup_ref",
         F.explode(F.array(*[F.concat(F.lit(r.rstrip("/") + "/"), F.col("__name")) for r in roots])).alias("path"),
     )
     found = (
         paths.join(listing.select("path").distinct(), "path", "left_semi")
-        .select("__ref")
+        .select("__lookup_ref")
         .distinct()
         .withColumn("__hit", F.lit(True))
     )
     return (
-        df.join(found, df[value] == found["__ref"], "left")
+        df.join(found, df[value] == found["__lookup_ref"], "left")
         .withColumn("image_ok", F.coalesce("__hit", F.lit(False)))
-        .drop("__ref", "__hit")
+        .drop("__lookup_ref", "__hit")
     )
 
 

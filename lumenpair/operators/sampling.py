@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import hkey, let
 from .ordering import dense_index, top_per_group
@@ -130,7 +131,7 @@ def balanced_limit(df: DataFrame, category: str, order: str, limit: int | None)
     if sum(counts.values()) <= limit:
         return df
     quotas = [(k, q) for k, q in balanced_quotas(counts, limit).items() if q > 0]
-    schema = df.select(F.col(category).alias("__category")).schema.add("__quota", "int")
+    schema = df.select(F.col(category).alias("__category")).schema.add("__quota", T.IntegerType())
     table = df.sparkSession.createDataFrame(quotas, schema)
     # One row per category with a quota, so at most `limit` rows.
     side = F.broadcast(table) if limit <= 1_000_000 else table
