@@ -10,11 +10,12 @@ from ..functions.records import IMAGE_EXTENSIONS, has_caption_and_image
 from ..functions.text import (
     TOP_LEVEL_CAPTIONS,
     caption_pool,
-    clean_sentence_list,
+    has_json_sentence,
     json_list,
     json_sentences,
     split_sentences,
     strip,
+    valid_or_given,
 )
 from .sampling import epoch_shuffle, sample_subcaptions
 
@@ -34,9 +35,9 @@ def relabel_succeeded(metadata: Column, text: Column, key: str = SUCCESS_KEY, st
     text member, both trimmed. A list is not compared.
     """
     expected = F.element_at(metadata["captions"], F.lit(key))
-    usable = F.size(json_sentences(expected)) > 0
+    usable = has_json_sentence(expected)
     default = metadata["default_caption_key"]
-    passes = F.coalesce(usable, F.lit(False)) & (default.isNull() | (default == key))
+    passes = usable & (default.isNull() | (default == key))
     if strict:
         same = F.coalesce(strip(text) == strip(expected), F.lit(False))
         passes = passes & (json_list(expected).isNotNull() | same)
@@ -49,14 +50,15 @@ def caption_sentences(
     """Sentences to draw sub-captions from.
 
     With metadata: its caption pool, else its `caption`, else the raw text.
-    Without: the text itself, else the raw text.
+    Without: the text itself, else the raw text. The pool as a whole is
+    filtered once more: a group without any valid sentence gives way to others.
     """
     raw = split_sentences(strip(raw_text) if raw_text is not None else F.lit(""))
     if metadata is None:
         return raw if text is None else F.when(text.isNotNull(), split_sentences(text)).otherwise(raw)
     pool = caption_pool(metadata["captions"], {n: metadata[n] for n in TOP_LEVEL_CAPTIONS}, key)
     fallback = F.when(metadata["caption"].isNotNull(), json_sentences(metadata["caption"])).otherwise(raw)
-    return let(pool, lambda p: F.when(F.size(p) > 0, clean_sentence_list(p)).otherwise(fallback))
+    return let(pool, lambda p: F.when(F.size(p) > 0, valid_or_given(p)).otherwise(fallback))
 
 
 def relabelled_samples(samples: DataFrame, key: str = SUCCESS_KEY, strict: bool = True) -> DataFrame:
@@ -66,9 +68,15 @@ def relabelled_samples(samples: DataFrame, key: str = SUCCESS_KEY, strict: bool
     """
     member = lambda n: F.element_at("members", F.lit(n)).cast("string")
     present = samples.where(has_caption_and_image(F.col("members"), "json"))
-    parsed = present.select("shard", "key", F.from_json(member("json"), METADATA).alias("m"), member("txt").alias("t"))
-    kept = parsed.where(relabel_succeeded(F.col("m"), F.col("t"), key, strict))
-    return kept.select("shard", "key", caption_sentences(F.col("m"), raw_text=F.col("t"), key=key).alias("sentences"))
+    text = member("txt")
+    # Filter and projection share one parse: a sample that fails explodes to nothing.
+    chosen = let(
+        F.from_json(member("json"), METADATA),
+        lambda m: F.when(
+            relabel_succeeded(m, text, key, strict), F.array(caption_sentences(m, raw_text=text, key=key))
+        ),
+    )
+    return present.select("shard", "key", F.explode(chosen).alias("sentences"))
 
 
 def plain_samples(samples: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def _shuffled(items: Column, seed: Column, tag: str) -> Column:
             F.md5(F.concat_ws(":", seed, F.lit(tag), i.cast("string"))).alias("h"), i.alias("i"), x.alias("x")
         ),
     )
-    return F.transform(F.array_sort(keyed), lambda e: e["x"])
+    return F.transform(F.sort_array(keyed), lambda e: e["x"])
 
 
 def word_order_negatives(caption: Column, seed: Column, max_words: int | None = 30) -> Column:

@@ -25,7 +25,7 @@ def _without_replacement(m: Column, count: Column, draw) -> Column:
 
     def add(chosen: Column, j: Column) -> Column:
         start = F.pmod(draw(j), m - j)
-        index = F.aggregate(F.array_sort(chosen), start, lambda x, c: x + F.when(x >= c, 1).otherwise(0))
+        index = F.aggregate(F.sort_array(chosen), start, lambda x, c: x + F.when(x >= c, 1).otherwise(0))
         return F.concat(chosen, F.array(index))
 
     return F.aggregate(F.sequence(F.lit(0), count - 1), F.array().cast("array<bigint>"), add)

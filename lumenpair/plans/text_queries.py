@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions import text as X
-from ..functions.expressions import first_alias
+from ..functions.expressions import first_alias, let
 from ..operators import curation as C
 from ..operators import sampling as P
 from ..operators.negatives import word_order_negatives
+from ..session import spread
 from . import sqltext as q
 from .registry import Tables, query
 
 
+def texts(t: Tables) -> DataFrame:
+    """Documents, spread over the cores."""
+    return spread(t.documents.select("doc_id", "text", "lang", "source"), "doc_id")
+
+
 def joined(col):
     """A list as one string, so that results hold scalars only."""
     return F.array_join(col, "|")
@@ -41,7 +47,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def _metadata(t: Tables) -> DataFrame:
-    """Documents as shard metadata. By turns the success caption is the text itself, a list,
+    """Documents with their shard metadata as JSON. By turns the success caption is the text itself, a list,
     other than the text, or missing; the default key varies as well."""
     k, text = F.col("doc_id") % 4, F.col("text")
     long_sv = (
@@ -58,9 +64,7 @@ def _metadata(t: Tables) -> DataFrame:
             F.when(F.col("doc_id") % 5 == 0, text).alias("shortIB_captions"),
         )
     )
-    return t.documents.select("doc_id", text, F.from_json(doc, C.METADATA).alias("m"))
-
-
+    return texts(t).select("doc_id", text, doc.alias("json"))
 
 
 @query(
@@ -68,7 +72,10 @@ def _metadata(t: Tables) -> DataFrame:
     f"""SELECT s.doc_id FROM {DOC_SENTENCES} s WHERE (s.doc_id % 4 = 1 OR (s.doc_id % 4 = 0 AND len(s.sentences) > 0)) AND s.doc_id % 3 <> 1""",
 )
 def _(t: Tables) -> DataFrame:
-    return _metadata(t).where(C.relabel_succeeded(F.col("m"), F.col("text"))).select("doc_id")
+    passed = let(
+        F.from_json("json", C.METADATA), lambda m: F.when(C.relabel_succeeded(m, F.col("text")), F.array(F.lit(True)))
+    )
+    return _metadata(t).select("doc_id", F.explode(passed)).select("doc_id")
 
 
 @query(
@@ -87,7 +94,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("f4_clean_sentence", f"SELECT doc_id, {q.clean_sentence('text')} AS cleaned FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.clean_sentence(F.col("text")).alias("cleaned"))
+    return texts(t).select("doc_id", X.clean_sentence(F.col("text")).alias("cleaned"))
 
 
 @query(
@@ -96,7 +103,7 @@ def _(t: Tables) -> DataFrame:
         SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) GROUP BY doc_id""",
 )
 def _(t: Tables) -> DataFrame:
-    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("p"))
+    lines = texts(t).select("doc_id", F.explode(F.split("text", "\n")).alias("p"))
     return lines.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("parts"), F.count_if(X.is_valid_sentence(F.col("p"))).alias("valid")
     )
@@ -107,7 +114,7 @@ def _(t: Tables) -> DataFrame:
     f"SELECT doc_id, len(sentences)::int AS n, md5(array_to_string(sentences, '|')) AS joined FROM {DOC_SENTENCES}",
 )
 def split_documents(t: Tables) -> DataFrame:
-    s = t.documents.select("doc_id", X.split_sentences(F.col("text")).alias("s"))
+    s = texts(t).select("doc_id", X.split_sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").alias("n"), F.md5(joined("s")).alias("joined"))
 
 
@@ -126,7 +133,7 @@ def _(t: Tables) -> DataFrame:
     role = F.upper("role")
     captions = F.create_map(F.lit("longSV"), F.col("text"), F.lit("raw"), role)
     pool = X.caption_pool(captions, {"raw_caption": role})
-    rows = t.conversations.select("conv_id", "turn", pool.alias("p"))
+    rows = spread(t.conversations, "conv_id", "turn").select("conv_id", "turn", pool.alias("p"))
     return rows.select("conv_id", "turn", F.size("p").alias("n"), F.md5(joined("p")).alias("joined"))
 
 
@@ -146,7 +153,7 @@ def _(t: Tables) -> DataFrame:
             F.when(k == 1, F.concat("source", F.lit(" "), text)).alias("caption"),
         )
     )
-    rows = t.documents.select("doc_id", text, F.from_json(doc, C.METADATA).alias("m"))
+    rows = texts(t).select("doc_id", text, F.from_json(doc, C.METADATA).alias("m"))
     s = rows.select("doc_id", C.caption_sentences(F.col("m"), raw_text=F.col("text")).alias("s"))
     origin = F.when(k == 0, "pool").when(k == 1, "caption").otherwise("raw")
     return s.select("doc_id", origin.alias("origin"), F.md5(joined("s")).alias("joined"))
@@ -158,7 +165,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     text = F.col("text")
-    return t.documents.select("doc_id", F.md5(X.clean_text(text)).alias("cleaned"), X.clean_text(text, 12).alias("capped"))
+    return texts(t).select("doc_id", F.md5(X.clean_text(text)).alias("cleaned"), X.clean_text(text, 12).alias("capped"))
 
 
 @query(
@@ -301,7 +308,7 @@ def order_negatives_sql(select: str, base: str) -> str:
 )
 def _(t: Tables) -> DataFrame:
     caption = X.clean_text(F.col("text"))
-    rows = t.documents.select("doc_id", caption.alias("c"))
+    rows = texts(t).select("doc_id", caption.alias("c"))
     made = rows.select("doc_id", F.inline(word_order_negatives(F.col("c"), F.col("doc_id") * 100 + 42, None)))
     return made.select("doc_id", F.col("type").alias("negative_type"), F.md5("text").alias("negative"))
 
@@ -333,7 +340,7 @@ def subcaption_sql(source: str, key: str) -> str:
 
 @query("s1_subcaption_sampling", subcaption_sql(DOC_SENTENCES, "doc_id"))
 def _(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", X.split_sentences(F.col("text")).alias("s"))
+    rows = texts(t).select("doc_id", X.split_sentences(F.col("text")).alias("s"))
     drawn = P.sample_subcaptions(rows, "doc_id", "s", k=4, max_merged=3)
     return drawn.select("doc_id", "draw", F.md5("subcaption").alias("subcaption"))
 

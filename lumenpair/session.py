@@ -70,3 +70,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan over the cores by its unique `keys` when it has fewer partitions than cores.
+
+    For costly row-wise work on few files or row groups, which cannot be split
+    further. A scan with enough partitions is returned as it is, unshuffled.
+    Meant for plain scans: their partition count is known without a job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)

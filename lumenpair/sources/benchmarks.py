@@ -109,8 +109,12 @@ def _pairwise(
     metadata: Column,
     dirs: Sequence[str],
     listing: DataFrame | None,
+    once: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Finish rows that have __id, __ref, __pos, __neg, category, subcategory, sample_id and so on."""
+    """Finish rows that have __id, __ref, __pos, __neg, category, subcategory, sample_id and so on.
+
+    `once` picks the row that reports a record several rows stem from.
+    """
     resolved = _resolve(rows.withColumn("metadata", metadata), "__ref", dirs, listing, "image_path")
     absent = F.col("__ref").isNull() | F.col("__pos").isNull() | F.col("__neg").isNull()
     good, bad = quarantine(
@@ -134,7 +138,7 @@ def _pairwise(
         F.array(F.lit("hard_negative")).alias("negative_types"),
         "metadata",
     )
-    return samples, skip_rows(bad, benchmark, "__id")
+    return samples, skip_rows(bad if once is None else bad.where(once), benchmark, "__id")
 
 
 def load_attribution(
@@ -294,7 +298,8 @@ def load_sugarcrepe_pp(
             ),
         )
     )
-    return _pairwise(rows, "sugarcrepe_pp", F.col("__meta"), dirs, listing)
+    first_variant = F.col("__v.variant") == "caption"
+    return _pairwise(rows, "sugarcrepe_pp", F.col("__meta"), dirs, listing, first_variant)
 
 
 def image_bytes(df: DataFrame, column: str) -> Column:
