@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,19 +32,19 @@ TOP_LEVEL_CAPTIONS = (
 # ranges, which Java matches several times faster than the property class.
 SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{SPACE_CLASS}]+"
-EDGE_SPACE = f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$"
-EDGE_QUOTES = "^[ \\t\\r\\n\"'`]+|[ \\t\\r\\n\"'`]+$"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+QUOTES_AND_SPACES = " \t\r\n\"'`"
 
 
 def strip(col: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(col, EDGE_SPACE, "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def clean_sentence(col: Column) -> Column:
     """NUL to space, white space collapsed, spaces and quotes stripped at both ends."""
     spaced = F.regexp_replace(F.replace(F.coalesce(col, F.lit("")), F.lit("\x00"), F.lit(" ")), SPACE, " ")
-    return F.regexp_replace(spaced, EDGE_QUOTES, "")
+    return F.btrim(spaced, F.lit(QUOTES_AND_SPACES))
 
 
 def _at_least(pattern: str, other: str, n: int) -> str:
@@ -119,7 +120,14 @@ def first_non_blank(df: DataFrame, columns: Sequence[str]) -> Column:
     found = existing(df, columns)
     if not found:
         raise ValueError(f"None of the caption columns were found: {list(columns)}")
-    return F.coalesce(*[F.nullif(strip(F.col(c).cast("string")), F.lit("")) for c in found], F.lit(""))
+    trimmed = [let(strip(F.col(c).cast("string")), lambda v: F.when(v != "", v)) for c in found]
+    return F.coalesce(*trimmed, F.lit(""))
+
+
+def any_non_blank(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Whether `first_non_blank` finds a value; looks no further than the first character that counts."""
+    hits = [F.coalesce(F.col(c).cast("string").rlike(f"[^{SPACE_CLASS}]"), F.lit(False)) for c in existing(df, columns)]
+    return reduce(lambda a, b: a | b, hits, F.lit(False))
 
 
 def caption_text(raw: Column, tokens: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_non_blank, strip
+from ..functions.text import any_non_blank, first_non_blank, strip
 
 # Order in which caption columns are tried.
 CAPTION_COLUMNS = (
@@ -44,11 +44,12 @@ def build_caption_table(
     """
     if key not in rows.columns:
         raise ValueError(f"Caption relabel key column not found: {key}")
-    usable = rows.select(
+    # The filter has a cheap form of its own, so the caption is trimmed once.
+    usable = rows.where(any_non_blank(rows, columns)).select(
         strip(F.col(f"`{key}`").cast("string")).alias("lookup_key"),
         first_non_blank(rows, columns).alias("caption"),
         F.col(order).alias("__order"),
-    ).where((F.col("lookup_key") != "") & (F.col("caption") != ""))
+    ).where(F.col("lookup_key") != "")
     return usable.groupBy("lookup_key").agg(F.max_by("caption", "__order").alias("caption"))
 
 

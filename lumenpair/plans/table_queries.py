@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import has_caption_and_image
+from ..functions import text as X
 from ..operators import duplicates as U
 from ..operators import quality as Q
 from ..operators import relabel as L
@@ -152,7 +153,7 @@ def _(t: Tables) -> DataFrame:
     conv = F.col("conv_id")
     name = F.concat(F.lpad((conv * 7919 % 1000).cast("string"), 4, "0"), F.lit("-"), conv.cast("string"), F.lit(".jpg"))
     images = t.conversations.select(conv.alias("id"), name.alias("file_name")).distinct()
-    notes = t.conversations.select(F.col("turn").alias("pos"), conv.alias("id"), F.trim("text").alias("caption"))
+    notes = t.conversations.select(F.col("turn").alias("pos"), conv.alias("id"), X.strip(F.col("text")).alias("caption"))
     placed, captions = join_annotations(images, notes, "/coco")
     return captions.join(placed, "image_idx").select("image_idx", "text_idx", "image_path", F.md5("caption").alias("caption"))
 
