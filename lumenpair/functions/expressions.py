@@ -15,13 +15,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def hkey(*parts: Column | str | int) -> Column:
-    """Deterministic 32-bit draw: first 8 hex digits of md5 over the parts joined by ':'.
+    """Deterministic 60-bit draw: first 15 hex digits of md5 over the parts joined by ':'.
 
     Strings are taken as literals, columns are cast to string. Equal parts give
-    equal draws on every run, whatever the partitioning.
+    equal draws on every run, whatever the partitioning. The range is wide
+    enough to index any table by remainder without a visible bias.
     """
     cols = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 15), 16, 10).cast("bigint")
+
+
+DRAW_RANGE = 2.0**60
 
 
 def existing(df: DataFrame, names: Sequence[str]) -> list[str]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, cosine, dot, l2_normalize, norm
+from .ordering import one_row
 
 # Fixed value: added inside the logarithm and used as a floor.
 EPS = 1e-12
@@ -30,18 +31,19 @@ def feature_stats(df: DataFrame, feature: str = "feature") -> DataFrame:
         .agg(F.avg("__x").alias("__m"), F.var_pop("__x").alias("__v"))
         .agg(F.avg(F.abs("__m")).alias("feature_mean_abs"), F.avg("__v").alias("feature_variance_mean"))
     )
-    return norms.join(F.broadcast(dims))  # one row each
+    return one_row(norms, dims)
 
 
 def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(pos, value): row count, sums and second moments of the concatenated columns.
+    """(pos, value, width): row count, sums and second moments of the concatenated columns,
+    and the width of the first one.
 
     Each task adds up its batches and emits one set of (p + 1)^2 numbers for
     z = [1, x, y]; Spark sums them by position.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, width = None, 0
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -49,17 +51,22 @@ def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
             parts = [np.ones((n, 1))]
             for name in columns:
                 parts.append(batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1))
-            z = np.hstack(parts)
+            z, width = np.hstack(parts), parts[1].shape[1]
             if z.shape[1] > MAX_DIM + 1:
                 raise ValueError(f"features wider than {MAX_DIM} in total")
             total = z.T @ z if total is None else total + z.T @ z
         if total is not None:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel(), pa.float64())], ["pos", "value"]
+                [
+                    pa.array(np.arange(total.size), pa.int32()),
+                    pa.array(total.ravel(), pa.float64()),
+                    pa.array(np.full(total.size, width), pa.int32()),
+                ],
+                ["pos", "value", "width"],
             )
 
-    parts = df.select(*columns).mapInArrow(partial, "pos int, value double")
-    return parts.groupBy("pos").agg(F.sum("value").alias("value"))
+    parts = df.select(*columns).mapInArrow(partial, "pos int, value double, width int")
+    return parts.groupBy("pos").agg(F.sum("value").alias("value"), F.max("width").alias("width"))
 
 
 def _centered(pdf: pd.DataFrame) -> tuple[float, np.ndarray]:
@@ -98,14 +105,13 @@ def spectrum(df: DataFrame, feature: str = "feature") -> DataFrame:
 def redundancy(views: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """One row for two views of the same rows: mean |cosine|, Frobenius norm of the
     cross-covariance (n - 1) and linear CKA."""
-    dims = F.max(F.size(x)).alias("dx"), F.max(F.size(y)).alias("dy")
-    cosines = views.select(x, y, F.when(F.size(x) == F.size(y), F.abs(cosine(F.col(x), F.col(y)))).alias("__c")).agg(
-        F.avg("__c").alias("cosine_abs_mean"), *dims
+    cosines = views.select(F.when(F.size(x) == F.size(y), F.abs(cosine(F.col(x), F.col(y)))).alias("__c")).agg(
+        F.avg("__c").alias("cosine_abs_mean")
     )
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         n, c = _centered(pdf)
-        d = int(pdf["dx"].iloc[0])
+        d = int(pdf["width"].iloc[0])
         if n < 2:
             return pd.DataFrame({"n": [int(n)], "cross_cov_fro": [None], "linear_cka": [None]})
         cross = c[:d, d:]
@@ -118,10 +124,9 @@ def redundancy(views: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
             }
         )
 
-    # Moments of [x, y] come with the width of x, needed to cut the blocks apart.
-    moments = _moments(views, [x, y]).join(F.broadcast(cosines.select("dx")))
+    moments = _moments(views, [x, y])
     solved = moments.groupBy(F.lit("all")).applyInPandas(finish, "n bigint, cross_cov_fro double, linear_cka double")
-    return solved.join(F.broadcast(cosines.select("cosine_abs_mean")))  # one row each
+    return one_row(solved, cosines)
 
 
 def value_stats(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
@@ -154,7 +159,7 @@ def logit_means(pairs: DataFrame, image: str = "image", text: str = "text", scal
         .agg(F.sum(F.col("si") * F.col("st")).alias("every"))
     )
     n = F.col("n")
-    return diagonal.join(F.broadcast(sums)).select(  # one row each
+    return one_row(diagonal, sums).select(
         "n",
         (F.lit(scale) * F.col("own") / n).alias("logits_pos_mean"),
         F.when(n > 1, F.lit(scale) * (F.col("every") - F.col("own")) / (n * n - n)).alias("logits_neg_mean"),

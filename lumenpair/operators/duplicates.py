@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import work_partitions
 from ..sources.files import open_input
 
 # Suffixes counted as raw archives.
@@ -112,7 +113,8 @@ def file_digests(listing: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": pdf["path"], "sha256": out})
 
     # Few rows, much work per row: spread by path before opening anything.
-    hashed = wanted.repartition("path").mapInPandas(digest, "path string, sha256 string")
+    tasks = work_partitions(listing.sparkSession)
+    hashed = wanted.repartition(tasks, "path").mapInPandas(digest, "path string, sha256 string")
     return listing.join(hashed, "path", "left")
 
 

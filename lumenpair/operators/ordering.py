@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,4 +145,10 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-__all__ = ["ACCURACY", "FILE_ORDER", "attach", "dense_index", "exact_median", "file_order", "top_per_group"]
+def one_row(*frames: DataFrame) -> DataFrame:
+    """The columns of several one-row results in one row."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
+__all__ = ["ACCURACY", "FILE_ORDER", "attach", "dense_index", "exact_median", "file_order", "one_row", "top_per_group"]

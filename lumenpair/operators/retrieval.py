@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, l2_normalize
 from .ordering import exact_median, top_per_group
 
-# Rows of each side per tile; a task holds two blocks of vectors and one strip of scores.
-TILE_ROWS = 8192
-STRIP_ROWS = 1024
+# Rows of each side per tile, at most and at least; a task holds two blocks of vectors and
+# one strip of scores.
+MAX_TILE_ROWS, MIN_TILE_ROWS = 32768, 1024
+STRIP_ROWS = 512
+MAX_TILE_TASKS = 100_000
 # Scores closer than this count as equal: block and row kernels sum in different orders.
 TIE = 1e-9
 TOP_DIGITS = 12
@@ -41,26 +43,36 @@ def _column(table: pa.Table, column: str) -> np.ndarray:
     return table.column(column).to_numpy()
 
 
+def choose_tile(n_left: int, n_right: int, cores: int) -> int:
+    """Rows per tile side: large, to repeat few rows, yet small enough to occupy all cores."""
+    return int(min(MAX_TILE_ROWS, max(MIN_TILE_ROWS, math.sqrt(n_left * n_right / (2 * cores)))))
+
+
 def tiles(
     left: DataFrame,
     right: DataFrame,
+    sizes: tuple[int, int],
     kernel: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
-    left_id: str,
-    right_id: str,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
 ) -> DataFrame:
-    """Run `kernel` on every (left block, right block) tile.
+    """Run `kernel` on every (left block, right block) tile of image_id and text_id rows.
 
     Rows go to blocks by a hash of their unique id, so blocks are even whatever
     the data look like; each side is shuffled once per block of the other.
+    `sizes` are the row counts (upper bounds will do).
     """
-    left_blocks = max(1, math.ceil(left.count() / tile_rows))
-    right_blocks = max(1, math.ceil(right.count() / tile_rows))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    spark = left.sparkSession
+    tile_rows = tile_rows or choose_tile(*sizes, spark.sparkContext.defaultParallelism)
+    left_blocks, right_blocks = (max(1, math.ceil(n / tile_rows)) for n in sizes)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    a = left.withColumn("__lb", block(left_id, left_blocks)).withColumn("__rb", spread(right_blocks))
-    b = right.withColumn("__rb", block(right_id, right_blocks)).withColumn("__lb", spread(left_blocks))
+    a = left.withColumn("__lb", block("image_id", left_blocks)).withColumn("__rb", every(right_blocks))
+    b = right.withColumn("__rb", block("text_id", right_blocks)).withColumn("__lb", every(left_blocks))
+    # A named number keeps one tile per task: work grows faster than the bytes that
+    # adaptive coalescing looks at.
+    tasks = min(left_blocks * right_blocks, MAX_TILE_TASKS)
+    a, b = (side.repartition(tasks, "__lb", "__rb") for side in (a, b))
 
     def run(_key, l: pa.Table, r: pa.Table) -> pa.Table:
         return kernel(l, r)
@@ -77,7 +89,7 @@ def _strips(l: pa.Table, r: pa.Table):
         yield slice(start, start + STRIP_ROWS), a[start : start + STRIP_ROWS] @ b
 
 
-def similarity_summary(images: DataFrame, captions: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+def similarity_summary(images: DataFrame, captions: DataFrame, tile_rows: int | None = None) -> DataFrame:
     """Per image over all captions: number scored, best and worst score, mean score."""
 
     def kernel(l: pa.Table, r: pa.Table) -> pa.Table:
@@ -97,10 +109,9 @@ def similarity_summary(images: DataFrame, captions: DataFrame, tile_rows: int =
     parts = tiles(
         normalized(images.select("image_id", "feature")),
         normalized(captions.select("text_id", "feature")),
+        (images.count(), captions.count()),
         kernel,
         "image_id bigint, n bigint, hi double, lo double, total double",
-        "image_id",
-        "text_id",
         tile_rows,
     )
     return parts.groupBy("image_id").agg(
@@ -111,7 +122,7 @@ def similarity_summary(images: DataFrame, captions: DataFrame, tile_rows: int =
     )
 
 
-def _rank_counts(left: DataFrame, right: DataFrame, tile_rows: int) -> DataFrame:
+def _rank_counts(left: DataFrame, right: DataFrame, sizes: tuple[int, int], tile_rows: int | None) -> DataFrame:
     """(side, id, above): how many scores of the row (side 'i') or column (side 't') exceed its threshold.
 
     `left` is (image_id, threshold, feature), `right` is (text_id, threshold,
@@ -137,13 +148,13 @@ def _rank_counts(left: DataFrame, right: DataFrame, tile_rows: int) -> DataFrame
             above_t += hit_t.sum(axis=0)
         return pa.table(
             {
-                "side": pa.array(["i"] * len(iid) + ["t"] * len(tid), pa.string()),
+                "side": pa.array(np.repeat(["i", "t"], [len(iid), len(tid)]), pa.string()),
                 "id": pa.array(np.concatenate([iid, tid]), pa.int64()),
                 "above": pa.array(np.concatenate([above_i, above_t]), pa.int64()),
             }
         )
 
-    parts = tiles(left, right, kernel, "side string, id bigint, above bigint", "image_id", "text_id", tile_rows)
+    parts = tiles(left, right, sizes, kernel, "side string, id bigint, above bigint", tile_rows)
     return parts.groupBy("side", "id").agg(F.sum("above").alias("above"))
 
 
@@ -155,7 +166,7 @@ def positive_scores(images: DataFrame, captions: DataFrame) -> DataFrame:
     )
 
 
-def retrieval_ranks(images: DataFrame, captions: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+def retrieval_ranks(images: DataFrame, captions: DataFrame, tile_rows: int | None = None) -> DataFrame:
     """(side, id, rank) in both directions, 1 + number of strictly greater scores.
 
     Side 'i' ranks the best caption of an image, side 't' the image of a
@@ -167,14 +178,15 @@ def retrieval_ranks(images: DataFrame, captions: DataFrame, tile_rows: int = TIL
     best = own.groupBy("image_id").agg(F.max("score").alias("threshold"))
     left = unit_images.select("image_id", "feature").join(best, "image_id")
     right = unit_captions.select("text_id", "feature").join(own.select("text_id", F.col("score").alias("threshold")), "text_id")
-    return _rank_counts(left, right, tile_rows).select("side", "id", (F.col("above") + 1).alias("rank"))
+    sizes = (images.count(), captions.count())
+    return _rank_counts(left, right, sizes, tile_rows).select("side", "id", (F.col("above") + 1).alias("rank"))
 
 
 def images_without_caption(images: DataFrame, captions: DataFrame) -> DataFrame:
     return images.join(captions.select("image_id"), "image_id", "left_anti")
 
 
-def paired_ranks(pairs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+def paired_ranks(pairs: DataFrame, tile_rows: int | None = None) -> DataFrame:
     """(side, id, rank) for pairs (pair_id, image, text): the partner's place in the
     ordering by score descending, then id ascending."""
     unit = pairs.select("pair_id", l2_normalize(F.col("image")).alias("image"), l2_normalize(F.col("text")).alias("text"))
@@ -185,7 +197,8 @@ def paired_ranks(pairs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     right = scored.select(
         F.col("pair_id").alias("text_id"), "threshold", F.col("pair_id").alias("tie_id"), F.col("text").alias("feature")
     )
-    return _rank_counts(left, right, tile_rows).select("side", "id", (F.col("above") + 1).alias("rank"))
+    n = pairs.count()
+    return _rank_counts(left, right, (n, n), tile_rows).select("side", "id", (F.col("above") + 1).alias("rank"))
 
 
 def recall_metrics(ranks: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -211,46 +224,50 @@ def flat_metrics(metrics: DataFrame) -> DataFrame:
     )
 
 
-def top_pairs(images: DataFrame, captions: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+def top_pairs(images: DataFrame, captions: DataFrame, k: int, tile_rows: int | None = None) -> DataFrame:
     """(side, image_id, text_id, sim, rn): k best captions per image (side 'i') and
     k best images per caption (side 't'); equal scores (12 digits) go by id."""
 
+    def first_k(ids: np.ndarray, others: np.ndarray, sims: np.ndarray):
+        """Entries cut to the k best of each id."""
+        order = np.lexsort((others, -sims, ids))
+        ids, others, sims = ids[order], others[order], sims[order]
+        keep = np.arange(len(ids)) - np.searchsorted(ids, ids, side="left") < k
+        return ids[keep], others[keep], sims[keep]
+
     def best(sims: np.ndarray, ids: np.ndarray, others: np.ndarray):
         """Top k of each row of `sims`, in parallel arrays (id, other, sim)."""
         width = min(k, sims.shape[1])
-        floor = -np.partition(-sims, width - 1, axis=1)[:, width - 1]
-        row, col = np.nonzero(sims >= floor[:, None])
-        order = np.lexsort((others[col], -sims[row, col], row))
-        row, col = row[order], col[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-        keep = place < width
-        return ids[row[keep]], others[col[keep]], sims[row[keep], col[keep]]
+        least = np.partition(sims, sims.shape[1] - width, axis=1)[:, sims.shape[1] - width]
+        row, col = np.nonzero(sims >= least[:, None])
+        return first_k(ids[row], others[col], sims[row, col])
 
     def kernel(l: pa.Table, r: pa.Table) -> pa.Table:
         iid, tid = _column(l, "image_id"), _column(r, "text_id")
-        found = []
+        rows_of_i, of_t = [], None
         for rows, raw in _strips(l, r):
             sims = np.round(raw, TOP_DIGITS)
-            i, t, s = best(sims, iid[rows], tid)
-            found.append(("i", i, t, s))
-            t, i, s = best(sims.T, tid, iid[rows])
-            found.append(("t", i, t, s))
+            rows_of_i.append(best(sims, iid[rows], tid))
+            t = best(sims.T, tid, iid[rows])
+            # Texts keep only their k best of all strips so far.
+            of_t = t if of_t is None else first_k(*(np.concatenate(c) for c in zip(of_t, t)))
+        of_i = [np.concatenate(c) for c in zip(*rows_of_i)] if rows_of_i else [np.empty(0)] * 3
+        of_t = of_t or [np.empty(0)] * 3
         return pa.table(
             {
-                "side": pa.array([side for side, i, _, _ in found for _ in range(len(i))], pa.string()),
-                "image_id": pa.array(np.concatenate([f[1] for f in found]) if found else [], pa.int64()),
-                "text_id": pa.array(np.concatenate([f[2] for f in found]) if found else [], pa.int64()),
-                "sim": pa.array(np.concatenate([f[3] for f in found]) if found else [], pa.float64()),
+                "side": pa.array(np.repeat(["i", "t"], [len(of_i[0]), len(of_t[0])]), pa.string()),
+                "image_id": pa.array(np.concatenate([of_i[0], of_t[1]]).astype(np.int64)),
+                "text_id": pa.array(np.concatenate([of_i[1], of_t[0]]).astype(np.int64)),
+                "sim": pa.array(np.concatenate([of_i[2], of_t[2]]).astype(float)),
             }
         )
 
     parts = tiles(
         normalized(images.select("image_id", "feature")),
         normalized(captions.select("text_id", "feature")),
+        (images.count(), captions.count()),
         kernel,
         "side string, image_id bigint, text_id bigint, sim double",
-        "image_id",
-        "text_id",
         tile_rows,
     )
     own = F.when(F.col("side") == "i", F.col("image_id")).otherwise(F.col("text_id"))
@@ -261,7 +278,7 @@ def top_pairs(images: DataFrame, captions: DataFrame, k: int, tile_rows: int = T
     ).drop("__own", "__other")
 
 
-def candidate_pairs(images: DataFrame, captions: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+def candidate_pairs(images: DataFrame, captions: DataFrame, k: int, tile_rows: int | None = None) -> DataFrame:
     """Distinct (image_id, text_id, sim): top k of both directions, k held within both sizes."""
     k = max(1, min(int(k), images.count(), captions.count()))
     found = top_pairs(images, captions, k, tile_rows)
@@ -281,7 +298,7 @@ def rerank_ranks(
     captions: DataFrame,
     k: int,
     exact: Callable[[DataFrame], DataFrame],
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
 ) -> DataFrame:
     """(side, id, rank) after the top-k candidates got exact scores.
 
@@ -309,7 +326,7 @@ def rerank_ranks(
     best = own.groupBy("image_id").agg(F.max("score").alias("threshold"))
     left = unit_images.select("image_id", "feature").join(best, "image_id")
     right = unit_captions.select("text_id", "feature").join(own.select("text_id", F.col("score").alias("threshold")), "text_id")
-    coarse = _rank_counts(left, right, tile_rows)
+    coarse = _rank_counts(left, right, (images.count(), captions.count()), tile_rows)
 
     def shift(ids: str, thresholds: DataFrame, side: str) -> DataFrame:
         over = lambda c: (F.col(c) > F.col("threshold") + TIE).cast("int")

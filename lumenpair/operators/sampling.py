@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import hkey, let
+from ..functions.expressions import DRAW_RANGE, hkey, let
 from .ordering import dense_index, top_per_group
 
 # Fixed value: joins the sentences of one sub-caption.
@@ -203,7 +203,7 @@ def weighted_draws(
     """
     total = math.fsum(weights)
     cumulative = [math.fsum(weights[: i + 1]) / total for i in range(len(weights) - 1)]
-    u = hkey(seed, epoch, F.col(key)) / F.lit(2.0**32)
+    u = hkey(seed, epoch, F.col(key)) / F.lit(DRAW_RANGE)
     index = F.lit(0)
     for bound in cumulative:
         index = index + F.when(u >= bound, 1).otherwise(0)
@@ -213,7 +213,7 @@ def weighted_draws(
 def resample_rows(df: DataFrame, key: str, weight: Column, seed: int = 0, epoch: int = 0) -> DataFrame:
     """Repeat each row floor(weight) times, once more with probability frac(weight)."""
     fraction = weight - F.floor(weight)
-    extra = F.when(hkey(seed, epoch, F.col(key)) / F.lit(2.0**32) < fraction, 1).otherwise(0)
+    extra = F.when(hkey(seed, epoch, F.col(key)) / F.lit(DRAW_RANGE) < fraction, 1).otherwise(0)
     return (
         df.withColumn("__n", (F.floor(weight) + extra).cast("int"))
         .where(F.col("__n") > 0)

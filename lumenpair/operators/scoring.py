@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.records import quarantine
 from ..functions.vectors import dot, l2_normalize, score_block
+from ..session import work_partitions
 
 # Fixed value: keeps the sensitivity ratio finite.
 SSR_EPSILON = 1e-6
@@ -29,52 +30,48 @@ def image_key(path: Column, crop: Column | None = None) -> Column:
     return F.concat(path, F.coalesce(F.concat(F.lit("#"), F.to_json(crop)), F.lit("")))
 
 
-def join_features(specs: DataFrame, images: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bring image, positive, negative and random-negative features to each pair.
+def score_specs(
+    specs: DataFrame, images: DataFrame, texts: DataFrame, keys: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Add score_pos, score_neg and score_random_neg to pairs; returns (scored, skipped).
 
     `specs` has image_key, positive_caption, negative_caption and
-    random_negative_caption; `images` is (image_key, feature), `texts` is
-    (caption, feature), both unique. Pairs lacking the image, positive or
-    negative feature go to the second result with a reason; a missing random
-    feature is left null.
+    random_negative_caption and is unique on `keys`; `images` is (image_key,
+    feature), `texts` is (caption, feature), both unique. All three may have a
+    model_name, so that several models are scored in one job. Pairs lacking the
+    image, positive or negative feature are skipped with a reason; a missing
+    random feature leaves its score null.
+
+    Features are normalised before the joins, once each. A pair becomes one
+    narrow row per caption, so each side is joined once and a row never
+    carries more than two vectors; the scores are then put side by side.
     """
-
-    def side(table: DataFrame, key: str, on: str, name: str) -> DataFrame:
-        return table.select(F.col(key).alias(on), F.col("feature").alias(name))
-
-    joined = (
-        specs.join(side(images, "image_key", "image_key", "image_feature"), "image_key", "left")
-        .join(side(texts, "caption", "positive_caption", "positive_feature"), "positive_caption", "left")
-        .join(side(texts, "caption", "negative_caption", "negative_feature"), "negative_caption", "left")
-        .join(side(texts, "caption", "random_negative_caption", "random_feature"), "random_negative_caption", "left")
+    by = ["model_name"] if "model_name" in specs.columns else []
+    roles = {"pos": "positive_caption", "neg": "negative_caption", "rand": "random_negative_caption"}
+    asked = F.array(*[F.struct(F.lit(r).alias("__role"), F.col(c).alias("caption")) for r, c in roles.items()])
+    narrow = specs.select(*by, *keys, "image_key", F.inline(asked)).where(F.col("caption").isNotNull())
+    unit = lambda df, key, name: df.select(*by, key, l2_normalize(F.col("feature")).alias(name))
+    scored = (
+        narrow.join(unit(images, "image_key", "__i"), [*by, "image_key"], "left")
+        .join(unit(texts, "caption", "__t"), [*by, "caption"], "left")
+        .select(*by, *keys, "__role", F.col("__i").isNotNull().alias("__image"), dot(F.col("__i"), F.col("__t")).alias("__s"))
+    )
+    at = lambda role: F.max(F.when(F.col("__role") == role, F.col("__s")))
+    beside = scored.groupBy(*by, *keys).agg(
+        F.max("__image").alias("__image"),
+        at("pos").alias("score_pos"),
+        at("neg").alias("score_neg"),
+        at("rand").alias("score_random_neg"),
     )
     good, bad = quarantine(
-        joined,
+        specs.join(beside, [*by, *keys], "left"),
         [
-            (F.col("image_feature").isNull(), "image has no feature"),
-            (F.col("positive_feature").isNull(), "positive caption has no feature"),
-            (F.col("negative_feature").isNull(), "negative caption has no feature"),
+            (~F.coalesce("__image", F.lit(False)), "image has no feature"),
+            (F.col("score_pos").isNull(), "positive caption has no feature"),
+            (F.col("score_neg").isNull(), "negative caption has no feature"),
         ],
     )
-    features = ["image_feature", "positive_feature", "negative_feature", "random_feature"]
-    return good, bad.drop(*features)
-
-
-def score_features(joined: DataFrame, normalized: bool = False) -> DataFrame:
-    """Dot products of unit features as score_pos, score_neg, score_random_neg; features dropped."""
-    unit = (lambda c: F.col(c).cast("array<double>")) if normalized else (lambda c: l2_normalize(F.col(c)))
-    names = ["image_feature", "positive_feature", "negative_feature", "random_feature"]
-    units = joined.withColumns({n: unit(n) for n in names})
-    scored = units.withColumns(
-        {
-            "score_pos": dot(F.col("image_feature"), F.col("positive_feature")),
-            "score_neg": dot(F.col("image_feature"), F.col("negative_feature")),
-            "score_random_neg": F.when(
-                F.col("random_feature").isNotNull(), dot(F.col("image_feature"), F.col("random_feature"))
-            ),
-        }
-    )
-    return scored.drop(*names)
+    return good.drop("__image"), bad.drop("__image", "score_pos", "score_neg", "score_random_neg")
 
 
 def with_margins(scored: DataFrame) -> DataFrame:
@@ -134,7 +131,7 @@ class HashingEncoder:
             for token in text.split():
                 bucket = self._bucket.get(token)
                 if bucket is None:
-                    bucket = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+                    bucket = int(hashlib.md5(token.encode()).hexdigest()[:15], 16) % self.dim
                     if len(self._bucket) < 100_000:
                         self._bucket[token] = bucket
                 out[row, bucket] += 1.0
@@ -175,7 +172,8 @@ def encode(
                 yield pd.DataFrame(rows, columns=[value, "feature", "reason"])
 
     distinct = df.select(value).where(F.col(value).isNotNull()).distinct()
-    encoded = distinct.mapInPandas(run, schema)
+    # Distinct first, so a value held by many rows is shuffled once per task; then even out.
+    encoded = distinct.repartition(work_partitions(df.sparkSession), value).mapInPandas(run, schema)
     return (
         encoded.where(F.col("reason").isNull()).drop("reason"),
         encoded.where(F.col("reason").isNotNull()).select(value, "reason"),

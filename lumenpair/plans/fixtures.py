@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.negatives import explode_negatives, random_negatives
 from ..operators.ordering import dense_index
-from ..operators.scoring import join_features, score_2x2, score_features, with_margins
+from ..operators.scoring import score_2x2, score_specs, with_margins
 from ..session import materialize, scratch_path
 from ..sources.files import resolve
 from .registry import Tables
@@ -61,12 +61,18 @@ def pairs(t: Tables) -> DataFrame:
     )
 
 
+def per_model(features: DataFrame, key: str) -> DataFrame:
+    """(model_name, key, feature): a model sees the leading dimensions of each vector."""
+    views = [F.struct(F.lit(n).alias("model_name"), F.slice("feature", 1, d).alias("feature")) for n, d in MODELS.items()]
+    return features.select(key, F.inline(F.array(*views)))
+
+
 def image_features(t: Tables) -> DataFrame:
-    return images(t).select(F.col("image_id").cast("string").alias("image_key"), "feature")
+    return per_model(images(t).select(F.col("image_id").cast("string").alias("image_key"), "feature"), "image_key")
 
 
 def text_features(t: Tables) -> DataFrame:
-    return captions(t).select(F.col("text_id").cast("string").alias("caption"), "feature")
+    return per_model(captions(t).select(F.col("text_id").cast("string").alias("caption"), "feature"), "caption")
 
 
 def pairwise_samples(t: Tables) -> DataFrame:
@@ -97,23 +103,16 @@ def pair_specs(t: Tables) -> DataFrame:
     return explode_negatives(random_negatives(pairwise_samples(t), ["sample_no"]))
 
 
-def joined_pairs(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return join_features(pair_specs(t), image_features(t), text_features(t))
-
-
-def score_models(joined: DataFrame) -> DataFrame:
-    """Margins per model; a model sees the leading dimensions of each vector."""
-    features = ["image_feature", "positive_feature", "negative_feature", "random_feature"]
-    per_model = joined.withColumn(
-        "__m",
-        F.explode(F.array(*[F.struct(F.lit(n).alias("model_name"), F.lit(d).alias("dims")) for n, d in MODELS.items()])),
-    )
-    cut = per_model.withColumns({f: F.slice(f, F.lit(1), F.col("__m.dims")) for f in features})
-    return with_margins(score_features(cut.withColumn("model_name", F.col("__m.model_name")).drop("__m")))
+def scored_pairs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(scored, skipped) pairs of all models."""
+    models = F.explode(F.array(*[F.lit(n) for n in MODELS])).alias("model_name")
+    specs = pair_specs(t).select("*", models)
+    good, bad = score_specs(specs, image_features(t), text_features(t), ["sample_id", "negative_index"])
+    return with_margins(good), bad
 
 
 def pairwise_scores(t: Tables) -> DataFrame:
-    return once(t, "pairwise-scores", lambda: score_models(joined_pairs(t)[0]))
+    return once(t, "pairwise-scores", lambda: scored_pairs(t)[0])
 
 
 def two_by_two_scores(t: Tables) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.vectors import cosine, dot, l2_normalize, mean_pool, score_bloc
 from ..operators import diagnostics as D
 from ..operators import summaries as S
 from ..operators.negatives import explode_negatives, random_negatives
+from ..operators.ordering import one_row
 from ..operators.paths import missing_members
 from ..operators.scoring import CosineScorer, HashingEncoder, encode, encode_rows, score_pairs
 from . import fixtures as fx
@@ -68,7 +69,7 @@ def _(t: Tables) -> DataFrame:
         {q.rnd("hard_margin")} AS hard_margin, {q.rnd("random_margin")} AS random_margin, {q.rnd("ssr", 4)} AS ssr, correct FROM pw""",
 )
 def _(t: Tables) -> DataFrame:
-    scores = fx.score_models(fx.joined_pairs(t)[0])
+    scores, _skipped = fx.scored_pairs(t)
     names = ["score_pos", "score_neg", "score_random_neg", "hard_margin", "random_margin"]
     return scores.select(
         "model_name", "sample_id", "negative_index", "negative_type",
@@ -166,15 +167,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "j4_feature_join_quarantine",
-    """WITH c AS (SELECT vec_id, vec_id + 6 + 6 * k AS neg, k FROM embeddings, (SELECT unnest([0, 1]) AS k) WHERE vec_id % 6 <> 0)
-       SELECT vec_id::varchar AS sample_id, k::int AS negative_index,
-         CASE WHEN e.vec_id IS NULL THEN 'negative caption has no feature' ELSE 'ok' END AS outcome
-       FROM (SELECT c.vec_id, c.k, n.vec_id AS found FROM c LEFT JOIN embeddings n ON n.vec_id = c.neg) x
-       LEFT JOIN (SELECT vec_id FROM embeddings) e ON e.vec_id = x.found""".replace("SELECT vec_id::varchar AS sample_id, k", "SELECT x.vec_id::varchar AS sample_id, x.k"),
+    """SELECT model_name, c.vec_id::varchar AS sample_id, k::int AS negative_index,
+         CASE WHEN n.vec_id IS NULL THEN 'negative caption has no feature' ELSE 'ok' END AS outcome
+       FROM (SELECT vec_id, k, vec_id + 6 + 6 * k AS neg FROM embeddings, (SELECT unnest([0, 1]) AS k) WHERE vec_id % 6 <> 0) c
+       LEFT JOIN embeddings n ON n.vec_id = c.neg, (SELECT unnest(['m64', 'm32']) AS model_name)""",
 )
 def _(t: Tables) -> DataFrame:
-    good, bad = fx.joined_pairs(t)
-    cols = ["sample_id", "negative_index"]
+    good, bad = fx.scored_pairs(t)
+    cols = ["model_name", "sample_id", "negative_index"]
     return good.select(*cols, F.lit("ok").alias("outcome")).unionByName(bad.select(*cols, F.col("reason").alias("outcome")))
 
 
@@ -189,7 +189,7 @@ def _(t: Tables) -> DataFrame:
     lengths = features.select("text", size.alias("tokens"), F.lit(1).alias("one"))
     back = docs.join(lengths, "text").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("tokens").alias("tokens"))
     encoded = lengths.agg(F.count(F.lit(1)).alias("n_encoded"))
-    return back.join(F.broadcast(encoded)).select("n_rows", "n_encoded", "tokens")  # one row each
+    return one_row(back, encoded).select("n_rows", "n_encoded", "tokens")
 
 
 @query(

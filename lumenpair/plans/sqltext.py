@@ -7,7 +7,10 @@ CJK = r"[\x{4e00}-\x{9fff}]"
 
 
 def hkey(expr: str) -> str:
-    return f"(concat('0x', substr(md5({expr}), 1, 8))::bigint)"
+    return f"(concat('0x', substr(md5({expr}), 1, 15))::bigint)"
+
+
+DRAW_RANGE = "1152921504606846976.0"
 
 
 def rnd(expr: str, digits: int = 6) -> str:

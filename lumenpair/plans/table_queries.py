@@ -692,8 +692,9 @@ def _(t: Tables) -> DataFrame:
         (3, "partial", "images", 40, None),
         (4, "partial", "annotations", 15, None),
     ]
-    shared = t.spark.createDataFrame(ladder, "priority int, status string, fact string, min_value bigint, max_value bigint")
-    rules = wide.select("name").join(F.broadcast(shared))  # five rules for each data set
+    types = {"priority": "int", "status": "string", "fact": "string", "min_value": "bigint", "max_value": "bigint"}
+    shared = [F.struct(*[F.lit(v).cast(k).alias(n) for v, (n, k) in zip(rule, types.items())]) for rule in ladder]
+    rules = wide.select("name", F.inline(F.array(*shared)))
     statuses = Q.readiness(facts, rules)
     report = wide.select("name", F.lit(True).alias("checked_files_exist"), F.lit(0).alias("num_missing_files"), F.lit(True).alias("sample_read_success"))
     return Q.dataset_manifest(facts, statuses, report, ["images", "annotations", "chars"]).select(

@@ -11,6 +11,7 @@ from ..functions.expressions import first_alias, let
 from ..operators import curation as C
 from ..operators import sampling as P
 from ..operators.negatives import word_order_negatives
+from ..operators.ordering import one_row
 from ..session import spread
 from . import sqltext as q
 from .registry import Tables, query
@@ -391,7 +392,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "s6_weighted_resampling",
-    f"""WITH d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 2.5 WHEN 'fr' THEN 0.4 ELSE 1.0 END AS w, {q.hkey("concat('0:0:', doc_id)")} / 4294967296.0 AS u FROM documents)
+    f"""WITH d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 2.5 WHEN 'fr' THEN 0.4 ELSE 1.0 END AS w, {q.hkey("concat('0:0:', doc_id)")} / {q.DRAW_RANGE}::double AS u FROM documents)
         SELECT doc_id, unnest(range(0, floor(w)::int + (u < w - floor(w))::int))::int AS copy FROM d""",
 )
 def _(t: Tables) -> DataFrame:
@@ -401,7 +402,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "s6_weighted_shard_draws",
-    f"""WITH d AS (SELECT doc_id, {q.hkey("concat('0:0:', doc_id)")} / 4294967296.0 AS u FROM documents)
+    f"""WITH d AS (SELECT doc_id, {q.hkey("concat('0:0:', doc_id)")} / {q.DRAW_RANGE}::double AS u FROM documents)
         SELECT doc_id, CASE WHEN u < 8 / 20.0 THEN 'a' WHEN u < 14 / 20.0 THEN 'b' ELSE 'c' END AS source FROM d""",
 )
 def _(t: Tables) -> DataFrame:
@@ -435,7 +436,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     plan = P.epoch_plan(t.documents, batch_size=16, world=2, workers=5, shards="source")
     held = P.eval_batches(t.documents, 16).withColumnRenamed("num_batches", "eval_batches")
-    return plan.join(F.broadcast(held))  # one row each
+    return one_row(plan, held)
 
 
 @query(

@@ -72,6 +72,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def work_partitions(spark: SparkSession) -> int:
+    """Partitions for steps whose rows are small and whose work per row is not.
+
+    Such steps name the number, as adaptive coalescing goes by bytes and would
+    put them into one task.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan over the cores by its unique `keys` when it has fewer partitions than cores.
 

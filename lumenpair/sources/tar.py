@@ -9,6 +9,7 @@ over captions never reads image bytes, and one giant shard is no bottleneck.
 from __future__ import annotations
 
 import io
+import math
 import re
 import tarfile
 from collections.abc import Iterator, Sequence
@@ -26,6 +27,8 @@ INDEX_SCHEMA = (
     "shard string, sample_index bigint, key string, members map<string,struct<offset:bigint,size:bigint>>, error string"
 )
 KEY_AND_EXTENSION = re.compile(r"^((?:.*/)?[^/.][^/.]*)\.([^/]*)$")
+# Read-ahead while walking headers: larger buffers would read the payload as well.
+HEADER_BYTES = 4096
 FETCH_BYTES = 128 * 1024 * 1024
 
 
@@ -41,7 +44,7 @@ def index_shard(path: str, fail: bool) -> Iterator[tuple]:
     """
     count, key, members = 0, None, {}
     try:
-        with open_input(path) as raw, tarfile.open(fileobj=io.BufferedReader(raw, 1 << 16), mode="r:") as archive:
+        with open_input(path) as raw, tarfile.open(fileobj=io.BufferedReader(raw, HEADER_BYTES), mode="r:") as archive:
             for member in archive:
                 found = KEY_AND_EXTENSION.match(member.name) if member.isfile() else None
                 if found is None:
@@ -133,7 +136,14 @@ def read_tar_shards(
 
 
 def fetch_members(index: DataFrame) -> DataFrame:
-    """Replace member offsets by bytes; byte ranges of one shard go to different tasks."""
+    """Replace member offsets by bytes; byte ranges of one shard go to different tasks.
+
+    The number of tasks follows the bytes to fetch, which the small index rows
+    do not show.
+    """
+    sizes = F.transform(F.map_values("members"), lambda m: m["size"])
+    total = index.agg(F.sum(F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
+    tasks = max(1, math.ceil(total / FETCH_BYTES))
     start = F.array_min(F.transform(F.map_values("members"), lambda m: m["offset"]))
     spread = index.select(
         "shard",
@@ -141,7 +151,7 @@ def fetch_members(index: DataFrame) -> DataFrame:
         "key",
         F.transform(F.map_entries("members"), lambda e: F.struct(e["key"].alias("name"), e["value"]["offset"].alias("offset"), e["value"]["size"].alias("size"))).alias("parts"),
         F.floor(F.coalesce(start, F.lit(0)) / FETCH_BYTES).alias("__range"),
-    ).repartition("shard", "__range").sortWithinPartitions("shard", "sample_index").drop("__range")
+    ).repartition(tasks, "shard", "__range").sortWithinPartitions("shard", "sample_index").drop("__range")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         handle, current = None, None

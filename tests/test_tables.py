@@ -14,7 +14,7 @@ from lumenpair.operators import sampling as P
 from lumenpair.operators.negatives import explode_negatives, random_negatives
 from lumenpair.operators.ordering import dense_index, exact_median, top_per_group
 from lumenpair.operators.paths import has_image, resolve_paths
-from lumenpair.operators.scoring import HashingEncoder, encode, image_key, join_features, score_features, with_margins
+from lumenpair.operators.scoring import HashingEncoder, encode, image_key, score_specs, with_margins
 
 
 @pytest.mark.parametrize("parts", [1, 4, 16])
@@ -172,13 +172,13 @@ def test_feature_join_and_margins(spark):
     specs = spark.createDataFrame(
         [("p", "n", "r", (1, 2, 3, 4)), ("p", "n", None, None), ("p", "gone", "r", None), ("p", "p", "gone", None)],
         T.StructType.fromDDL("positive_caption string, negative_caption string, random_negative_caption string").add("crop", crop),
-    ).withColumn("image_key", image_key(F.lit("/i.jpg"), F.col("crop")))
+    ).withColumn("image_key", image_key(F.lit("/i.jpg"), F.col("crop"))).withColumn("k", F.monotonically_increasing_id())
     images = specs.select("image_key").distinct().withColumn("feature", F.array(F.lit(1.0), F.lit(0.0)))
     texts = spark.createDataFrame([("p", [1.0, 0.0]), ("n", [0.0, 2.0]), ("r", [1.0, 1.0])], "caption string, feature array<double>")
     assert images.count() == 2
-    good, bad = join_features(specs, images, texts)
+    good, bad = score_specs(specs, images, texts, ["k"])
     assert [r.reason for r in bad.collect()] == ["negative caption has no feature"]
-    got = with_margins(score_features(good)).orderBy("negative_caption", F.col("random_negative_caption").desc_nulls_last()).collect()
+    got = with_margins(good).orderBy("negative_caption", F.col("random_negative_caption").desc_nulls_last()).collect()
     assert got[0].hard_margin == 1.0 and got[0].correct == 1 and abs(got[0].ssr - 1 / (1 - 2**-0.5 + 1e-6)) < 1e-9
     assert got[1].random_margin is None and got[1].ssr is None
     assert got[2].hard_margin == 0.0 and got[2].correct == 0
