@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalize
+from ..session import materialize
 from .ordering import exact_median, top_per_group
 
 # Rows of each side per tile, at most and at least; a task holds two blocks of vectors and
@@ -202,8 +203,13 @@ def paired_ranks(pairs: DataFrame, tile_rows: int | None = None) -> DataFrame:
 
 
 def recall_metrics(ranks: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Recall at 1, 5 and 10 in percent, mean rank and lower-median rank per direction."""
+    """Recall at 1, 5 and 10 in percent, mean rank and lower-median rank per direction.
+
+    Ranks are stored first: they are narrow, cost an all-pairs job and are read
+    more than once.
+    """
     keys = ["side"] if keys is None else keys
+    ranks = materialize(ranks.select(*keys, "rank"), "ranks")
     at = lambda k: (F.avg((F.col("rank") <= k).cast("int")) * 100).alias(f"r_at_{k}")
     means = ranks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), at(1), at(5), at(10), F.avg("rank").alias("mean_rank")
@@ -308,8 +314,6 @@ def rerank_ranks(
     out and put back with exact scores. Cost beyond the tiles is linear in
     candidates.
     """
-    from ..session import materialize
-
     candidates = materialize(candidate_pairs(images, captions, k, tile_rows), "candidates")
     rescored = materialize(
         candidates.select("image_id", "text_id", F.col("sim").alias("coarse")).join(
