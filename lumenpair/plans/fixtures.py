@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,21 +17,21 @@ from pyspark.sql import functions as F
 from ..operators.negatives import explode_negatives, random_negatives
 from ..operators.ordering import dense_index
 from ..operators.scoring import score_2x2, score_specs, with_margins
-from ..session import materialize, scratch_path
+from ..session import materialize, scratch_path, spread, work_partitions
 from ..sources.files import resolve
 from .registry import Tables
 
 MODELS = {"m64": 64, "m32": 32}
 SAMPLES_PER_SHARD = 256
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], tuple] = {}
 
 
 def once(t: Tables, label: str, build) -> DataFrame:
     """A derived table written once per application and folder."""
     key = (t.spark.sparkContext.applicationId, t.folder, label)
     if key not in _stored:
-        _stored[key] = materialize(build(), label)
-    return _stored[key]
+        _stored[key] = (materialize(build(), label),)
+    return _stored[key][0]
 
 
 def images(t: Tables) -> DataFrame:
@@ -205,8 +206,9 @@ def two_by_two_sql() -> str:
     """
 
 
-def write_tar_shards(df: DataFrame, key: str, folder: str, *order: str) -> int:
-    """Write rows (key, members map<string,binary>) as tar shards of SAMPLES_PER_SHARD samples.
+def write_tar_shards(df: DataFrame, key: str, members: list[str], folder: str, *order: str) -> int:
+    """Write rows as tar shards of SAMPLES_PER_SHARD samples; `members` are binary columns
+    named by their extension, null where a sample has none.
 
     Each shard is one bounded group. A shard appears under its name only when
     it is complete, so a repeated task does no harm.
@@ -217,23 +219,24 @@ def write_tar_shards(df: DataFrame, key: str, folder: str, *order: str) -> int:
         shard = int(pdf["__shard"].iloc[0])
         buffer = io.BytesIO()
         with tarfile.open(fileobj=buffer, mode="w") as archive:
-            for name, members in zip(pdf[key], pdf["members"]):
-                for ext, data in sorted(dict(members).items()):
-                    info = tarfile.TarInfo(f"{name}.{ext}")
-                    info.size = len(data)
-                    archive.addfile(info, io.BytesIO(data))
+            for row in pdf[[key, *members]].itertuples(index=False):
+                for ext, data in zip(members, row[1:]):
+                    if data is not None:
+                        info = tarfile.TarInfo(f"{row[0]}.{ext}")
+                        info.size = len(data)
+                        archive.addfile(info, io.BytesIO(data))
         fs, base = resolve(folder)
         fs.create_dir(base, recursive=True)
         final = f"{base}/shard-{shard:06d}.tar"
-        draft = f"{final}.{id(buffer):x}.part"
+        draft = f"{final}.{uuid.uuid4().hex}.part"
         with fs.open_output_stream(draft) as out:
             out.write(buffer.getbuffer())
         fs.move(draft, final)
         return pd.DataFrame({"shard": [shard], "n": [len(pdf)]})
 
     placed = dense_index(df, *order, name="__idx").withColumn("__shard", F.floor(F.col("__idx") / SAMPLES_PER_SHARD))
-    done = placed.select("__idx", "__shard", key, "members").groupBy("__shard").applyInPandas(write, "shard bigint, n bigint")
-    return done.count()
+    groups = placed.select("__idx", "__shard", key, *members).repartition(work_partitions(df.sparkSession), "__shard")
+    return groups.groupBy("__shard").applyInPandas(write, "shard bigint, n bigint").count()
 
 
 def document_shards(t: Tables) -> str:
@@ -241,25 +244,22 @@ def document_shards(t: Tables) -> str:
     key = (t.spark.sparkContext.applicationId, t.folder, "tar-folder")
     if key not in _stored:
         folder = scratch_path(t.spark, "shards")
+        name = F.lpad(F.col("doc_id").cast("string"), 9, "0")
         meta = F.to_json(
             F.struct(
-                F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("key"),
-                F.create_map(F.lit("raw"), F.upper("text"), F.lit("longSV"), F.col("text")).alias("captions"),
+                name.alias("key"),
+                F.create_map(F.lit("raw"), F.col("source"), F.lit("longSV"), F.col("text")).alias("captions"),
                 F.when(F.col("doc_id") % 5 != 0, "longSV").otherwise("raw").alias("default_caption_key"),
             )
         )
-        members = F.map_filter(
-            F.create_map(
-                F.lit("txt"), F.encode("text", "UTF-8"),
-                F.lit("json"), F.encode(meta, "UTF-8"),
-                F.lit("jpg"), F.when(F.col("quality").isNotNull(), F.encode(F.concat("lang", "source"), "UTF-8")),
-            ),
-            lambda _, v: v.isNotNull(),
+        docs = spread(t.documents, "doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+        rows = docs.select(
+            "doc_id",
+            name.alias("key"),
+            F.when(F.col("quality").isNotNull(), F.encode(F.concat("lang", "source"), "UTF-8")).alias("jpg"),
+            F.encode(meta, "UTF-8").alias("json"),
+            F.encode("text", "UTF-8").alias("txt"),
         )
-        docs = t.documents.join(t.labels, "doc_id", "left")
-        rows = docs.select("doc_id", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("key"), members.alias("members"))
-        write_tar_shards(rows, "key", folder, "doc_id")
-        _stored[key] = folder
-    return _stored[key]
-
-
+        write_tar_shards(rows, "key", ["jpg", "json", "txt"], folder, "doc_id")
+        _stored[key] = (folder,)
+    return _stored[key][0]

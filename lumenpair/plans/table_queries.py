@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import duplicates as U
 from ..operators import quality as Q
 from ..operators import relabel as L
+from ..operators.curation import curate
 from ..operators.ordering import dense_index
 from ..operators.paths import has_image, resolve_paths
 from ..operators.sampling import route_splits
@@ -25,7 +26,7 @@ from . import fixtures as fx
 from . import sqltext as q
 from .registry import Tables, query
 from .score_queries import PW, tidy
-from .text_queries import order_negatives_sql
+from .text_queries import order_negatives_sql, subcaption_sql
 
 # --- sources ------------------------------------------------------------------
 
@@ -786,3 +787,19 @@ def _(t: Tables) -> DataFrame:
     return tidy(refresh_accuracy(t.spark, inbox, out, state))
 
 
+
+
+@query(
+    "f2_s1_curated_shards",
+    subcaption_sql(
+        f"""(SELECT lpad(s.doc_id::varchar, 9, '0') AS key, list_concat(CASE WHEN len(v.ok) > 0 THEN v.ok ELSE s.sentences END, []) AS sentences FROM (
+              SELECT a.doc_id, list_concat([d.source], a.sentences) AS sentences FROM {q.sentences("doc_id", "text", "documents")} a JOIN documents d USING (doc_id)
+              WHERE d.doc_id IN (SELECT doc_id FROM labels) AND d.doc_id % 5 <> 0 AND len(a.sentences) > 0) s,
+            LATERAL (SELECT list_filter(s.sentences, lambda p: {q.valid_sentence("p")}) AS ok) v)""",
+        "key",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    """The offline job over tar shards: presence and relabel filters, caption pool, four draws, epoch shuffle."""
+    samples, _problems = read_tar_shards(t.spark, f"{fx.document_shards(t)}/shard-*.tar")
+    return curate(samples).select("key", "draw", F.md5("subcaption").alias("subcaption"))
