@@ -170,13 +170,13 @@ def caption_pool(
     `captions` is map<string,string>; duplicates are kept. Where both give
     nothing the success key alone is used.
     """
-    empty = F.array().cast("array<string>")
-    groups = [json_sentences(F.element_at(captions, F.lit(k))) for k in CAPTION_GROUPS]
-    tops = [json_sentences(c) for k in TOP_LEVEL_CAPTIONS for c in [(top_level or {}).get(k)] if c is not None]
-    parts = [F.coalesce(p, empty) for p in groups + tops]
+    fields = [F.element_at(captions, F.lit(k)) for k in CAPTION_GROUPS]
+    fields += [top_level[k] for k in TOP_LEVEL_CAPTIONS if k in (top_level or {})]
+    # One lambda over the fields keeps the expression small; an absent field gives no sentence.
+    pooled = lambda values: F.flatten(F.transform(F.array(*values), lambda v: json_sentences(v)))
+    if success_key in CAPTION_GROUPS:
+        return pooled(fields)
     return let(
-        F.flatten(F.array(*parts)),
-        lambda pool: F.when(F.size(pool) > 0, pool).otherwise(
-            F.coalesce(json_sentences(F.element_at(captions, F.lit(success_key))), empty)
-        ),
+        pooled(fields),
+        lambda pool: F.when(F.size(pool) > 0, pool).otherwise(pooled([F.element_at(captions, F.lit(success_key))])),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import DRAW_RANGE, hkey, let
+from ..session import work_partitions
 from .ordering import dense_index, top_per_group
 
 # Fixed value: joins the sentences of one sub-caption.
@@ -145,11 +146,19 @@ def head_limit(df: DataFrame, order: str, n: int | None) -> DataFrame:
 
 
 def epoch_shuffle(df: DataFrame, key: str, seed: int = 0, epoch: int = 0, position: str | None = None) -> DataFrame:
-    """Full shuffle that depends on (seed, epoch) only; optionally with each row's position."""
-    draw = hkey(seed, epoch, F.col(key))
+    """Full shuffle that depends on (seed, epoch) only; optionally with each row's position.
+
+    Draws are uniform, so their range is cut into equal parts, one per
+    partition, in order. Unlike a sort by sampled bounds this runs the input
+    once. Rows of one key stay together.
+    """
+    drawn = df.withColumn("__draw", hkey(seed, epoch, F.col(key)))
     if position:
-        return dense_index(df.withColumn("__draw", draw), "__draw", key, name=position).drop("__draw")
-    return df.withColumn("__draw", draw).orderBy("__draw", key).drop("__draw")
+        return dense_index(drawn, "__draw", key, name=position).drop("__draw")
+    parts = work_partitions(df.sparkSession)
+    part = F.floor(F.col("__draw") / F.lit(DRAW_RANGE) * parts).cast("int")
+    rest = [c for c in df.columns if c != key and not df.schema[c].dataType.typeName() == "map"]
+    return drawn.repartitionById(parts, part).sortWithinPartitions("__draw", key, *rest).drop("__draw")
 
 
 def shuffle_shards_then_samples(

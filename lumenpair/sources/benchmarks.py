@@ -218,10 +218,14 @@ def load_order(
     each = good.select(
         "*", F.posexplode("__captions").alias("__cap", "__caption")
     ).withColumn("positive_caption", clean_text(F.col("__caption"), max_words))
-    made = each.withColumn(
-        "__made",
-        word_order_negatives(F.col("positive_caption"), seed + F.col("record_index") * 100 + F.col("__cap"), max_words),
-    ).withColumn("sample_id", F.concat_ws("_", "__id", F.col("__cap").cast("string")))
+    negatives = word_order_negatives(
+        F.col("positive_caption"), seed + F.col("record_index") * 100 + F.col("__cap"), max_words
+    )
+    # A generator of one row: a filter on its result is not pushed below it, so the
+    # negatives are made once.
+    made = each.select("*", F.explode(F.array(negatives)).alias("__made")).withColumn(
+        "sample_id", F.concat_ws("_", "__id", F.col("__cap").cast("string"))
+    )
     usable, dull = quarantine(made, [(F.size("__made") == 0, NO_ORDER_NEGATIVE)])
     samples = usable.select(
         F.lit("aro").alias("benchmark"),

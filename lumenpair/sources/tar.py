@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..session import materialize
+from ..session import materialize, work_partitions
 from .files import open_input
 from .shards import expand_shards
 
@@ -29,7 +29,7 @@ INDEX_SCHEMA = (
 KEY_AND_EXTENSION = re.compile(r"^((?:.*/)?[^/.][^/.]*)\.([^/]*)$")
 # Read-ahead while walking headers: larger buffers would read the payload as well.
 HEADER_BYTES = 4096
-FETCH_BYTES = 128 * 1024 * 1024
+FETCH_BYTES = 64 * 1024 * 1024
 
 
 class ShardPartition(InputPartition):
@@ -139,11 +139,11 @@ def fetch_members(index: DataFrame) -> DataFrame:
     """Replace member offsets by bytes; byte ranges of one shard go to different tasks.
 
     The number of tasks follows the bytes to fetch, which the small index rows
-    do not show.
+    do not show, and is at least the usual one: what comes next is often costly.
     """
     sizes = F.transform(F.map_values("members"), lambda m: m["size"])
     total = index.agg(F.sum(F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
-    tasks = max(1, math.ceil(total / FETCH_BYTES))
+    tasks = max(work_partitions(index.sparkSession), math.ceil(total / FETCH_BYTES))
     start = F.array_min(F.transform(F.map_values("members"), lambda m: m["offset"]))
     spread = index.select(
         "shard",

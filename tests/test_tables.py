@@ -239,3 +239,22 @@ def test_verifier_isolates_failures(spark):
 def test_skip_reasons(spark):
     df = spark.createDataFrame([("b", "image not found: x"), ("b", "image not found: y"), ("b", "other")], "benchmark string, reason string")
     assert rows(Q.skip_reasons(df)) == [("b", "image not found", 2), ("b", "other", 1)]
+
+
+def test_epoch_shuffle_order(spark):
+    """Partitions follow each other in the order of the draws, and epochs differ."""
+    df = spark.range(2000).withColumn("x", F.lit(1))
+    shuffled = P.epoch_shuffle(df, "id", 1, 0)
+    first = [r.id for r in shuffled.collect()]
+    placed = P.epoch_shuffle(df, "id", 1, 0, position="p")
+    assert first == [r.id for r in placed.orderBy("p").collect()]
+    assert first == [r.id for r in P.epoch_shuffle(df.repartition(3), "id", 1, 0).collect()]
+    assert first != [r.id for r in P.epoch_shuffle(df, "id", 1, 1).collect()]
+    sizes = [n for (n,) in shuffled.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * min(sizes)
+
+
+def test_dense_index_runs_over_hot_leading_key(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(F.col("id")).alias("a"), "id")
+    got = dense_index(df, "a", "id").orderBy("a", "id").collect()
+    assert [r.idx for r in got] == list(range(3000))
