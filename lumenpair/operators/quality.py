@@ -21,7 +21,9 @@ def missing_required(required: DataFrame, listing: DataFrame) -> DataFrame:
     """Required (name, path) entries that are neither a listed file nor a folder above one."""
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    present = listing.select(F.explode(above).alias("path"))
+    # The few required paths filter the listing's folders before anything is shuffled.
+    wanted = required.select("path").distinct()
+    present = listing.select(F.explode(above).alias("path")).join(wanted, "path", "left_semi").distinct()
     return required.join(present, "path", "left_anti")
 
 

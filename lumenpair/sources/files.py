@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
@@ -29,15 +30,20 @@ def open_input(path: str):
 
 
 def glob_paths(pattern: str) -> list[str]:
-    """Files matching a pattern whose wildcards are all in the last path part or above it."""
+    """Files that match a pattern with wildcards; empty for a pattern without any."""
     if not any(ch in pattern for ch in "*?["):
         return []
     fs, name = resolve(pattern)
-    fixed = name.split("*")[0].split("?")[0].split("[")[0].rpartition("/")[0] or "."
-    found = fs.get_file_info(pafs.FileSelector(fixed, allow_not_found=True, recursive=True))
+    # The part of a URI before the path is put back, so that tasks find the same file system.
+    prefix = pattern.removesuffix(name) if "://" in pattern and pattern.endswith(name) else ""
+    fixed = re.split(r"[*?\[]", name, maxsplit=1)[0].rpartition("/")[0] or "."
+    recursive = "/" in name[len(fixed) + 1 :]
+    found = fs.get_file_info(pafs.FileSelector(fixed, allow_not_found=True, recursive=recursive))
     depth = name.count("/")
     return sorted(
-        i.path for i in found if i.is_file and i.path.count("/") == depth and fnmatch.fnmatchcase(i.path, name)
+        prefix + i.path
+        for i in found
+        if i.is_file and i.path.count("/") == depth and fnmatch.fnmatchcase(i.path, name)
     )
 
 
