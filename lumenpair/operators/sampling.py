@@ -123,14 +123,18 @@ def balanced_quotas(counts: dict[object, int], limit: int) -> dict[object, int]:
 def balanced_limit(df: DataFrame, category: str, order: str, limit: int | None) -> DataFrame:
     """At most `limit` rows, spread over categories in turn; rows keep their order in a category.
 
-    Only one count per category reaches the driver. All rows if there are not
-    more than `limit`, or if the limit is null or not positive.
+    Counts of the first 2 * limit + 1 categories by name reach the driver, no
+    more: `limit` turns move that far at most, one step per row taken and one
+    per category run dry. All rows if there are not more than `limit`, or if the
+    limit is null or not positive.
     """
     if limit is None or limit <= 0:
         return df
-    counts = {r[0]: r[1] for r in df.groupBy(category).count().collect()}
-    if sum(counts.values()) <= limit:
+    if df.select(category).limit(limit + 1).count() <= limit:
         return df
+    name = F.coalesce(F.col(category).cast("string"), F.lit("None"))
+    first = df.groupBy(category).count().orderBy(name).limit(2 * limit + 1)
+    counts = {r[0]: r[1] for r in first.collect()}
     quotas = [(k, q) for k, q in balanced_quotas(counts, limit).items() if q > 0]
     schema = df.select(F.col(category).alias("__category")).schema.add("__quota", T.IntegerType())
     table = df.sparkSession.createDataFrame(quotas, schema)

@@ -104,7 +104,7 @@ def read_records(
         return rows.select(*names, "source_file")
     placed = dense_index(rows, *FILE_ORDER, name="__global")
     first = placed.groupBy("source_file").agg(F.min("__global").alias("__first"))
-    return placed.join(F.broadcast(first), "source_file").select(  # one row per annotation file
+    return placed.join(first, "source_file").select(
         *names, "source_file", (F.col("__global") - F.col("__first")).alias("record_index")
     )
 

@@ -258,3 +258,15 @@ def test_dense_index_runs_over_hot_leading_key(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(F.col("id")).alias("a"), "id")
     got = dense_index(df, "a", "id").orderBy("a", "id").collect()
     assert [r.idx for r in got] == list(range(3000))
+
+
+def test_balanced_limit_with_more_categories_than_turns(spark):
+    """Categories run dry at once, and there are far more of them than the limit."""
+    data = [(100 * c + i, f"c{c:03d}") for c in range(60) for i in range(1 + c % 2)]
+    df = spark.createDataFrame(data, "i int, c string")
+    counts = {}
+    for _, c in data:
+        counts[c] = counts.get(c, 0) + 1
+    quotas = turns(counts, 7)
+    want = sorted(i for i, c in data if i % 100 < quotas[c])
+    assert sorted(r.i for r in P.balanced_limit(df, "c", "i", 7).collect()) == want
