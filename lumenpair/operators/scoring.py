@@ -139,7 +139,7 @@ class HashingEncoder:
 
 
 def encode(
-    df: DataFrame, key: str, value: str, factory: Callable[[], Encoder], batch_size: int = 256
+    df: DataFrame, value: str, factory: Callable[[], Encoder], batch_size: int = 256
 ) -> tuple[DataFrame, DataFrame]:
     """Encode each distinct non-null `value` once; returns (features, failures).
 
@@ -182,7 +182,7 @@ def encode(
 
 def encode_rows(df: DataFrame, key: str, value: str, factory: Callable[[], Encoder], batch_size: int = 256) -> DataFrame:
     """(key, feature) for every row, each distinct value encoded once and joined back."""
-    features, _ = encode(df, key, value, factory, batch_size)
+    features, _ = encode(df, value, factory, batch_size)
     return df.select(key, value).join(features, value).select(key, "feature")
 
 

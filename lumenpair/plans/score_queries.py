@@ -184,7 +184,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text")
-    features, _ = encode(docs, "doc_id", "text", lambda: HashingEncoder(32))
+    features, _ = encode(docs, "text", lambda: HashingEncoder(32))
     size = F.aggregate("feature", F.lit(0.0), lambda a, x: a + x)
     lengths = features.select("text", size.alias("tokens"), F.lit(1).alias("one"))
     back = docs.join(lengths, "text").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("tokens").alias("tokens"))

@@ -192,7 +192,7 @@ def test_encoder_sets_bad_rows_aside(spark):
             return super().__call__(texts)
 
     df = spark.createDataFrame([(1, "a b"), (2, "bad"), (3, "a b"), (4, None)], "k int, t string")
-    features, failures = encode(df, "k", "t", lambda: Fussy(4), batch_size=8)
+    features, failures = encode(df, "t", lambda: Fussy(4), batch_size=8)
     assert [r.t for r in features.collect()] == ["a b"]
     assert [(r.t, "cannot encode" in r.reason) for r in failures.collect()] == [("bad", True)]
 
