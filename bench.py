@@ -77,6 +77,9 @@ def main() -> None:
     fixtures.pairwise_scores(tables)
     fixtures.two_by_two_scores(tables)
     timings["store_scores"] = time.perf_counter() - start
+    start = time.perf_counter()
+    fixtures.document_shards(tables)
+    timings["write_shards"] = time.perf_counter() - start
     for name in names:
         start = time.perf_counter()
         catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
