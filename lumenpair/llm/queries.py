@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, tune
 from .decontaminate import contaminations
+from .secrets import scan_report
+from .substring_dedup import repeated_units
 from .token_counts import count_tokens
 from .toxicity import toxicity
 from .url_filter import UrlRule, canonical_url, filter_urls, url_host
@@ -68,6 +70,11 @@ FROM ruled
 """
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every repeated unit that is removed, with its place and the occurrence that stays."""
+    return repeated_units(table(spark, folder, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, with a cache that starts empty."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +86,11 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), CATEGORIES, "toxic", THRESHOLD)
 
 
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return scan_report(table(spark, folder, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every place where a document holds a benchmark item within its edit budget."""
     return contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -86,8 +98,10 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
+    "op5_secret_scan": op5_secret_scan,
     "op7_decontamination": op7_decontamination,
 }
 ORACLES = {"op1_url_filter": OP1_SQL}
