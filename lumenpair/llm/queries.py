@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, tune
 from .decontaminate import contaminations
+from .fingerprints import compare_with_next
 from .secrets import scan_report
 from .substring_dedup import repeated_units
 from .token_counts import count_tokens
@@ -96,6 +97,11 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document, against its edited text and the next document."""
+    return compare_with_next(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
@@ -103,5 +109,6 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
     "op7_decontamination": op7_decontamination,
+    "op9_fingerprints": op9_fingerprints,
 }
 ORACLES = {"op1_url_filter": OP1_SQL}
