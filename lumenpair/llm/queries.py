@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path, tune
 from .decontaminate import contaminations
 from .fingerprints import compare_with_next
+from .ngram_join import similar_groups
 from .secrets import scan_report
 from .substring_dedup import repeated_units
 from .token_counts import count_tokens
@@ -92,6 +93,11 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_report(table(spark, folder, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingle sets and components of every document."""
+    return similar_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every place where a document holds a benchmark item within its edit budget."""
     return contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -108,6 +114,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
+    "op6_ngram_join": op6_ngram_join,
     "op7_decontamination": op7_decontamination,
     "op9_fingerprints": op9_fingerprints,
 }
