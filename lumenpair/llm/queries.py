@@ -11,6 +11,7 @@ from .decontaminate import contaminations
 from .fingerprints import compare_with_next
 from .ngram_join import similar_groups
 from .secrets import scan_report
+from .sentencepiece_lattice import encode_documents
 from .substring_dedup import repeated_units
 from .token_counts import count_tokens
 from .toxicity import toxicity
@@ -108,6 +109,11 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return compare_with_next(table(spark, folder, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every document, and whether they decode to its text."""
+    return encode_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
@@ -117,5 +123,6 @@ QUERIES = {
     "op6_ngram_join": op6_ngram_join,
     "op7_decontamination": op7_decontamination,
     "op9_fingerprints": op9_fingerprints,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES = {"op1_url_filter": OP1_SQL}
