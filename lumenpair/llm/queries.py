@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from ..session import scratch_path, tune
 from .decontaminate import contaminations
 from .fingerprints import compare_with_next
 from .ngram_join import similar_groups
+from .quote_links import as_mail, link_conversations
 from .secrets import scan_report
 from .sentencepiece_lattice import encode_documents
 from .substring_dedup import repeated_units
@@ -104,6 +106,27 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_quote_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations, written as mails that quote one another, linked and freed of quotes."""
+    return link_conversations(as_mail(table(spark, folder, "conversations")))
+
+
+OP8_SQL = """
+WITH m AS (
+  SELECT conv_id, turn, role, trim(text, chr(10)) AS text,
+    lag(turn) OVER w = turn - 1 AS one, lag(turn, 2) OVER w = turn - 2 AND lag(turn) OVER w = turn - 1 AS two
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), r AS (
+  SELECT *, max(CASE WHEN coalesce(one, false) THEN NULL ELSE turn END)
+    OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS root_turn FROM m
+)
+SELECT conv_id, turn, role, CASE WHEN one THEN turn - 1 END AS parent_turn, root_turn, turn - root_turn AS depth,
+  coalesce(one, false)::BIGINT + coalesce(two, false)::BIGINT AS n_quotes,
+  coalesce(one, false)::BIGINT + coalesce(two, false)::BIGINT AS n_linked, text
+FROM r
+"""
+
+
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document, against its edited text and the next document."""
     return compare_with_next(table(spark, folder, "documents"))
@@ -114,6 +137,11 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(tune(spark), folder)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
@@ -122,7 +150,9 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_ngram_join": op6_ngram_join,
     "op7_decontamination": op7_decontamination,
+    "op8_quote_links": op8_quote_links,
     "op9_fingerprints": op9_fingerprints,
     "op10_sentencepiece": op10_sentencepiece,
+    "pipeline": pipeline,
 }
-ORACLES = {"op1_url_filter": OP1_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op8_quote_links": OP8_SQL}
