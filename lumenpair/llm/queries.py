@@ -28,7 +28,7 @@ URL_RULES = [
 ]
 #: Parts of host names whose pages make up the list of blocked URLs.
 LISTED_HOSTS = "casino|pills|bets|adult|spam"
-CATEGORIES = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 THRESHOLD = 0.3
 
 

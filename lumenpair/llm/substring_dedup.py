@@ -125,7 +125,9 @@ def repeated_units(
     )
 
 
-@F.pandas_udf("struct<text: string, kept: array<struct<start_char: bigint, end_char: bigint>>>")
+WITHOUT = "struct<text: string, kept: array<struct<start_char: bigint, end_char: bigint>>>"
+
+
 def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     out: list[tuple[str, list[dict]]] = []
     for text, gone in zip(texts, spans):
@@ -144,5 +146,6 @@ def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 def remove_repeats(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents without the removed units; `kept_spans` are the original places of what stays, in order."""
     spans = removed.groupBy(key).agg(F.collect_list(F.struct("start_char", "end_char")).alias("__gone"))
-    joined = docs.join(spans, key, "left").withColumn("__out", _without(whole_text(text), F.col("__gone")))
+    without = F.pandas_udf(_without, WITHOUT)
+    joined = docs.join(spans, key, "left").withColumn("__out", without(whole_text(text), F.col("__gone")))
     return joined.withColumns({text: F.col("__out.text"), "kept_spans": F.col("__out.kept")}).drop("__gone", "__out")

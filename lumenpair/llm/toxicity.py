@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -101,7 +101,7 @@ def fit_linear(word_sets: Sequence, before: np.ndarray, y: np.ndarray, least: in
 
 
 def training_rows(
-    docs: DataFrame, labels: DataFrame, categories: dict[str, Column], folds: int, max_rows: int, key: str, text: str
+    docs: DataFrame, labels: DataFrame, categories: dict[str, str], folds: int, max_rows: int, key: str, text: str
 ) -> DataFrame:
     """The labelled sample: `__id`, `__words`, `__fold` and one 0/1 column for each category.
 
@@ -109,7 +109,7 @@ def training_rows(
     """
     id_ = F.col(key)
     drawn = (
-        labels.select(id_.alias("__id"), *[c.cast("int").alias(f"__y{i}") for i, c in enumerate(categories.values())])
+        labels.select(id_.alias("__id"), *[F.expr(c).cast("int").alias(f"__y{i}") for i, c in enumerate(categories.values())])
         .dropna()
         .groupBy("__id")
         .agg(*[F.max(f"__y{i}").alias(f"__y{i}") for i in range(len(categories))])
@@ -137,14 +137,14 @@ def training_rows(
 def fit_chain(
     docs: DataFrame,
     labels: DataFrame,
-    categories: dict[str, Column],
+    categories: dict[str, str],
     folds: int = 3,
     max_rows: int = 8000,
     least: int = 5,
     key: str = "doc_id",
     text: str = "text",
 ) -> list[Model]:
-    """One model for each category in the given order; the values are 0/1 expressions over `labels`."""
+    """One model for each category in the given order; the values are SQL conditions over `labels`."""
     sample = training_rows(docs, labels, categories, folds, max_rows, key, text)
     models: list[Model] = []
     for i in range(len(categories)):
@@ -220,7 +220,7 @@ def score_chain(
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,
-    categories: dict[str, Column],
+    categories: dict[str, str],
     reject: str,
     threshold: float = 0.5,
     keep: Sequence[str] = ("doc_id",),
