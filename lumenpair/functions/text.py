@@ -87,9 +87,16 @@ def _valid_or_all(cleaned: Column) -> Column:
 
 
 def split_sentences(col: Column) -> Column:
-    """Sentences of a caption string; an empty array for null or blank text."""
+    """Sentences of a caption string; an empty array for null or blank text.
+
+    A text of nothing but sentence marks is its own only sentence.
+    """
     parts = F.split(F.coalesce(col, F.lit("")), SENTENCE_BOUNDARY)
-    return _valid_or_all(F.transform(parts, lambda s: clean_sentence(s)))
+    found = _valid_or_all(F.transform(parts, lambda s: clean_sentence(s)))
+    return let(
+        found,
+        lambda xs: F.when(F.size(xs) > 0, xs).otherwise(F.filter(F.array(clean_sentence(col)), lambda s: s != "")),
+    )
 
 
 def clean_sentence_list(col: Column) -> Column:
@@ -153,9 +160,9 @@ def json_sentences(col: Column) -> Column:
 
 def has_json_sentence(col: Column) -> Column:
     """Whether `json_sentences` gives anything, without splitting or filtering: some
-    character must be neither space, quote nor sentence mark."""
-    marks = "\\x00\"'`.!?。！？"
-    plain = F.replace(col, F.lit("</s>"), F.lit(" ")).rlike(f"[^{SPACE_CLASS}{marks}]")
+    character must be neither space nor quote."""
+    marks = "\\x00\"'`"
+    plain = col.rlike(f"[^{SPACE_CLASS}{marks}]")
     listed = lambda xs: F.exists(xs, lambda x: clean_sentence(x) != "")
     return F.coalesce(let(json_list(col), lambda xs: F.when(xs.isNotNull(), listed(xs)).otherwise(plain)), F.lit(False))
 

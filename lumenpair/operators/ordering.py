@@ -122,10 +122,11 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     ranked = counted.withColumn("__upto", upto).where(F.col("__x").isNotNull())
     hits = lambda rank: (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__c") < rank)
     return ranked.groupBy(*keys).agg(
-        (
+        F.coalesce(
             (F.max(F.when(hits(first), F.col("__x"))) + F.max(F.when(hits(last), F.col("__x")))) / 2.0
             if not lower
-            else F.max(F.when(hits(first), F.col("__x")))
+            else F.max(F.when(hits(first), F.col("__x"))),
+            F.raise_error(F.lit("the quantile sketch missed the median of a group")).cast("double"),
         ).alias(name)
     )
 

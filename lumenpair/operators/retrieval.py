@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +38,23 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
     values = pa.concat_arrays(table.column(column).chunks) if table.num_rows else None
     if values is None:
         return np.empty((0, 0))
+    lengths = values.value_lengths()
+    if values.null_count or pa.compute.min_max(lengths)["min"] != pa.compute.min_max(lengths)["max"]:
+        raise ValueError(f"{column} needs vectors of one width in all rows")
     return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1)
 
 
+def without_vector(images: DataFrame, captions: DataFrame) -> DataFrame:
+    """(image_id, text_id, reason): the rows that take no part in all-pairs work as they have no vector."""
+    missing = F.col("feature").isNull()
+    none = F.lit(None).cast("bigint")
+    return (
+        images.where(missing)
+        .select("image_id", none.alias("text_id"), F.lit("image has no vector").alias("reason"))
+        .unionByName(captions.where(missing).select("image_id", "text_id", F.lit("caption has no vector").alias("reason")))
+    )
+
+
 def _column(table: pa.Table, column: str) -> np.ndarray:
     return table.column(column).to_numpy()
 
@@ -61,17 +76,19 @@ def tiles(
 
     Rows go to blocks by a hash of their unique id, so blocks are even whatever
     the data look like; each side is shuffled once per block of the other.
-    `sizes` are the row counts (upper bounds will do).
+    `sizes` are the row counts (upper bounds will do). Rows without a vector are
+    left out; `without_vector` lists them.
     """
     spark = left.sparkSession
+    left, right = (s.where(F.col("feature").isNotNull()) if "feature" in s.columns else s for s in (left, right))
     tile_rows = tile_rows or choose_tile(*sizes, spark.sparkContext.defaultParallelism)
     left_blocks, right_blocks = (max(1, math.ceil(n / tile_rows)) for n in sizes)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     a = left.withColumn("__lb", block("image_id", left_blocks)).withColumn("__rb", every(right_blocks))
     b = right.withColumn("__rb", block("text_id", right_blocks)).withColumn("__lb", every(left_blocks))
-    # A named number keeps one tile per task: work grows faster than the bytes that
-    # adaptive coalescing looks at.
+    # A named number, as work grows faster than the bytes that adaptive coalescing
+    # looks at. Hashing may put a few tiles into one task.
     tasks = min(left_blocks * right_blocks, MAX_TILE_TASKS)
     a, b = (side.repartition(tasks, "__lb", "__rb") for side in (a, b))
 

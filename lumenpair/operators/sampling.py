@@ -138,9 +138,8 @@ def balanced_limit(df: DataFrame, category: str, order: str, limit: int | None)
     quotas = [(k, q) for k, q in balanced_quotas(counts, limit).items() if q > 0]
     schema = df.select(F.col(category).alias("__category")).schema.add("__quota", T.IntegerType())
     table = df.sparkSession.createDataFrame(quotas, schema)
-    # One row per category with a quota, so at most `limit` rows.
-    side = F.broadcast(table) if limit <= 1_000_000 else table
-    tagged = df.join(side, F.col(category).eqNullSafe(F.col("__category")))
+    # One row per category with a quota; the planner knows its size and chooses the join by it.
+    tagged = df.join(table, F.col(category).eqNullSafe(F.col("__category")))
     return top_per_group(tagged, ["__category"], [F.col(order)], "__quota", [order], name="__rn").select(*df.columns)
 
 

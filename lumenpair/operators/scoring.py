@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.records import quarantine
 from ..functions.vectors import dot, l2_normalize, score_block
-from ..session import work_partitions
+from ..session import materialize, work_partitions
 
 # Fixed value: keeps the sensitivity ratio finite.
 SSR_EPSILON = 1e-6
@@ -63,8 +63,9 @@ def score_specs(
         at("neg").alias("score_neg"),
         at("rand").alias("score_random_neg"),
     )
+    # Stored once, as both sides are read.
     good, bad = quarantine(
-        specs.join(beside, [*by, *keys], "left"),
+        materialize(specs.join(beside, [*by, *keys], "left"), "pairs"),
         [
             (~F.coalesce("__image", F.lit(False)), "image has no feature"),
             (F.col("score_pos").isNull(), "positive caption has no feature"),
@@ -174,6 +175,8 @@ def encode(
     distinct = df.select(value).where(F.col(value).isNotNull()).distinct()
     # Distinct first, so a value held by many rows is shuffled once per task; then even out.
     encoded = distinct.repartition(work_partitions(df.sparkSession), value).mapInPandas(run, schema)
+    # Stored once, so that the model does not run again when failures are read as well.
+    encoded = materialize(encoded, "encoded")
     return (
         encoded.where(F.col("reason").isNull()).drop("reason"),
         encoded.where(F.col("reason").isNotNull()).select(value, "reason"),

@@ -52,9 +52,10 @@ def sentences(select_key: str, text: str, source: str) -> str:
     """SELECT key, sentences list FROM source; texts split, cleaned and filtered."""
     cleaned = clean_sentence("p")
     valid = valid_sentence("p")
-    return f"""(SELECT {select_key}, CASE WHEN len(valid) > 0 THEN valid ELSE kept END AS sentences FROM (
+    return f"""(SELECT {select_key}, CASE WHEN len(valid) > 0 THEN valid WHEN len(kept) = 0 AND whole <> '' THEN [whole]
+          ELSE kept END AS sentences FROM (
         SELECT *, list_filter(kept, lambda p: {valid}) AS valid FROM (
-          SELECT *, list_filter(list_transform(
+          SELECT *, {clean_sentence(text)} AS whole, list_filter(list_transform(
               string_split_regex({text}, '</s>|\\r?\\n+|[.!?。！？]+'), lambda p: {cleaned}), lambda p: p <> '') AS kept
           FROM {source})))"""
 

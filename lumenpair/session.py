@@ -45,12 +45,15 @@ def build_session(app: str = "lumenpair", master: str | None = None, **conf: str
 def scratch_root(spark: SparkSession) -> str:
     """Folder all executors share, named by the cluster in `spark.checkpoint.dir`.
 
-    Only where that is unset (tests, local runs) is a folder made here.
+    Only for a local master, where that is unset (tests), is a folder made here: on a
+    cluster each executor would write to its own disk, so there it is an error.
     """
     global _fallback_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _fallback_dir is None:
         _fallback_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(_fallback_dir)

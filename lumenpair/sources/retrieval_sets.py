@@ -43,7 +43,7 @@ def read_karpathy(
     rows = read_records(spark, path, KARPATHY, "json", unwrap="images")
     if split is not None:
         rows = rows.where(F.col("split") == split)
-    indexed = dense_index(rows, "record_index", name="image_idx")
+    indexed = dense_index(rows, "source_file", "record_index", name="image_idx")
     if limit_images and limit_images > 0:
         indexed = indexed.where(F.col("image_idx") < limit_images)
     parts = [F.lit(image_root.rstrip("/"))]

@@ -68,7 +68,10 @@ def test_keyed_records(spark, tmp_path):
 def test_shard_patterns(tmp_path):
     assert expand_braces("s-{0008..0011}.tar") == [f"s-{i:04d}.tar" for i in (8, 9, 10, 11)]
     assert expand_braces("{a,b}/{2..0..-1}") == ["a/2", "a/1", "a/0", "b/2", "b/1", "b/0"]
-    assert expand_braces("x{3..1..1}") == ["x{3..1..1}"]
+    assert expand_braces("x{3..1..1}") == ["x3", "x2", "x1"]
+    assert expand_braces("{a,b{c,d}}-{x..z..2}{8..10}") == [f"{p}-{q}{n}" for p in ("a", "bc", "bd") for q in "xz" for n in (8, 9, 10)]
+    assert expand_braces("{07..9}{q}{") == ["07{q}{", "08{q}{", "09{q}{"]
+    assert expand_braces("{{1..2},x}{,y}") == ["1", "1y", "2", "2y", "x", "xy"]
     for n in ("b.tar", "a.tar", "c.txt"):
         put(tmp_path / n, "")
     assert expand_shards([f"{tmp_path}/*.tar", f"{tmp_path}/a.tar", "/none/*.tar"]) == ["/none/*.tar", f"{tmp_path}/a.tar", f"{tmp_path}/b.tar"]
@@ -108,12 +111,12 @@ def test_tar_scan_filters_and_survives_damage(spark, tmp_path):
 
 
 def test_curation_of_shards(spark, tmp_path):
-    text = b"a long successful caption"
+    text = b"grey ferry leaves the quay"
     make_tar(
         tmp_path / "c.tar",
         [
             ("1.jpg", b"i"), ("1.txt", text),
-            ("1.json", meta(captions={"raw": "a raw caption", "longSV": text.decode()}, default_caption_key="longSV")),
+            ("1.json", meta(captions={"raw": "ferry at the quay", "longSV": text.decode()}, default_caption_key="longSV")),
             ("2.jpg", b"i"), ("2.txt", text), ("2.json", meta(key="000000002", status="failed")),
             ("3.txt", text), ("3.json", meta(captions={"longSV": text.decode()})),
         ],
@@ -123,7 +126,7 @@ def test_curation_of_shards(spark, tmp_path):
     samples, _ = read_tar_shards(spark, f"{tmp_path}/c.tar")
     drawn = C.curate(samples, k=4, max_merged=2).collect()
     assert len(drawn) == 4 and {r.key for r in drawn} == {"1"}
-    assert {p for r in drawn for p in r.subcaption.split(".\n")} <= {"a raw caption", "a long successful caption"}
+    assert {p for r in drawn for p in r.subcaption.split(".\n")} <= {"ferry at the quay", "grey ferry leaves the quay"}
     plain = C.plain_samples(samples)
     assert sorted(r.key for r in plain.collect()) == ["1", "2"]
 
