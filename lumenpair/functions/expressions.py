@@ -50,12 +50,3 @@ def first_alias(df: DataFrame, names: Sequence[str]) -> Column:
 def rounded(col: Column, digits: int = 6) -> Column:
     """Rounded double without a negative zero."""
     return F.round(col, digits) + F.lit(0.0)
-
-
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition that lets null keys meet."""
-    cond = F.lit(True)
-    for i, key in enumerate(keys):
-        term = left[key].eqNullSafe(right[key])
-        cond = term if i == 0 else cond & term
-    return cond

@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 
 # Sketch accuracy for the median bracket: the bracket holds about 4 / ACCURACY of a group.
 ACCURACY = 10_000
+# Per-group results of up to this many narrow rows are broadcast to the rows; more of them are joined with a shuffle.
+BROADCAST_GROUPS = 100_000
 
 
 def dense_index(df: DataFrame, *keys: str | Column, name: str = "idx") -> DataFrame:
@@ -82,6 +84,12 @@ def top_per_group(
     return cut.withColumn(name, F.row_number().over(whole)).where(F.col(name) <= limit)
 
 
+def per_group_side(groups: DataFrame) -> DataFrame:
+    """One row per group, stored; broadcast while the counted rows are few, so that rows are not shuffled on a few keys."""
+    stored = materialize(groups, "groups")
+    return F.broadcast(stored) if stored.count() <= BROADCAST_GROUPS else stored
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", lower: bool = False) -> DataFrame:
     """Exact median of the non-null values per group; the middle two are averaged,
     or the lower one taken where `lower`.
@@ -105,6 +113,8 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
         F.when(small, F.col("__min")).otherwise(F.get("__b", F.lit(0))).alias("__lo"),
         F.when(small, F.col("__max")).otherwise(F.get("__b", F.lit(1))).alias("__hi"),
     )
+    if keys:
+        bracket = per_group_side(bracket)
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
@@ -126,7 +136,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
             (F.max(F.when(hits(first), F.col("__x"))) + F.max(F.when(hits(last), F.col("__x")))) / 2.0
             if not lower
             else F.max(F.when(hits(first), F.col("__x"))),
-            F.raise_error(F.lit("the quantile sketch missed the median of a group")).cast("double"),
+            F.raise_error(F.lit("the quantile sketch missed the median of a group")),
         ).alias(name)
     )
 
@@ -152,4 +162,4 @@ def one_row(*frames: DataFrame) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
-__all__ = ["ACCURACY", "FILE_ORDER", "attach", "dense_index", "exact_median", "file_order", "one_row", "top_per_group"]
+__all__ = ["ACCURACY", "FILE_ORDER", "attach", "dense_index", "exact_median", "file_order", "one_row", "per_group_side", "top_per_group"]

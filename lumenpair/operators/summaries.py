@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import attach, exact_median
+from .ordering import attach, exact_median, per_group_side
 
 OVERALL = "overall"
 # Fixed value: bins of the margin distribution.
@@ -282,6 +282,7 @@ def margin_histogram(
         F.when(flat, F.col("__hi") + 0.5).otherwise(F.col("__hi")).alias("__hi"),
     ).withColumn("__w", (F.col("__hi") - F.col("__lo")) / bins)
     place = F.least(F.floor((F.col("__v") - F.col("__lo")) / F.col("__w")), F.lit(bins - 1)).cast("int")
+    span = per_group_side(span)
     counts = attach(rows, span, [key], "inner").groupBy(key, place.alias("bin")).agg(F.count(F.lit(1)).alias("__c"))
     grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return attach(grid, counts, [key, "bin"]).select(
@@ -330,7 +331,7 @@ def perf_rollup(events: DataFrame, keys: Sequence[str] = ("model", "benchmark",
     )
 
 
-def windowed_means(log: DataFrame, step: str, value: str, weight: str, window: int, keys: Sequence[str] = ()) -> DataFrame:
+def windowed_means(log: DataFrame, step: str, value: str, weight: str, window: int, keys: Sequence[str]) -> DataFrame:
     """Weighted mean per log window, and its running form from the first window on.
 
     Meters of times restart at each window (`window_mean`), meters of losses
