@@ -9,10 +9,12 @@ chooses its own l from 1 to `MAX_LEVEL` by the estimated cost of its candidates;
 pair is verified only if it shares as many prefix shingles as the smaller of its
 two levels asks for, counted up to that level.
 
-A posting list is compared block by block inside a task: sizes and a bitmap bound
-on the symmetric difference discard most pairs there without emitting them, and
-neither drops a pair that reaches the similarity. What is left is counted,
-verified on whole shingle sets, and linked to components.
+Groups of copies come first: every node is verified against the one it shares the
+most lists with among their first nodes, and the links found join nodes to
+components. Then each posting list is compared block by block inside a task. Pairs of one
+component need no more links; sizes and a bitmap bound on the symmetric difference
+discard most others without emitting them, and neither drops a pair that reaches
+the similarity. What is left is counted and verified on whole shingle sets.
 
 Documents with equal sets count as one in the join (a node, named by a 64-bit
 digest of the set) and share its component.
@@ -44,30 +46,49 @@ MAX_LEVEL = 4
 VERIFY_COST = 20.0
 BUCKET_BITS = 18
 BITMAP_WORDS = 8
+LIST_COLUMNS = ["__token", "__node", "__meta", "__rank", "__head", "__head_size"]
 # Longer posting lists are dealt to several tasks in pairs of blocks of this size.
 BLOCK = 2048
 # Ids of documents to fetch for verification are broadcast up to this many bytes, and joined with a shuffle beyond.
 BROADCAST_BYTES = 32 << 20
-REMEMBERED_WORDS = 1_000_000
+# Sets that a task keeps while it verifies pairs.
+KEPT_SETS = 256
 
-_word_hashes: dict[bytes, int] = {}
+def _random_table(size: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, size, np.uint64, endpoint=False)
 
 
-def _word_hash(word: bytes) -> int:
-    h = _word_hashes[word] = xxhash.xxh3_64_intdigest(word)
-    return h
+BYTE_VALUES = _random_table(256)
+IS_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LONG_WORD = 64
+with np.errstate(over="ignore"):
+    POWERS = np.cumprod(np.append(np.uint64(1), np.full(LONG_WORD - 1, 0xD1342543DE82EF95, np.uint64)))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words between ASCII blanks: a polynomial over the bytes, or xxHash for long words."""
+    points = np.frombuffer(data, np.uint8)
+    blank = IS_BLANK[points]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    terms = BYTE_VALUES[points[~blank]] * POWERS[place & (LONG_WORD - 1)]
+    hashes = np.add.reduceat(terms, first) ^ (lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return hashes
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a text; a text of fewer words is one shingle."""
-    # bytes.lower and bytes.split know A-Z and the ASCII blanks only, as asked for.
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    if len(_word_hashes) > REMEMBERED_WORDS:
-        _word_hashes.clear()
-    known = _word_hashes.get
-    hashes = np.array([known(w) or _word_hash(w) for w in found], np.uint64)
+    # bytes.lower knows A-Z only, as asked for.
+    hashes = word_hashes(text.encode("utf-8", "surrogatepass").lower())
+    if not len(hashes):
+        return hashes
     width = min(words, len(hashes))
     count = len(hashes) - width + 1
     mixed = np.full(count, width, np.uint64)
@@ -75,7 +96,9 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
         mixed = (mixed ^ hashes[i : i + count]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
     mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(mixed ^ (mixed >> np.uint64(29)))
+    mixed ^= mixed >> np.uint64(29)
+    mixed.sort()
+    return mixed[np.append(True, mixed[1:] != mixed[:-1])]
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -194,14 +217,14 @@ def prefixes(docs: DataFrame, counts: np.ndarray, text: str, words: int, similar
 
 
 def shared_lists(rows: DataFrame, partitions: int) -> DataFrame:
-    """The posting lists with two nodes or more: prefix rows with `__rank`, the place in the list.
+    """The posting lists with two nodes or more: prefix rows with `__rank`, the place in the list, and its first node.
 
     The rows stream through in the order of the token; a list is never held as a whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int]] = []
-        rank = 0
+        rank, head, head_size = 0, 0, 0
         for batch in batches:
             columns = [batch.column(i).to_numpy() for i in range(3)]
             if held:
@@ -214,107 +237,127 @@ def shared_lists(rows: DataFrame, partitions: int) -> DataFrame:
             start = np.maximum.accumulate(np.where(opens, np.arange(len(token)), 0))
             place = np.arange(len(token)) - start
             place = np.where(start == 0, place + rank, place)
+            heads, sizes = node[start], meta[start] // 64
+            if rank:
+                heads, sizes = np.where(start == 0, head, heads), np.where(start == 0, head_size, sizes)
             # The last row waits for the next batch, which tells whether its list goes on.
             several = (place > 0) | np.append(~opens[1:], False)
-            yield from _lists(token[:-1], node[:-1], meta[:-1], place[:-1], several[:-1])
+            yield from _lists(several[:-1], *[c[:-1] for c in (token, node, meta, place, heads, sizes)])
             held, rank = [(token[-1], node[-1], meta[-1])], int(place[-1])
+            head, head_size = int(heads[-1]), int(sizes[-1])
         if held and rank:
-            yield from _lists(*[np.array([x]) for x in (*held[0], rank)], np.array([True]))
+            yield from _lists(np.array([True]), *[np.array([x]) for x in (*held[0], rank, head, head_size)])
 
     dealt = rows.repartition(partitions, "__token").sortWithinPartitions("__token", "__node")
-    return dealt.mapInArrow(run, "__token long, __node long, __meta long, __rank long")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in LIST_COLUMNS))
 
 
-def _lists(token, node, meta, place, kept) -> Iterator[pa.RecordBatch]:
+def _lists(kept: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     if kept.any():
-        columns = [token[kept], node[kept], meta[kept], place[kept]]
-        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["__token", "__node", "__meta", "__rank"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[kept].astype(np.int64)) for c in columns], names=LIST_COLUMNS)
 
 
-def block_pairs(lists: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """List rows with their bitmaps, once for each pair of blocks of the list: `__i` <= `__j`, own block `__own`."""
+def star_pairs(lists: DataFrame, similarity: int) -> DataFrame:
+    """(`__a`, `__b`): for each node that one among the first nodes of its lists which it shares the most with."""
+    size, head = F.floor(F.col("__meta") / 64), F.col("__head_size")
+    fits = F.least(size, head) * 100 >= F.greatest(size, head) * similarity
+    shared = lists.where((F.col("__node") != F.col("__head")) & fits).groupBy("__node", "__head").agg(F.count(F.lit(1)).alias("__n"))
+    best = shared.groupBy("__node").agg(F.max(F.struct("__n", "__head")).alias("__best"))
+    return best.select(F.col("__best.__head").alias("__a"), F.col("__node").alias("__b"))
+
+
+def block_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """List rows with the bitmap and group of their node, once for each pair of blocks of the list: `__i` <= `__j`, own block `__own`."""
     long = lists.where(F.pmod("__rank", F.lit(BLOCK)) == 0).groupBy("__token").agg(F.max("__rank").alias("__top"))
     long = long.where(F.col("__top") > 0).withColumnRenamed("__token", "__long")
-    rows = lists.join(bitmaps, "__node").join(long, F.col("__token") == F.col("__long"), "left")
+    rows = lists.join(nodes, "__node").join(long, F.col("__token") == F.col("__long"), "left")
     own = F.floor(F.col("__rank") / BLOCK).cast("int")
     blocks = F.floor(F.coalesce("__top", F.lit(0)) / BLOCK).cast("int")
-    rows = rows.select("__token", "__node", "__meta", "__bitmap", own.alias("__own"), F.explode(F.sequence(F.lit(0), blocks)).alias("__other"))
+    rows = rows.select("__token", "__node", "__meta", "__bitmap", "__group", own.alias("__own"), F.explode(F.sequence(F.lit(0), blocks)).alias("__other"))
     return rows.select(
-        "__token", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), "__own", "__node", "__meta", "__bitmap"
+        "__token", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), "__own", "__node", "__meta", "__bitmap", "__group"
     )
 
 
-def _compare(node, meta, bits, left, right, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, level needed) of the pairs between the row numbers `left` and `right` that may be similar."""
-    size, own, chosen = meta // 64, meta // 8 % 8, meta % 8
-    for i in left:
-        j = right[right > i] if right is left else right
-        if not len(j):
-            continue
-        need = np.minimum(chosen[i], chosen[j])
+def _compare(node, meta, bits, known, group, one_block, own, similarity: int) -> Iterator[list[np.ndarray]]:
+    """[a, b, level needed] of the pairs within the groups of sorted rows that may be similar and are not `known` as linked.
+
+    Rows are paired with the next row, then with the one after it, and so on, all groups at once.
+    """
+    size, level, chosen = meta // 64, meta // 8 % 8, meta % 8
+    i = np.arange(len(node))
+    for d in range(1, len(node)):
+        i = i[: np.searchsorted(i, len(node) - d)]
+        i = i[group[i] == group[i + d]]
+        if not len(i):
+            return
+        j = i + d
         both = size[i] + size[j]
         least = -(-similarity * both // (100 + similarity))
-        fits = (own[i] <= need) & (own[j] <= need) & (least <= np.minimum(size[i], size[j])) & (node[i] != node[j])
-        j, need, room = j[fits], need[fits], (both - 2 * least)[fits]
-        if len(j):
-            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
-            ok = apart <= room
-            if ok.any():
-                j, need = j[ok], need[ok]
-                yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), need
+        need = np.minimum(chosen[i], chosen[j])
+        fits = (level[i] <= need) & (level[j] <= need) & (least <= np.minimum(size[i], size[j])) & (known[i] != known[j]) & (one_block[i] | (own[i] != own[j]))
+        x, y = i[fits], j[fits]
+        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
+        ok = apart <= (both - 2 * least)[fits]
+        if ok.any():
+            x, y = x[ok], y[ok]
+            yield [np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), need[fits][ok]]
+
+
+def _counted_pairs(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """Equal pairs of a task folded to one row with their number."""
+    a, b, need = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((b, a))
+    a, b, need = a[order], b[order], need[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    counts = np.diff(np.append(first, len(a)))
+    columns = [a[first], b[first], need[first].astype(np.int32), counts.astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["__a", "__b", "__need", "__n"])
 
 
 def candidates(blocks: DataFrame, partitions: int, similarity: int) -> DataFrame:
     """Distinct pairs (`__a`, `__b`) that share as many prefix shingles as their levels ask for."""
     names = ["__token", "__i", "__j"]
 
-    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        if table.num_rows < 2:
-            return
-        node, meta, own = (table.column(c).to_numpy() for c in ("__node", "__meta", "__own"))
+    def compare(table: pa.Table) -> Iterator[list[np.ndarray]]:
+        columns = {c: table.column(c).to_numpy() for c in (*names, "__own", "__node", "__meta", "__group")}
         bits = np.frombuffer(b"".join(table.column("__bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
-        first, last = table.column("__i")[0].as_py(), table.column("__j")[0].as_py()
-        left = np.flatnonzero(own == first)
-        right = left if first == last else np.flatnonzero(own == last)
-        out, size = [], 0
-        for part in _compare(node, meta, bits, left, right, similarity):
-            out.append(part)
-            size += len(part[0])
-            if size > 100_000:
-                yield _pair_batch(out)
-                out, size = [], 0
-        if out:
-            yield _pair_batch(out)
+        opens = np.any([columns[c][1:] != columns[c][:-1] for c in names], axis=0)
+        group = np.cumsum(np.append(False, opens))
+        same = columns["__i"] == columns["__j"]
+        yield from _compare(columns["__node"], columns["__meta"], bits, columns["__group"], group, same, columns["__own"], similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
+        out: list[list[np.ndarray]] = []
+
+        def collect(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for part in compare(table):
+                out.append(part)
+                if sum(len(p[0]) for p in out) > 500_000:
+                    yield _counted_pairs(out)
+                    out.clear()
+
         for batch in batches:
             keys = [batch.column(c).to_numpy() for c in names]
             cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            edges = [0, *cuts.tolist(), batch.num_rows]
-            for a, b in zip(edges, edges[1:]):
-                here = tuple(k[a] for k in keys)
-                if held and here != last:
-                    yield from flush(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = here
+            # The last group waits for the next batch, which may go on with it.
+            last = int(cuts[-1]) if len(cuts) else 0
+            if last:
+                yield from collect(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
         if held:
-            yield from flush(held)
+            yield from collect(pa.Table.from_batches(held))
+        if out:
+            yield _counted_pairs(out)
 
     dealt = blocks.repartition(partitions, *names).sortWithinPartitions(*names)
-    pairs = dealt.mapInArrow(run, "__a long, __b long, __need int")
-    counted = pairs.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n"), F.max("__need").alias("__need"))
+    pairs = dealt.mapInArrow(run, "__a long, __b long, __need int, __n long")
+    counted = pairs.groupBy("__a", "__b").agg(F.sum("__n").alias("__n"), F.max("__need").alias("__need"))
     return counted.where(F.col("__n") >= F.col("__need")).select("__a", "__b")
 
 
-def _pair_batch(parts) -> pa.RecordBatch:
-    a, b, need = (np.concatenate(c) for c in zip(*parts))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], names=["__a", "__b", "__need"])
-
-
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """The pairs whose whole sets reach the similarity. `texts`: `__node`, `__text`."""
     left = texts.select(F.col("__node").alias("__a"), F.col("__text").alias("__left"))
@@ -323,13 +366,18 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, y = None, np.empty(0, np.uint64)
+        sets: dict[int, np.ndarray] = {}
         for batch in batches:
             a, b = batch.column("__a").to_pylist(), batch.column("__b").to_pylist()
             kept = []
             for row in range(batch.num_rows):
                 if b[row] != last:  # the join gives equal ones together
                     last, y = b[row], shingle_set(batch.column("__right")[row].as_py(), words)
-                x = shingle_set(batch.column("__left")[row].as_py(), words)
+                x = sets.get(a[row])
+                if x is None:
+                    if len(sets) >= KEPT_SETS:
+                        sets.clear()
+                    x = sets[a[row]] = shingle_set(batch.column("__left")[row].as_py(), words)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= similarity * (len(x) + len(y) - common):
                     kept.append(row)
@@ -383,16 +431,17 @@ def similar_groups(
         .agg(F.min("__id").alias("__value"), F.first("__bitmap").alias("__bitmap")),
         "classes",
     )
-    blocks = block_pairs(lists, classes.select("__node", "__bitmap"))
-    pairs = materialize(candidates(blocks, partitions, similarity), "candidates")
-    # The texts of the nodes in candidates, one for each, by the least id of its class.
-    nodes = pairs.select(F.col("__a").alias("__node")).unionByName(pairs.select(F.col("__b").alias("__node"))).distinct()
-    wanted = materialize(nodes.join(classes.select("__node", F.col("__value").alias("__id")), "__node"), "wanted")
-    rows = docs.select(F.col(key).alias("__id"), whole_text(text).alias("__text"))
-    needed = F.broadcast(wanted) if wanted.count() * 24 <= BROADCAST_BYTES else wanted
-    texts = rows.join(needed, "__id").select("__node", "__text")
-    links = materialize(verified(pairs, _own_text(texts, words), words, similarity).distinct(), "verified")
-    found = components(links, classes.select("__node", "__value"))
+    values = classes.select("__node", "__value")
+    # One pair for each node first: its links join most of a large group, and pairs inside a component need no more work.
+    first = materialize(star_pairs(lists, similarity), "stars")
+    links = materialize(verified(first, _texts_of(docs, first, values, key, text, words), words, similarity), "verified")
+    joined = components(links, values).withColumnRenamed("__value", "__least")
+    numbered = joined.select("__node", F.xxhash64("__least").alias("__group"))
+    nodes = classes.select("__node", "__bitmap").join(numbered, "__node", "left")
+    nodes = nodes.select("__node", "__bitmap", F.coalesce("__group", F.xxhash64(F.lit("node"), "__node")).alias("__group"))
+    pairs = materialize(candidates(block_pairs(lists, nodes), partitions, similarity), "candidates")
+    more = materialize(verified(pairs, _texts_of(docs, pairs, values, key, text, words), words, similarity), "verified")
+    found = components(links.unionByName(more), values)
     named = classes.select("__node", F.col("__value").alias("__class")).join(
         found.withColumnRenamed("__value", "__component"), "__node", "left"
     )
@@ -404,6 +453,16 @@ def similar_groups(
     )
 
 
+def _texts_of(docs: DataFrame, pairs: DataFrame, values: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(`__node`, `__text`) of the nodes in stored pairs: one text each, by the least id of its class."""
+    ids = pairs.select(F.col("__a").alias("__node")).unionByName(pairs.select(F.col("__b").alias("__node"))).distinct()
+    wanted = materialize(ids.join(values.withColumnRenamed("__value", "__id"), "__node"), "wanted")
+    rows = docs.select(F.col(key).alias("__id"), whole_text(text).alias("__text"))
+    needed = F.broadcast(wanted) if wanted.count() * 24 <= BROADCAST_BYTES else wanted
+    own = _own_text(rows.join(needed, "__id").select("__node", "__text"), words)
+    return materialize(own.dropDuplicates(["__node"]), "texts")
+
+
 def _own_text(texts: DataFrame, words: int) -> DataFrame:
     """Of the texts under one id only the one whose set is the node's."""
 
