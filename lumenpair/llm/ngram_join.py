@@ -441,7 +441,15 @@ def similar_groups(
     nodes = nodes.select("__node", "__bitmap", F.coalesce("__group", F.xxhash64(F.lit("node"), "__node")).alias("__group"))
     pairs = materialize(candidates(block_pairs(lists, nodes), partitions, similarity), "candidates")
     more = materialize(verified(pairs, _texts_of(docs, pairs, values, key, text, words), words, similarity), "verified")
-    found = components(links.unionByName(more), values)
+    # The second round of links joins components, so it is resolved among their names alone.
+    label = materialize(
+        values.join(joined, "__node", "left").select("__node", F.coalesce("__least", "__value").alias("__value")), "labels"
+    )
+    end = lambda c: label.select(F.col("__node").alias(c), F.col("__value").alias(f"{c}_name"))
+    bridges = more.join(end("__a"), "__a").join(end("__b"), "__b").select(F.col("__a_name").alias("__a"), F.col("__b_name").alias("__b"))
+    names = label.select(F.col("__value").alias("__node"), "__value").distinct()
+    merged = components(bridges.where("__a <> __b").distinct(), names).select(F.col("__node").alias("__value"), F.col("__value").alias("__least"))
+    found = label.join(merged, "__value", "left").select("__node", F.coalesce("__least", "__value").alias("__value"))
     named = classes.select("__node", F.col("__value").alias("__class")).join(
         found.withColumnRenamed("__value", "__component"), "__node", "left"
     )
