@@ -38,6 +38,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import let
 from ..session import materialize, work_partitions
 from .frames import whole_text
 
@@ -116,18 +117,12 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     """
     unit = F.col("__unit")
     n = F.length(unit)
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda s: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s)),
-                lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substr(unit, s + 1, k).alias("piece")),
-            ),
-        )
-    )
     spark = units.sparkSession
     known = spark.createDataFrame(list(pieces.table), "piece string, id int, score double")
-    rows = units.select("__unit", F.explode(spans).alias("x")).select("__unit", "x.s", "x.e", "x.piece")
+    # Places, then lengths: two explodes of numbers, so that no substring is made before its row.
+    places = units.select("__unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = places.select("__unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("k"))
+    rows = spans.select("__unit", "s", (F.col("s") + F.col("k")).alias("e"), F.substr(unit, F.col("s") + 1, F.col("k")).alias("piece"))
     # One vocabulary, whose size the model file fixes. The first character stays, known or not, so that no unit is lost.
     hits = rows.join(F.broadcast(known), "piece", "left").where(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("e") == 1)))
     edge = F.struct("e", "s", "score", "id")
@@ -166,9 +161,12 @@ def merge_fold(unit: Column, edges: Column) -> Column:
         )
 
     start = F.struct((_bit(n + 1) - 1).alias("b"), ready.alias("edges"))
-    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+    # Every step merges one edge or is the last that could.
+    most = F.least(n - 1, F.size(ready))
+    steps = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
     bounds = F.aggregate(steps, start, step, lambda state: state["b"])
-    return F.filter(F.sequence(F.lit(0), n - 1), lambda i: bounds.bitwiseAND(_bit(i)) != 0)
+    # Bound to a variable: inside the filter's lambda the fold would run for each place again.
+    return let(bounds, lambda b: F.filter(F.sequence(F.lit(0), n - 1), lambda i: b.bitwiseAND(_bit(i)) != 0))
 
 
 def viterbi_fold(unit: Column, edges: Column, unknown: float = -1e6) -> Column:
