@@ -9,10 +9,10 @@ has seen it.
 The chain is fitted on at most `max_rows` labelled rows (the first in the order
 of a hash of the id), a documented bound; it scores every row on its whole text.
 
-Defined results: a null or empty text has no words and gets the probability of
-the bias alone. A null label is no training row. Repeated rows stay. An empty
-table gives an empty result. Without labelled rows the probability is 0, and
-with one class only it is near that class. Only the named columns are read.
+Defined results: a text with no stem that a model knows, such as a null or empty
+one, gets probability 0, as do all texts where no stem tells the classes apart or
+no row is labelled. A null label is no training row. Repeated rows stay. An empty
+table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -58,6 +58,8 @@ class Model:
 
     def score(self, found: set[str], before: Sequence[float]) -> float:
         words = found & self.weights.keys()
+        if not words:
+            return 0.0  # nothing to judge by
         z = self.weights.get(BIAS, -40.0) + sum(map(self.weights.__getitem__, sorted(words)))
         return float(sigmoid(z + sum(w * p for w, p in zip(self.earlier, before))))
 
