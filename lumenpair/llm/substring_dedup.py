@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .frames import whole_text
 
 MIN_WORDS = 24
@@ -101,6 +102,8 @@ def repeated_units(
         .where(F.col("__n") > 1)
         .select("__digest", F.col("__first.__id").alias("__fid"), F.col("__first.__at").alias("__fat"))
     )
+    # Stored, so that both sides of the join are plain exchanges, which adaptive execution splits at hot digests.
+    first = materialize(first, "repeats")
     later = units.join(first, "__digest").where(
         ~(F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("__at") == F.col("__fat")))
     )
