@@ -156,8 +156,10 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = materialize(next_documents(lengths), "links")
     # Texts are shuffled once, as both joins use this exchange; of the next texts only the starts move on.
     rows = rows.groupBy("__key").agg(F.first("__text").alias("__text"))
+    # Keys of one type, down to nullability: a cast would shuffle the texts again.
+    same = lambda c: F.struct(F.col(f"{c}.id").alias("id"), F.coalesce(F.col(f"{c}.hash"), F.lit(0)).alias("hash"))
     wanted = links.select(
-        F.col("__next").alias("__key"), F.col("__key").alias("__for"), F.floor(F.col("__n") / 3).cast("int").alias("__need")
+        same("__next").alias("__key"), same("__key").alias("__for"), F.floor(F.col("__n") / 3).cast("int").alias("__need")
     )
     heads = rows.join(wanted, "__key").select(
         F.col("__for").alias("__key"), "__need", F.substr("__text", F.lit(1), F.col("__need")).alias("__head")
