@@ -77,7 +77,12 @@ FROM ruled
 
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every repeated unit that is removed, with its place and the occurrence that stays."""
-    return repeated_units(table(spark, folder, "documents"))
+    return repeated_units(table(spark, folder, "documents")).drop("text_hash")
+
+
+def op2_whole_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with every later occurrence of a whole line, whatever its length."""
+    return repeated_units(table(spark, folder, "documents"), whole_lines=True).drop("text_hash")
 
 
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,6 +150,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
+    "op2_whole_line_dedup": op2_whole_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,

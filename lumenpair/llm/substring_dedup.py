@@ -6,15 +6,18 @@ lines of its own. Units are compared lower-cased with white space as one space,
 a 128-bit digest. Of each digest the occurrence with the lowest (rank, place)
 stays. The others go where they stand together: in runs of neighbouring repeated
 units of at least `min_words` words, so that a short sentence which two texts
-share by chance is left alone.
+share by chance is left alone. With `whole_lines` that rule holds for sentences
+inside running text only: a later occurrence of a whole line (of one sentence or
+several) goes whatever its length, and so does a paragraph, line by line.
 
 Digests are counted with a combine on the map side and joined back by equality,
 a join that adaptive execution splits; no occurrence list of a digest meets in
 one task.
 
 Defined results: null, empty and blank texts have no units. Repeated rows with
-one id count as one document (units at the same place are one unit). Ties in
-the rank cannot occur, as it is the id. An empty table gives an empty result.
+one id and text count as one document; an id with different texts, null
+included, is a document for each, ranked by a hash of the text after the id (a
+null id first). An empty table gives an empty result.
 Only the named columns are read.
 """
 
@@ -43,38 +46,66 @@ def units_of(text: str) -> Iterator[tuple[int, int, int, bytes]]:
     for unit in text.split("\n"):
         words = unit.split()
         if words:
-            yield start, start + len(unit), len(words), xxhash.xxh3_128_digest(" ".join(words).lower().encode("utf-8", "surrogatepass"))
+            yield start, start + len(unit), len(words), _digest(words)
         start += len(unit) + 1
 
 
-def text_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each unit: `__id`, `__i` (number in the text), `__at` (start), `__end`, `__words`, `__digest`."""
-    rows = docs.select(F.col(key).alias("__id"), whole_text(text).alias("__text"))
+def _digest(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words).lower().encode("utf-8", "surrogatepass"))
+
+
+def units_and_lines(text: str) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(number, units, start, end, words, digest) of each unit and, before its units, of each line of several.
+
+    `units` is the number of units of a whole line, 0 for a sentence beside others.
+    """
+    found, i, start = list(units_of(text)), 0, 0
+    for line in text.split("\n"):
+        start += len(line) + 1
+        begin = i
+        while i < len(found) and found[i][0] < start:
+            i += 1
+        if i - begin > 1:
+            words = line.split()
+            yield begin, i - begin, found[begin][0], found[i - 1][1], len(words), _digest(words)
+        for k in range(begin, i):
+            yield k, int(i - begin == 1), *found[k]
+
+
+def text_units(docs: DataFrame, key: str = "doc_id", text: str = "text", whole_lines: bool = False) -> DataFrame:
+    """One row for each unit: `__id`, `__hash` (of the text), `__i` (number in the text), `__units`, `__at` (start), `__end`, `__words`, `__digest`.
+
+    With `whole_lines` as in `units_and_lines`; else `__units` is 0.
+    """
+    rows = docs.select(F.col(key).alias("__id"), F.xxhash64(whole_text(text)).alias("__hash"), whole_text(text).alias("__text"))
     kind = dict(rows.dtypes)["__id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("__id"), batch.column("__text").to_pylist()
+            texts = batch.column("__text").to_pylist()
             # In steps of some megabytes, as a unit row is larger than a short unit.
             for part in _steps(texts):
-                found = [list(units_of(t)) for t in texts[part]]
+                if whole_lines:
+                    found = [list(units_and_lines(t)) for t in texts[part]]
+                else:
+                    found = [[(i, 0, *u) for i, u in enumerate(units_of(t))] for t in texts[part]]
                 rows_of = np.repeat(np.arange(part.start, part.stop), [len(f) for f in found])
                 flat = [u for f in found for u in f]
                 if flat:
-                    start, end, words, digest = zip(*flat)
+                    *places, digest = zip(*flat)
+                    at = pa.array(rows_of)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids.take(pa.array(rows_of)),
-                            pa.array([i for f in found for i in range(len(f))], pa.int32()),
-                            pa.array(start, pa.int32()),
-                            pa.array(end, pa.int32()),
-                            pa.array(words, pa.int32()),
+                            batch.column("__id").take(at),
+                            batch.column("__hash").take(at),
+                            *[pa.array(p, pa.int32()) for p in places],
                             pa.array(digest, pa.binary()),
                         ],
-                        names=["__id", "__i", "__at", "__end", "__words", "__digest"],
+                        names=["__id", "__hash", "__i", "__units", "__at", "__end", "__words", "__digest"],
                     )
 
-    return rows.mapInArrow(run, f"__id {kind}, __i int, __at int, __end int, __words int, __digest binary")
+    places = "__i int, __units int, __at int, __end int, __words int"
+    return rows.mapInArrow(run, f"__id {kind}, __hash bigint, {places}, __digest binary")
 
 
 def _steps(texts: list[str], size: int = 4 << 20) -> Iterator[slice]:
@@ -89,36 +120,41 @@ def _steps(texts: list[str], size: int = 4 << 20) -> Iterator[slice]:
 
 
 def repeated_units(
-    docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text", whole_lines: bool = False
 ) -> DataFrame:
-    """The units to remove: key, start_char, end_char, words, first_<key>, first_char.
+    """The units to remove: key, text_hash, start_char, end_char, words, first_<key>, first_char.
 
-    The last two name the occurrence that stays.
+    The last two name the occurrence that stays. A line of several units that
+    goes as a whole is one row.
     """
-    units = text_units(docs, key, text)
+    units = text_units(docs, key, text, whole_lines)
     first = (
         units.groupBy("__digest")
-        .agg(F.min(F.struct("__id", "__at")).alias("__first"), F.count(F.lit(1)).alias("__n"))
+        .agg(F.min(F.struct("__id", "__hash", "__at")).alias("__first"), F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > 1)
-        .select("__digest", F.col("__first.__id").alias("__fid"), F.col("__first.__at").alias("__fat"))
+        .select("__digest", *[F.col(f"__first.__{x}").alias(f"__f{x}") for x in ("id", "hash", "at")])
     )
     # Stored, so that both sides of the join are plain exchanges, which adaptive execution splits at hot digests.
     first = materialize(first, "repeats")
-    later = units.join(first, "__digest").where(
-        ~(F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("__at") == F.col("__fat")))
-    )
+    itself = F.col("__id").eqNullSafe(F.col("__fid")) & (F.col("__hash") == F.col("__fhash")) & (F.col("__at") == F.col("__fat"))
+    later = units.join(first, "__digest").where(~itself).drop("__digest", "__fhash")
     # Neighbouring units of a document meet after the join; a document's units are as many as its text has.
-    within = Window.partitionBy("__id")
-    ordered = within.orderBy("__at")
-    rows = later.select("__id", "__i", "__at", "__end", "__words", "__fid", "__fat").dropDuplicates(["__id", "__at"])
+    # A line comes before its units. Repeated rows lie side by side.
+    ordered = Window.partitionBy("__id", "__hash").orderBy("__at", F.desc("__units"))
+    again = (F.col("__at") == F.lag("__at").over(ordered)) & (F.col("__units") == F.lag("__units").over(ordered))
+    rows = later.withColumn("__again", F.coalesce(again, F.lit(False))).where(~F.col("__again"))
+    several = F.col("__units") > 1
     opens = (F.col("__i") > F.lag("__i").over(ordered) + 1).cast("int")
-    runs = rows.withColumn("__opens", F.coalesce(opens, F.lit(0))).withColumn("__run", F.sum("__opens").over(ordered))
-    total = F.sum("__words").over(Window.partitionBy("__id", "__run"))
+    until = F.max(F.when(several, F.col("__i") + F.col("__units"))).over(ordered)
+    runs = rows.withColumns({"__opens": F.coalesce(opens, F.lit(0)), "__until": F.coalesce(until, F.lit(0))})
+    runs = runs.withColumn("__run", F.sum("__opens").over(ordered))
+    total = F.sum(F.when(several, 0).otherwise(F.col("__words"))).over(Window.partitionBy("__id", "__hash", "__run"))
     return (
         runs.withColumn("__total", total)
-        .where(F.col("__total") >= min_words)
+        .where(several | (F.col("__i") >= F.col("__until")) & ((F.col("__units") == 1) | (F.col("__total") >= min_words)))
         .select(
             F.col("__id").alias(key),
+            F.col("__hash").alias("text_hash"),
             F.col("__at").cast("bigint").alias("start_char"),
             F.col("__end").cast("bigint").alias("end_char"),
             F.col("__words").alias("words"),

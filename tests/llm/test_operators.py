@@ -103,6 +103,44 @@ def test_substring_units_against_brute_force(spark, texts):
     assert {(r.doc_id, r.start_char, r.end_char, r.first_doc_id, r.first_char) for r in got.collect()} == want
 
 
+def test_whole_lines_against_brute_force(spark):
+    texts = dict(connect("/root/testdata/sf0.01").sql("SELECT doc_id, text FROM documents").fetchall())
+    same = lambda t: " ".join(t.lower().split())
+    first, want, lines = {}, defaultdict(set), Counter()
+    for i in sorted(texts):
+        at = 0
+        for line in texts[i].split("\n"):
+            spans = [(m.start(), m.end()) for m in re.finditer(r"(?:(?![.!?] ).)+[.!?]?", line)] if line.strip() else []
+            for a, b in sorted({*spans, (0, len(line))}) if spans else ():
+                first.setdefault(same(line[a:b]), (i, at + a))
+            if line.strip() and first[same(line)] != (i, at):
+                want[i].add((at, at + len(line.rstrip())))
+                lines[same(line)] += 1
+            at += len(line) + 1
+    assert sum(n for t, n in lines.items() if len(t.split()) < substring_dedup.MIN_WORDS) > 100
+    gone = defaultdict(set)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for r in substring_dedup.repeated_units(docs, whole_lines=True).collect():
+        gone[r.doc_id].update(range(r.start_char, r.end_char))
+    assert [(i, s) for i, found in want.items() for s in found if not gone[i].issuperset(range(*s))] == []
+
+
+def test_whole_lines(spark):
+    docs = [
+        (1, "A licence line. Of two sentences.\nShort one.\nsome text. Chance repeat. more text"),
+        (2, "a  licence line. Of two sentences. \nother text. Chance repeat. end of it"),
+        (3, "Short one.\nChance repeat.\nOf two sentences."),
+        (4, "x y. Short one. A licence line."),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = substring_dedup.repeated_units(df, whole_lines=True).collect()
+    found = {(r.doc_id, dict(docs)[r.doc_id][r.start_char : r.end_char], r.first_doc_id, r.first_char) for r in got}
+    assert len(got) == 4 and found == {
+        (2, "a  licence line. Of two sentences.", 1, 0), (3, "Short one.", 1, 34), (3, "Chance repeat.", 1, 56), (3, "Of two sentences.", 1, 16),
+    }
+    assert substring_dedup.repeated_units(df).collect() == []
+
+
 def test_token_counts(spark, texts, tmp_path):
     odd = ["", None, " á\tb", "X<|endoftext|>y <|startoftext|>", "ΟΔΟΣ. İ", "it's, a., b.. c", "中文 字.\u0085", "\x1c\x1d a\r\n", "9" * 300]
     rows = [*texts.items(), *[(10_000 + i, t) for i, t in enumerate(odd)]]
