@@ -14,7 +14,7 @@ from .ngram_join import similar_groups
 from .quote_links import as_mail, link_conversations
 from .secrets import scan_report
 from .sentencepiece_lattice import encode_documents
-from .substring_dedup import repeated_units
+from .substring_dedup import deduplicated, repeated_units
 from .token_counts import count_tokens
 from .toxicity import toxicity
 from .url_filter import UrlRule, canonical_url, filter_urls, url_host
@@ -81,8 +81,8 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_whole_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with every later occurrence of a whole line, whatever its length."""
-    return repeated_units(table(spark, folder, "documents"), whole_lines=True).drop("text_hash")
+    """Every document without its repeats, later whole lines of any length among them, with the original places."""
+    return deduplicated(table(spark, folder, "documents"))
 
 
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -182,9 +182,39 @@ def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "kept"])
 
 
+def _cut(docs: DataFrame, removed: DataFrame, key: str, text: str) -> DataFrame:
+    """Each document whole in `__row`, its removed units in `__gone`, and `__out`: what is left."""
+    rows = docs.select(
+        F.col(key).alias("__id"), F.xxhash64(whole_text(text)).alias("__hash"), whole_text(text).alias("__text"), F.struct(*[docs[c] for c in docs.columns]).alias("__row")
+    )
+    place = F.struct("start_char", "end_char", f"first_{key}", "first_char")
+    # A row repeated with one id and text has its units once.
+    spans = removed.groupBy(F.col(key).alias("__of"), F.col("text_hash").alias("__of_hash")).agg(
+        F.array_sort(F.collect_list(place)).alias("__gone")
+    )
+    joined = rows.join(spans, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__of_hash")), "left")
+    without = F.pandas_udf(_without, WITHOUT)
+    return joined.select("__id", "__row", "__gone", without(F.col("__text"), F.col("__gone")).alias("__out"))
+
+
 def remove_repeats(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents without the removed units; `kept_spans` are the original places of what stays, in order."""
-    spans = removed.groupBy(key).agg(F.collect_list(F.struct("start_char", "end_char")).alias("__gone"))
-    without = F.pandas_udf(_without, WITHOUT)
-    joined = docs.join(spans, key, "left").withColumn("__out", without(whole_text(text), F.col("__gone")))
-    return joined.withColumns({text: F.col("__out.text"), "kept_spans": F.col("__out.kept")}).drop("__gone", "__out")
+    columns = [F.col("__out.text").alias(c) if c == text else F.col("__row")[c].alias(c) for c in docs.columns]
+    return _cut(docs, removed, key, text).select(*columns, F.col("__out.kept").alias("kept_spans"))
+
+
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: key, text (what is left), n_chars, kept_spans, removed_spans.
+
+    Later whole lines go whatever their length. Each removed span names the
+    occurrence that stays.
+    """
+    docs = docs.select(key, text)
+    removed = repeated_units(docs, min_words, key, text, whole_lines=True)
+    return _cut(docs, removed, key, text).select(
+        F.col("__id").alias(key),
+        F.col("__out.text").alias(text),
+        F.length("__out.text").cast("bigint").alias("n_chars"),
+        F.col("__out.kept").alias("kept_spans"),
+        F.coalesce("__gone", F.array()).alias("removed_spans"),
+    )

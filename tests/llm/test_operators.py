@@ -141,6 +141,34 @@ def test_whole_lines(spark):
     assert substring_dedup.repeated_units(df).collect() == []
 
 
+def test_deduplicated_texts(spark, texts):
+    got = queries.QUERIES["op2_whole_line_dedup"](spark, SMALL).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts) and any(r.removed_spans for r in got)
+    for r in got:
+        whole = texts[r.doc_id] or ""
+        assert r.text == "".join(whole[s.start_char : s.end_char] for s in r.kept_spans) and r.n_chars == len(r.text)
+        kept = {i for s in r.kept_spans for i in range(s.start_char, s.end_char)}
+        gone = {i for s in r.removed_spans for i in range(s.start_char, min(len(whole), s.end_char + 1))}
+        assert kept == set(range(len(whole))) - gone
+        for s in r.removed_spans:
+            origin = texts[s.first_doc_id][s.first_char :].lower().split()
+            unit = whole[s.start_char : s.end_char].lower().split()
+            assert origin[: len(unit)] == unit
+
+
+def test_repeats_of_rows_without_an_id(spark):
+    docs = [(None, "one line\nof its own"), (None, "own text\none line"), (None, "own text\none line"), (1, "one line"), (1, "x\none line"), (2, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = substring_dedup.remove_repeats(df, substring_dedup.repeated_units(df, whole_lines=True)).collect()
+    left = Counter((r.doc_id, r.text) for r in got)
+    # Which of the two texts without an id comes first is up to a hash.
+    assert sum(left.values()) == 6 and left[1, ""] == left[1, "x\n"] == left[2, None] + left[2, ""] == 1
+    assert left in (
+        Counter({(None, docs[0][1]): 1, (None, "own text\n"): 2, (1, ""): 1, (1, "x\n"): 1, (2, ""): 1}),
+        Counter({(None, "of its own"): 1, (None, docs[1][1]): 2, (1, ""): 1, (1, "x\n"): 1, (2, ""): 1}),
+    )
+
+
 def test_token_counts(spark, texts, tmp_path):
     odd = ["", None, " á\tb", "X<|endoftext|>y <|startoftext|>", "ΟΔΟΣ. İ", "it's, a., b.. c", "中文 字.\u0085", "\x1c\x1d a\r\n", "9" * 300]
     rows = [*texts.items(), *[(10_000 + i, t) for i, t in enumerate(odd)]]
