@@ -28,7 +28,7 @@ from ..operators.ordering import dense_index
 from ..session import materialize
 from .frames import whole_text
 
-SAMPLES = 16
+SAMPLES = 64
 BLANKS = "[ \\t\\n\\r\\x0b\\f]+"
 _HALF = 1 << 32
 

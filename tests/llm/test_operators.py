@@ -386,6 +386,22 @@ def test_fingerprints(spark):
     assert abs(np.mean(gaps)) < 0.03 and np.abs(gaps).max() < 0.3
 
 
+def test_fingerprints_of_the_query(spark, texts):
+    got = {r.doc_id: r for r in queries.QUERIES["op9_fingerprints"](spark, SMALL).collect()}
+    order = sorted(texts, reverse=True)
+    gaps = []
+    for i, j in zip(order, [*order[1:], order[0]]):
+        t, after = texts[i] or "", texts[j] or ""
+        n = len(t) // 3
+        a, b, c = (Counter(x.split()) for x in (t, t[: len(t) - n] + after[:n], after))
+        for other, near in ((b, got[i].near_edited), (c, got[i].near_next)):
+            union = sum((a | other).values())
+            gaps.append(near - (sum((a & other).values()) / union if union else 1.0))
+    assert all(len(r.fingerprint) >= 8 * 64 for r in got.values())
+    # Standard deviation of a share of 64 samples is at most 0.0625.
+    assert abs(np.mean(gaps)) < 0.02 and np.std(gaps) < 0.0625 and np.abs(gaps).max() < 0.28
+
+
 def test_weights(spark):
     df = spark.createDataFrame([("b a  b\nc b a",)], "t string")
     runs = df.select(F.explode(fingerprints._runs(F.sort_array(fingerprints.weighted_terms(F.col("t"))))).alias("x")).select("x.*")
