@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from .ngram_join import similar_groups
 from .quote_links import as_mail, link_conversations
 from .secrets import scan_report
 from .sentencepiece_lattice import encode_documents
+from .spelling_groups import spelling_groups
 from .substring_dedup import deduplicated, repeated_units
 from .token_counts import count_tokens
 from .toxicity import toxicity
@@ -142,8 +142,15 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequent words of all documents with their near words, forms and roots."""
+    return spelling_groups(table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus pipeline over all documents."""
+    import corpus_pipeline
+
     return corpus_pipeline.run(tune(spark), folder)
 
 
@@ -159,6 +166,7 @@ QUERIES = {
     "op8_quote_links": op8_quote_links,
     "op9_fingerprints": op9_fingerprints,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_spelling_groups": op13_spelling_groups,
     "pipeline": pipeline,
 }
 ORACLES = {"op1_url_filter": OP1_SQL, "op8_quote_links": OP8_SQL}
