@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path, tune
 from .decontaminate import contaminations
 from .fingerprints import compare_with_next
+from .hard_negatives import hard_negatives
 from .ngram_join import similar_groups
 from .quote_links import as_mail, link_conversations
 from .secrets import scan_report
@@ -142,6 +143,35 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every anchor; each seventh row carries the next label."""
+    vectors = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.select("vec_id", label.alias("label"), "embedding"))
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), positive AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
 def op13_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Frequent words of all documents with their near words, forms and roots."""
     return spelling_groups(table(spark, folder, "documents"))
@@ -166,7 +196,8 @@ QUERIES = {
     "op8_quote_links": op8_quote_links,
     "op9_fingerprints": op9_fingerprints,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_spelling_groups": op13_spelling_groups,
     "pipeline": pipeline,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op8_quote_links": OP8_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op8_quote_links": OP8_SQL, "op12_hard_negatives": OP12_SQL}
