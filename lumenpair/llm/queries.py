@@ -10,6 +10,7 @@ from ..session import scratch_path, tune
 from .decontaminate import contaminations
 from .fingerprints import compare_with_next
 from .hard_negatives import hard_negatives
+from .minhash_join import near_duplicates
 from .ngram_join import similar_groups
 from .quote_links import as_mail, link_conversations
 from .secrets import scan_report
@@ -107,6 +108,34 @@ def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def _components_sql(similarity: int, columns: str) -> str:
+    """Components of the documents whose shingle sets reach the similarity, by a self-join on shingles."""
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w
+), sized AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS name FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM shared JOIN sized x ON a = x.doc_id JOIN sized y ON b = y.doc_id
+  WHERE 100 * shared.n >= {similarity} * (x.n + y.n - shared.n)
+), both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link), reach AS (
+  SELECT doc_id AS node, doc_id AS first FROM documents UNION SELECT b, first FROM reach JOIN both_ways ON a = node
+), component AS (SELECT node AS doc_id, min(first) AS component_id FROM reach GROUP BY node),
+class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY name) AS class_id FROM sized)
+SELECT doc_id, coalesce(sized.n, 0) AS n_shingles, component_id, {columns}
+FROM documents JOIN component USING (doc_id) LEFT JOIN sized USING (doc_id) LEFT JOIN class USING (doc_id)
+"""
+
+
+OP6_SQL = _components_sql(75, "coalesce(class_id, doc_id) AS class_id")
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every place where a document holds a benchmark item within its edit budget."""
     return contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -143,6 +172,14 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_minhash_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingle sets and components of every document, by MinHash collisions."""
+    return near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP11_SQL = _components_sql(85, "doc_id = component_id AS kept")
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     """Hard negatives of every anchor; each seventh row carries the next label."""
     vectors = table(spark, folder, "embeddings")
@@ -196,8 +233,15 @@ QUERIES = {
     "op8_quote_links": op8_quote_links,
     "op9_fingerprints": op9_fingerprints,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_minhash_join": op11_minhash_join,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_spelling_groups": op13_spelling_groups,
     "pipeline": pipeline,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op8_quote_links": OP8_SQL, "op12_hard_negatives": OP12_SQL}
+ORACLES = {
+    "op1_url_filter": OP1_SQL,
+    "op6_ngram_join": OP6_SQL,
+    "op8_quote_links": OP8_SQL,
+    "op11_minhash_join": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+}
