@@ -6,7 +6,7 @@ import os
 import tarfile
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from lumenpair.functions.records import has_caption_and_image

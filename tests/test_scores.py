@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from lumenpair.operators import diagnostics as D
