@@ -2,13 +2,18 @@
 
 Images are (image_id, feature), captions are (text_id, image_id, feature) with
 many captions to an image. The similarity matrix is never stored: each tile of
-it lives in one task, which emits counts or its own top k only.
+it lives in one task, which emits counts only; top k comes out of walks (`walks`).
+
+Rows take part if their vector is there, has no missing or non-finite number, and
+has the width that most rows have. A caption whose image takes no part takes none
+either, nor does an image without any caption left: `set_aside` lists both with reasons.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +24,15 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, l2_normalize
 from ..session import materialize
 from .ordering import exact_median, top_per_group
+from .walks import walked
 
-# Rows of each side per tile, at most and at least; a task holds two blocks of vectors and
-# one strip of scores.
+# Rows of each side per tile, at most and at least, and the bytes that one side may take;
+# a task holds two blocks of vectors and one strip of scores.
 MAX_TILE_ROWS, MIN_TILE_ROWS = 32768, 1024
+SIDE_BYTES = 32 << 20
 STRIP_ROWS = 512
+# Bytes of inputs that a pair scorer is given at once.
+STRIP_BYTES = 64 << 20
 MAX_TILE_TASKS = 100_000
 # Scores closer than this count as equal: block and row kernels sum in different orders.
 TIE = 1e-9
@@ -44,24 +53,67 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1)
 
 
-def without_vector(images: DataFrame, captions: DataFrame) -> DataFrame:
-    """(image_id, text_id, reason): the rows that take no part in all-pairs work as they have no vector."""
-    missing = F.col("feature").isNull()
+def _whole(feature: Column, width: int) -> Column:
+    finite = F.forall(feature.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return feature.isNotNull() & (F.size(feature) == width) & finite
+
+
+class Shape(NamedTuple):
+    """Rows of each side that have the common width, and that width."""
+
+    images: int
+    captions: int
+    width: int
+
+    @property
+    def sizes(self) -> tuple[int, int]:
+        return self.images, self.captions
+
+
+def shape_of(images: DataFrame, captions: DataFrame) -> Shape:
+    """The width that most vectors of both sides have (the smaller one of equals), and the rows with it, in one job."""
+    widths = [
+        side.where(F.col("feature").isNotNull()).select(F.size("feature").alias("w"), F.lit(k).alias("side"))
+        for k, side in enumerate((images, captions))
+    ]
+    rows = widths[0].unionByName(widths[1])
+    counted = rows.groupBy("w").agg(F.count_if(F.col("side") == 0).alias("i"), F.count_if(F.col("side") == 1).alias("t"))
+    found = counted.orderBy(F.desc(F.col("i") + F.col("t")), "w").limit(1).collect()
+    return Shape(found[0].i, found[0].t, found[0].w) if found else Shape(0, 0, 0)
+
+
+def usable(df: DataFrame, width: int, feature: str = "feature") -> DataFrame:
+    return df.where(_whole(F.col(feature), width))
+
+
+def set_aside(images: DataFrame, captions: DataFrame) -> DataFrame:
+    """(image_id, text_id, reason): the rows that take no part in all-pairs work, with the first reason that holds."""
+    width = shape_of(images, captions).width
     none = F.lit(None).cast("bigint")
-    return (
-        images.where(missing)
-        .select("image_id", none.alias("text_id"), F.lit("image has no vector").alias("reason"))
-        .unionByName(captions.where(missing).select("image_id", "text_id", F.lit("caption has no vector").alias("reason")))
+    broken = lambda name: F.when(F.col("feature").isNull(), F.lit(f"{name} has no vector")).when(
+        F.size("feature") != width, F.lit(f"{name} has a vector of another width")
+    ).when(~_whole(F.col("feature"), width), F.lit(f"{name} has a vector with missing or non-finite numbers"))
+    own = images.select("image_id", broken("image").alias("__image"), F.lit(True).alias("__there"))
+    texts = captions.select("text_id", "image_id", broken("caption").alias("__caption")).join(own, "image_id", "left")
+    orphan = F.when(F.col("__there").isNull(), F.lit("caption has no image")).when(
+        F.col("__image").isNotNull(), F.lit("image of the caption takes no part")
     )
+    of_texts = texts.select("image_id", "text_id", F.coalesce("__caption", orphan).alias("reason"))
+    kept = texts.where(F.col("__caption").isNull()).select("image_id").distinct()
+    served = own.join(kept.withColumn("__served", F.lit(True)), "image_id", "left")
+    lonely = F.when(F.col("__served").isNull(), F.lit("image has no caption that takes part"))
+    of_images = served.select("image_id", none.alias("text_id"), F.coalesce("__image", lonely).alias("reason"))
+    return of_images.unionByName(of_texts).where(F.col("reason").isNotNull())
 
 
 def _column(table: pa.Table, column: str) -> np.ndarray:
     return table.column(column).to_numpy()
 
 
-def choose_tile(n_left: int, n_right: int, cores: int) -> int:
-    """Rows per tile side: large, to repeat few rows, yet small enough to occupy all cores."""
-    return int(min(MAX_TILE_ROWS, max(MIN_TILE_ROWS, math.sqrt(n_left * n_right / (2 * cores)))))
+def choose_tile(n_left: int, n_right: int, cores: int, row_bytes: int = 1) -> int:
+    """Rows per tile side: large, to repeat few rows, yet small enough to occupy all cores and to fit `SIDE_BYTES`."""
+    most = max(1, min(MAX_TILE_ROWS, SIDE_BYTES // max(1, row_bytes)))
+    return int(min(most, max(MIN_TILE_ROWS, math.sqrt(n_left * n_right / (2 * cores)))))
 
 
 def tiles(
@@ -71,17 +123,17 @@ def tiles(
     kernel: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
     tile_rows: int | None = None,
+    row_bytes: int = 1,
 ) -> DataFrame:
     """Run `kernel` on every (left block, right block) tile of image_id and text_id rows.
 
     Rows go to blocks by a hash of their unique id, so blocks are even whatever
     the data look like; each side is shuffled once per block of the other.
-    `sizes` are the row counts (upper bounds will do). Rows without a vector are
-    left out; `without_vector` lists them.
+    `sizes` are the row counts (upper bounds will do), `row_bytes` what a row of
+    the wider side takes.
     """
     spark = left.sparkSession
-    left, right = (s.where(F.col("feature").isNotNull()) if "feature" in s.columns else s for s in (left, right))
-    tile_rows = tile_rows or choose_tile(*sizes, spark.sparkContext.defaultParallelism)
+    tile_rows = tile_rows or choose_tile(*sizes, spark.sparkContext.defaultParallelism, row_bytes)
     left_blocks, right_blocks = (max(1, math.ceil(n / tile_rows)) for n in sizes)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -124,13 +176,15 @@ def similarity_summary(images: DataFrame, captions: DataFrame, tile_rows: int |
             {k: pa.array(np.concatenate(v) if v else [], types.get(k, pa.float64())) for k, v in out.items()}
         )
 
+    shape = shape_of(images, captions)
     parts = tiles(
-        normalized(images.select("image_id", "feature")),
-        normalized(captions.select("text_id", "feature")),
-        (images.count(), captions.count()),
+        normalized(usable(images, shape.width).select("image_id", "feature")),
+        normalized(usable(captions, shape.width).select("text_id", "feature")),
+        shape.sizes,
         kernel,
         "image_id bigint, n bigint, hi double, lo double, total double",
         tile_rows,
+        8 * shape.width,
     )
     return parts.groupBy("image_id").agg(
         F.sum("n").alias("n_texts"),
@@ -140,12 +194,17 @@ def similarity_summary(images: DataFrame, captions: DataFrame, tile_rows: int |
     )
 
 
-def _rank_counts(left: DataFrame, right: DataFrame, sizes: tuple[int, int], tile_rows: int | None) -> DataFrame:
+Strips = Callable[[pa.Table, pa.Table], Iterator[tuple[slice, np.ndarray]]]
+
+
+def _rank_counts(
+    left: DataFrame, right: DataFrame, sizes: tuple[int, int], tile_rows: int | None, row_bytes: int, strips: Strips = _strips
+) -> DataFrame:
     """(side, id, above): how many scores of the row (side 'i') or column (side 't') exceed its threshold.
 
-    `left` is (image_id, threshold, feature), `right` is (text_id, threshold,
-    feature). Where both have a `tie_id`, equal scores of a smaller opposite id
-    count as well.
+    `left` is (image_id, threshold, ...), `right` is (text_id, threshold, ...), with what
+    `strips` scores. Where both have a `tie_id`, equal scores of a smaller opposite
+    id count as well.
     """
     ties = "tie_id" in left.columns
 
@@ -155,7 +214,7 @@ def _rank_counts(left: DataFrame, right: DataFrame, sizes: tuple[int, int], tile
         itie, ttie = (_column(l, "tie_id"), _column(r, "tie_id")) if ties else (None, None)
         above_i = np.zeros(len(iid), dtype=np.int64)
         above_t = np.zeros(len(tid), dtype=np.int64)
-        for rows, sims in _strips(l, r):
+        for rows, sims in strips(l, r):
             gap_i = sims - ithr[rows, None]
             gap_t = sims - tthr[None, :]
             hit_i, hit_t = gap_i > TIE, gap_t > TIE
@@ -172,7 +231,7 @@ def _rank_counts(left: DataFrame, right: DataFrame, sizes: tuple[int, int], tile
             }
         )
 
-    parts = tiles(left, right, sizes, kernel, "side string, id bigint, above bigint", tile_rows)
+    parts = tiles(left, right, sizes, kernel, "side string, id bigint, above bigint", tile_rows, row_bytes)
     return parts.groupBy("side", "id").agg(F.sum("above").alias("above"))
 
 
@@ -188,16 +247,16 @@ def retrieval_ranks(images: DataFrame, captions: DataFrame, tile_rows: int | Non
     """(side, id, rank) in both directions, 1 + number of strictly greater scores.
 
     Side 'i' ranks the best caption of an image, side 't' the image of a
-    caption. Images without a caption and captions without an image take no
-    part; `images_without_caption` lists the former.
+    caption. `set_aside` lists the rows that take no part.
     """
-    unit_images, unit_captions = normalized(images), normalized(captions)
+    shape = shape_of(images, captions)
+    unit_images, unit_captions = (normalized(usable(side, shape.width)) for side in (images, captions))
     own = positive_scores(unit_images, unit_captions)
     best = own.groupBy("image_id").agg(F.max("score").alias("threshold"))
     left = unit_images.select("image_id", "feature").join(best, "image_id")
     right = unit_captions.select("text_id", "feature").join(own.select("text_id", F.col("score").alias("threshold")), "text_id")
-    sizes = (images.count(), captions.count())
-    return _rank_counts(left, right, sizes, tile_rows).select("side", "id", (F.col("above") + 1).alias("rank"))
+    counts = _rank_counts(left, right, shape.sizes, tile_rows, 8 * shape.width)
+    return counts.select("side", "id", (F.col("above") + 1).alias("rank"))
 
 
 def images_without_caption(images: DataFrame, captions: DataFrame) -> DataFrame:
@@ -206,7 +265,10 @@ def images_without_caption(images: DataFrame, captions: DataFrame) -> DataFrame:
 
 def paired_ranks(pairs: DataFrame, tile_rows: int | None = None) -> DataFrame:
     """(side, id, rank) for pairs (pair_id, image, text): the partner's place in the
-    ordering by score descending, then id ascending."""
+    ordering by score descending, then id ascending. Pairs with an unusable vector
+    on either side take no part."""
+    shape = shape_of(pairs.select(F.col("image").alias("feature")), pairs.select(F.col("text").alias("feature")))
+    pairs = usable(usable(pairs, shape.width, "image"), shape.width, "text")
     unit = pairs.select("pair_id", l2_normalize(F.col("image")).alias("image"), l2_normalize(F.col("text")).alias("text"))
     scored = unit.withColumn("threshold", dot(F.col("image"), F.col("text")))
     left = scored.select(
@@ -215,8 +277,8 @@ def paired_ranks(pairs: DataFrame, tile_rows: int | None = None) -> DataFrame:
     right = scored.select(
         F.col("pair_id").alias("text_id"), "threshold", F.col("pair_id").alias("tie_id"), F.col("text").alias("feature")
     )
-    n = pairs.count()
-    return _rank_counts(left, right, (n, n), tile_rows).select("side", "id", (F.col("above") + 1).alias("rank"))
+    counts = _rank_counts(left, right, shape.sizes, tile_rows, 8 * shape.width)
+    return counts.select("side", "id", (F.col("above") + 1).alias("rank"))
 
 
 def recall_metrics(ranks: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -247,64 +309,37 @@ def flat_metrics(metrics: DataFrame) -> DataFrame:
     )
 
 
-def top_pairs(images: DataFrame, captions: DataFrame, k: int, tile_rows: int | None = None) -> DataFrame:
+def top_pairs(
+    images: DataFrame,
+    captions: DataFrame,
+    k: int,
+    tile_rows: int | None = None,
+    sides: tuple[str, ...] = ("i", "t"),
+    shape: Shape | None = None,
+) -> DataFrame:
     """(side, image_id, text_id, sim, rn): k best captions per image (side 'i') and
-    k best images per caption (side 't'); equal scores (12 digits) go by id."""
-
-    def first_k(ids: np.ndarray, others: np.ndarray, sims: np.ndarray):
-        """Entries cut to the k best of each id."""
-        order = np.lexsort((others, -sims, ids))
-        ids, others, sims = ids[order], others[order], sims[order]
-        keep = np.arange(len(ids)) - np.searchsorted(ids, ids, side="left") < k
-        return ids[keep], others[keep], sims[keep]
-
-    def best(sims: np.ndarray, ids: np.ndarray, others: np.ndarray):
-        """Top k of each row of `sims`, in parallel arrays (id, other, sim)."""
-        width = min(k, sims.shape[1])
-        least = np.partition(sims, sims.shape[1] - width, axis=1)[:, sims.shape[1] - width]
-        row, col = np.nonzero(sims >= least[:, None])
-        return first_k(ids[row], others[col], sims[row, col])
-
-    def kernel(l: pa.Table, r: pa.Table) -> pa.Table:
-        iid, tid = _column(l, "image_id"), _column(r, "text_id")
-        rows_of_i, of_t = [], None
-        for rows, raw in _strips(l, r):
-            sims = np.round(raw, TOP_DIGITS)
-            rows_of_i.append(best(sims, iid[rows], tid))
-            t = best(sims.T, tid, iid[rows])
-            # Texts keep only their k best of all strips so far.
-            of_t = t if of_t is None else first_k(*(np.concatenate(c) for c in zip(of_t, t)))
-        of_i = [np.concatenate(c) for c in zip(*rows_of_i)] if rows_of_i else [np.empty(0)] * 3
-        of_t = of_t or [np.empty(0)] * 3
-        return pa.table(
-            {
-                "side": pa.array(np.repeat(["i", "t"], [len(of_i[0]), len(of_t[0])]), pa.string()),
-                "image_id": pa.array(np.concatenate([of_i[0], of_t[1]]).astype(np.int64)),
-                "text_id": pa.array(np.concatenate([of_i[1], of_t[0]]).astype(np.int64)),
-                "sim": pa.array(np.concatenate([of_i[2], of_t[2]]).astype(float)),
-            }
-        )
-
-    parts = tiles(
-        normalized(images.select("image_id", "feature")),
-        normalized(captions.select("text_id", "feature")),
-        (images.count(), captions.count()),
-        kernel,
-        "side string, image_id bigint, text_id bigint, sim double",
-        tile_rows,
-    )
-    own = F.when(F.col("side") == "i", F.col("image_id")).otherwise(F.col("text_id"))
-    other = F.when(F.col("side") == "i", F.col("text_id")).otherwise(F.col("image_id"))
-    named = parts.withColumns({"__own": own, "__other": other})
-    return top_per_group(
-        named, ["side", "__own"], [F.desc("sim"), F.col("__other")], k, ["__other"], salts=8
-    ).drop("__own", "__other")
+    k best images per caption (side 't'), or one of them; equal scores (12 digits) go by id."""
+    shape = shape or shape_of(images, captions)
+    cores = images.sparkSession.sparkContext.defaultParallelism
+    rows = tile_rows or choose_tile(*shape.sizes, cores, 8 * shape.width)
+    a = normalized(usable(images, shape.width).select(F.col("image_id").alias("id"), "feature"))
+    b = normalized(usable(captions, shape.width).select(F.col("text_id").alias("id"), "feature"))
+    walks = {"i": (a, b, shape.sizes), "t": (b, a, shape.sizes[::-1])}
+    ids = {"i": ("__own", "__other"), "t": ("__other", "__own")}
+    parts = []
+    for side in sides:
+        found = walked(*walks[side], k, rows)
+        best = top_per_group(found, ["__own"], [F.desc("sim"), F.col("__other")], k, ["__other"], salts=8)
+        image, text = ids[side]
+        parts.append(best.select(F.lit(side).alias("side"), F.col(image).alias("image_id"), F.col(text).alias("text_id"), "sim", "rn"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def candidate_pairs(images: DataFrame, captions: DataFrame, k: int, tile_rows: int | None = None) -> DataFrame:
     """Distinct (image_id, text_id, sim): top k of both directions, k held within both sizes."""
-    k = max(1, min(int(k), images.count(), captions.count()))
-    found = top_pairs(images, captions, k, tile_rows)
+    shape = shape_of(images, captions)
+    k = max(1, min(int(k), *shape.sizes))
+    found = top_pairs(images, captions, k, tile_rows, shape=shape)
     return found.groupBy("image_id", "text_id").agg(F.max("sim").alias("sim"))
 
 
@@ -331,6 +366,10 @@ def rerank_ranks(
     out and put back with exact scores. Cost beyond the tiles is linear in
     candidates.
     """
+    width = shape_of(images, captions).width
+    # Candidates among the rows that take part only, else others would push ranks.
+    captions = usable(captions, width).join(usable(images, width).select("image_id"), "image_id", "left_semi")
+    images = usable(images, width).join(captions.select("image_id"), "image_id", "left_semi")
     candidates = materialize(candidate_pairs(images, captions, k, tile_rows), "candidates")
     rescored = materialize(
         candidates.select("image_id", "text_id", F.col("sim").alias("coarse")).join(
@@ -338,6 +377,7 @@ def rerank_ranks(
         ),
         "rescored",
     )
+    shape = shape_of(images, captions)
     unit_images, unit_captions = normalized(images), normalized(captions)
     own = (
         positive_scores(unit_images, unit_captions)
@@ -347,7 +387,7 @@ def rerank_ranks(
     best = own.groupBy("image_id").agg(F.max("score").alias("threshold"))
     left = unit_images.select("image_id", "feature").join(best, "image_id")
     right = unit_captions.select("text_id", "feature").join(own.select("text_id", F.col("score").alias("threshold")), "text_id")
-    coarse = _rank_counts(left, right, (images.count(), captions.count()), tile_rows)
+    coarse = _rank_counts(left, right, shape.sizes, tile_rows, 8 * shape.width)
 
     def shift(ids: str, thresholds: DataFrame, side: str) -> DataFrame:
         over = lambda c: (F.col(c) > F.col("threshold") + TIE).cast("int")
@@ -376,9 +416,209 @@ def exact_by_features(images: DataFrame, captions: DataFrame) -> Callable[[DataF
     return score
 
 
-PROTOCOLS = {"global": "dual_encoder_global", "rerank_topk": "global_topk_exact_rerank"}
+class PairScorer(Protocol):
+    """Scores that depend on the pair: `__call__` takes aligned inputs, one entry for each pair."""
+
+    image_inputs: tuple[str, ...]
+    text_inputs: tuple[str, ...]
+
+    def __call__(self, images: dict[str, np.ndarray], texts: dict[str, np.ndarray]) -> np.ndarray: ...
+
+
+class AttentionScorer:
+    """Pools an image's tokens by their attention to a caption's cues, and compares with the caption's feature.
+
+    tokens [n, K, D], cues [n, C, D], text_feature [n, D]: weights are the mean over cues of
+    softmax(tokens . cue), the score is the cosine of the weighted sum and the feature.
+    """
+
+    image_inputs = ("tokens",)
+    text_inputs = ("cues", "text_feature")
+
+    def __call__(self, images: dict[str, np.ndarray], texts: dict[str, np.ndarray]) -> np.ndarray:
+        tokens, cues, feature = images["tokens"], texts["cues"], texts["text_feature"]
+        raw = np.einsum("nkd,ncd->nck", tokens, cues)
+        weights = np.exp(raw - raw.max(axis=2, keepdims=True))
+        weights = (weights / weights.sum(axis=2, keepdims=True)).mean(axis=1)
+        pooled = np.einsum("nk,nkd->nd", weights, tokens)
+        scale = np.maximum(np.linalg.norm(pooled, axis=1), 1e-12) * np.maximum(np.linalg.norm(feature, axis=1), 1e-12)
+        return np.einsum("nd,nd->n", pooled, feature) / scale
+
+
+def _tensor(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of equally shaped nested lists as one array."""
+    values = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    dims = [len(values)]
+    while pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        dims.append(len(values[0]) if len(values) else 0)
+        values = values.flatten()
+    return values.to_numpy(zero_copy_only=False).astype(float).reshape(dims)
+
+
+def input_shape(df: DataFrame, inputs: tuple[str, ...]) -> Column:
+    """Shapes of a row's inputs as one string: null where one is missing, holds a missing number, or is ragged."""
+    kinds = dict(df.dtypes)
+    parts, whole = [], F.lit(True)
+    for name in inputs:
+        x = F.col(name)
+        dims = [F.size(x)]
+        for _ in range(kinds[name].count("array<") - 1):
+            sizes = F.transform(x, lambda v: F.size(v))
+            dims.append(F.when(F.array_min(sizes) == F.array_max(sizes), F.array_max(sizes)))
+            x = F.flatten(x)  # null if one of the lists is
+        whole = whole & F.col(name).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")))
+        for d in dims:
+            whole = whole & d.isNotNull()
+        parts.append(F.concat_ws("x", *dims))
+    return F.when(whole, F.concat_ws(",", *parts))
+
+
+def common_shape(df: DataFrame, inputs: tuple[str, ...]) -> tuple[str | None, int]:
+    """The most frequent shape of the inputs (the smaller one of equals) and its number of rows."""
+    shapes = df.select(input_shape(df, inputs).alias("shape")).where(F.col("shape").isNotNull())
+    found = shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "shape").limit(1).collect()
+    return (found[0].shape, found[0].n) if found else (None, 0)
+
+
+def _shape_bytes(shape: str | None) -> int:
+    return 8 * sum(math.prod(map(int, part.split("x"))) for part in (shape or "1").split(","))
+
+
+def conditioned_ranks(
+    images: DataFrame, captions: DataFrame, factory: Callable[[], PairScorer], tile_rows: int | None = None
+) -> DataFrame:
+    """(side, id, rank) in both directions, every image-caption pair scored by a pair scorer.
+
+    `images` holds image_id and the scorer's image inputs, `captions` text_id, image_id
+    and its text inputs. Rows whose inputs are missing, or shaped otherwise than most, take no
+    part, nor do their partners. Tiles are cut by the bytes of the inputs; within a tile
+    the scorer is given as many pairs at once as fit `STRIP_BYTES`. The scorer is built
+    once a task.
+    """
+    scorer = factory()
+    sides = []
+    for df, key, inputs in ((images, ["image_id"], scorer.image_inputs), (captions, ["text_id", "image_id"], scorer.text_inputs)):
+        shape, n = common_shape(df, inputs)
+        kept = df.where(input_shape(df, inputs) == F.lit(shape)) if shape else df.limit(0)
+        sides.append((kept.select(*key, *inputs), n, _shape_bytes(shape)))
+    (a, n_images, image_bytes), (b, n_captions, text_bytes) = sides
+    pair_rows = max(1, STRIP_BYTES // (image_bytes + text_bytes))
+    both = b.join(a, "image_id").select("text_id", "image_id", *scorer.image_inputs, *scorer.text_inputs)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = factory()
+        for batch in batches:
+            for start in range(0, batch.num_rows, pair_rows):
+                part = batch.slice(start, pair_rows)
+                given = [{c: _tensor(part.column(c)) for c in names} for names in (own.image_inputs, own.text_inputs)]
+                scores = pa.array(np.asarray(own(*given), float))
+                yield pa.RecordBatch.from_arrays([part.column("text_id"), part.column("image_id"), scores], names=["text_id", "image_id", "score"])
+
+    # Stored once, as the model's work is read by both directions.
+    own = materialize(both.mapInArrow(score, "text_id long, image_id long, score double"), "own")
+    best = own.groupBy("image_id").agg(F.max("score").alias("threshold"))
+    left = a.join(best, "image_id")
+    right = b.drop("image_id").join(own.select("text_id", F.col("score").alias("threshold")), "text_id")
+
+    def strips(l: pa.Table, r: pa.Table) -> Iterator[tuple[slice, np.ndarray]]:
+        if not l.num_rows or not r.num_rows:
+            return
+        model = factory()
+        given = {c: _tensor(l.column(c)) for c in model.image_inputs}
+        texts = {c: _tensor(r.column(c)) for c in model.text_inputs}
+        step = max(1, pair_rows // r.num_rows)
+        wide = min(r.num_rows, pair_rows)
+        for start in range(0, l.num_rows, step):
+            rows = slice(start, min(start + step, l.num_rows))
+            n = rows.stop - rows.start
+            scores = np.empty((n, r.num_rows))
+            for first in range(0, r.num_rows, wide):
+                part = slice(first, min(first + wide, r.num_rows))
+                m = part.stop - part.start
+                x = {c: np.repeat(v[rows], m, axis=0) for c, v in given.items()}
+                y = {c: np.tile(v[part], (n, *[1] * (v.ndim - 1))) for c, v in texts.items()}
+                scores[:, part] = np.asarray(model(x, y), float).reshape(n, m)
+            yield rows, scores
+
+    counts = _rank_counts(left, right, (n_images, n_captions), tile_rows, max(image_bytes, text_bytes), strips)
+    return counts.select("side", "id", (F.col("above") + 1).alias("rank"))
+
+
+PROTOCOLS = {"global": "dual_encoder_global", "rerank_topk": "global_topk_exact_rerank", "full": "full_exact_conditioned"}
 
 
 def protocol(mode: Column) -> Column:
     """Name of the retrieval protocol of a mode."""
     return F.coalesce(*[F.when(mode == k, F.lit(v)) for k, v in PROTOCOLS.items()])
+
+
+class RetrievalModel(NamedTuple):
+    """A model's features of one retrieval set, and its pair scorer if it has one.
+
+    images: image_id, feature and the scorer's image inputs; captions: text_id, image_id,
+    feature and its text inputs.
+    """
+
+    name: str
+    images: DataFrame
+    captions: DataFrame
+    scorer: Callable[[], PairScorer] | None = None
+
+
+UNSUPPORTED = "the model has no pair scorer, so it cannot score every pair with conditioning"
+
+
+def exact_by_scorer(images: DataFrame, captions: DataFrame, factory: Callable[[], PairScorer]) -> Callable[[DataFrame], DataFrame]:
+    """Exact scores for `rerank_ranks` from a pair scorer."""
+
+    def score(candidates: DataFrame) -> DataFrame:
+        scorer = factory()
+        texts = captions.select("text_id", *scorer.text_inputs)
+        both = candidates.select("image_id", "text_id").join(images.select("image_id", *scorer.image_inputs), "image_id").join(texts, "text_id")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = factory()
+            for batch in batches:
+                if batch.num_rows:
+                    given = [{c: _tensor(batch.column(c)) for c in names} for names in (own.image_inputs, own.text_inputs)]
+                    sims = pa.array(np.asarray(own(*given), float))
+                    yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("text_id"), sims], names=["image_id", "text_id", "sim"])
+
+        return both.mapInArrow(run, "image_id long, text_id long, sim double")
+
+    return score
+
+
+def retrieval_report(models: list[RetrievalModel], mode: str, k: int = 100, tile_rows: int | None = None) -> DataFrame:
+    """One row for each model: status and reason, protocol, sizes, and i2t_ and t2i_ metrics.
+
+    Modes: 'global' compares features; 'rerank_topk' scores the best `k` candidates of both
+    directions anew where the model has a pair scorer; 'full' scores every pair by it,
+    and a model without one gets the status 'unsupported'.
+    """
+    rows = []
+    for m in models:
+        spark = m.images.sparkSession
+        if mode == "full" and m.scorer is None:
+            rows.append(spark.range(1).select(F.lit(m.name).alias("model"), F.lit("unsupported").alias("status"), F.lit(UNSUPPORTED).alias("reason")))
+            continue
+        if mode == "full":
+            ranks = conditioned_ranks(m.images, m.captions, m.scorer, tile_rows)
+        elif mode == "rerank_topk" and m.scorer is not None:
+            ranks = rerank_ranks(m.images, m.captions, k, exact_by_scorer(m.images, m.captions, m.scorer), tile_rows)
+        else:
+            ranks = retrieval_ranks(m.images, m.captions, tile_rows)
+        done = mode if mode != "rerank_topk" or m.scorer is not None else "global"
+        metrics = recall_metrics(ranks)
+        sizes = metrics.agg(
+            F.max(F.when(F.col("side") == "i", F.col("n"))).alias("num_images"), F.max(F.when(F.col("side") == "t", F.col("n"))).alias("num_captions")
+        )
+        named = sizes.select(
+            F.lit(m.name).alias("model"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"),
+            F.lit(PROTOCOLS[done]).alias("retrieval_protocol"), "num_images", "num_captions",
+        )
+        rows.append(named.join(F.broadcast(flat_metrics(metrics))))  # one row each
+    report = rows[0]
+    for r in rows[1:]:
+        report = report.unionByName(r, allowMissingColumns=True)
+    return report

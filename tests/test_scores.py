@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenpair.operators import diagnostics as D
 from lumenpair.operators import retrieval as V
 from lumenpair.operators import summaries as S
+from lumenpair.operators import walks as W
 
 
 def scores(spark, data):
@@ -152,3 +153,82 @@ def test_value_stats(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (float("-inf"),), (None,)], "v double")
     assert tuple(D.value_stats(df, "v").first()) == (2, 2, 1.0, 3.0, 2.0, 1.0)
     assert tuple(D.value_stats(df.where(F.isnan("v")), "v").first())[:3] == (1, 0, None)
+
+
+def test_rows_without_vectors_are_not_ranked(spark):
+    images = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [1.0, None])], "image_id bigint, feature array<double>")
+    texts = [(11, 2, [1.0, 0.0]), (12, 1, [1.0, 0.1]), (13, 3, None), (14, 9, [1.0, 1.0]), (15, 1, [1.0, 0.0, 0.0]), (16, 1, [float("nan"), 0.0])]
+    captions = spark.createDataFrame(texts, "text_id bigint, image_id bigint, feature array<double>")
+    assert rows(V.retrieval_ranks(images, captions)) == [("i", 1, 1), ("t", 12, 1)]
+    none = lambda c: c.withColumn("sim", F.lit(0.0))
+    assert rows(V.rerank_ranks(images, captions, 2, none)) == [("i", 1, 1), ("t", 12, 1)]
+    reasons = {(r.image_id, r.text_id): r.reason for r in V.set_aside(images, captions).collect()}
+    assert reasons == {
+        (2, None): "image has no vector",
+        (3, None): "image has no caption that takes part",
+        (4, None): "image has a vector with missing or non-finite numbers",
+        (2, 11): "image of the caption takes no part",
+        (3, 13): "caption has no vector",
+        (9, 14): "caption has no image",
+        (1, 15): "caption has a vector of another width",
+        (1, 16): "caption has a vector with missing or non-finite numbers",
+    }
+    pairs = spark.createDataFrame(
+        [(1, [1.0, 0.0], [1.0, 0.0]), (2, None, [1.0, 0.0]), (3, [0.0, 1.0], None)], "pair_id bigint, image array<double>, text array<double>"
+    )
+    assert rows(V.paired_ranks(pairs)) == [("i", 1, 1), ("t", 1, 1)]
+    assert V.retrieval_ranks(images.limit(0), captions.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("block_rows", [3, 7, 1000])
+def test_walks_equal_dense_matrix_and_emit_k_rows_a_run(spark, retrieval_set, block_rows):
+    images, texts, _, i, c = retrieval_set
+    sims = np.round(unit(images) @ unit(texts).T, 12)
+    want = {(n, int(j)) for n, row in enumerate(sims) for j in sorted(range(len(row)), key=lambda j: (-row[j], j))[:4]}
+    left = V.normalized(i.select(F.col("image_id").alias("id"), "feature"))
+    right = V.normalized(c.select(F.col("text_id").alias("id"), "feature"))
+    out = W.walked(left, right, (23, 60), 4, block_rows).collect()
+    runs = max(1, -(-W.packed_blocks(right, 60, block_rows, W.pivots_of(right, 60 // block_rows) if block_rows < 60 else None).count() // W.RUN_BLOCKS))
+    assert len(out) <= 4 * 23 * runs and (runs > 1 or {(r["__own"], r["__other"]) for r in out} == want)
+    top = V.top_pairs(i, c, 4, tile_rows=block_rows, sides=("i",))
+    assert {(r.image_id, r.text_id) for r in top.collect()} == want
+
+
+def test_walk_leaves_out_blocks_by_their_bound():
+    """Tight, distant clusters: after the nearest one no row looks into another block."""
+    rng = np.random.default_rng(3)
+    centers = np.eye(16)
+    right = [unit(c + 0.01 * rng.normal(size=(50, 16))) for c in centers]
+    left = unit(centers[0] + 0.01 * rng.normal(size=(40, 16)))
+    walk = W.Walk(np.arange(40), left, 5)
+    looked = []
+    for k, x in enumerate(right):
+        center = x.mean(axis=0)
+        looked.append(walk.visit(np.arange(50) + 50 * k, x, center, float(np.linalg.norm(x - center, axis=1).max())))
+    assert looked[0] == 40 and sum(looked[1:]) == 0
+    dense = np.round(left @ np.concatenate(right).T, 12)
+    want = {(n, int(j)) for n, row in enumerate(dense) for j in sorted(range(len(row)), key=lambda j: (-row[j], j))[:5]}
+    assert {(int(a), int(b)) for a, b in zip(walk.best[0], walk.best[1])} == want
+
+
+def test_conditioned_ranks_equal_dense_scores(spark):
+    rng = np.random.default_rng(8)
+    tokens, cues, feature = rng.normal(size=(9, 3, 4)), rng.normal(size=(20, 2, 4)), rng.normal(size=(20, 4))
+    owner = [n % 8 for n in range(20)]  # image 8 has no caption
+    i = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(tokens)] + [(50, None), (51, [[1.0], [2.0, 3.0]])], "image_id bigint, tokens array<array<double>>")
+    c = spark.createDataFrame(
+        [(k, owner[k], cues[k].tolist(), feature[k].tolist()) for k in range(20)] + [(90, 50, cues[0].tolist(), feature[0].tolist()), (91, 0, None, feature[0].tolist())],
+        "text_id bigint, image_id bigint, cues array<array<double>>, text_feature array<double>",
+    )
+    scorer = V.AttentionScorer()
+    dense = np.array([scorer({"tokens": np.repeat(t[None], 20, axis=0)}, {"cues": cues, "text_feature": feature}) for t in tokens[:8]])
+    want = [("i", n, 1 + int((dense[n] > max(dense[n][k] for k in range(20) if owner[k] == n) + 1e-9).sum())) for n in range(8)]
+    want += [("t", k, 1 + int((dense[:, k] > dense[owner[k], k] + 1e-9).sum())) for k in range(20)]
+    for tile in (None, 3):
+        assert rows(V.conditioned_ranks(i, c, V.AttentionScorer, tile)) == sorted(want, key=repr)
+    assert V.conditioned_ranks(i.limit(0), c, V.AttentionScorer).collect() == []
+
+
+def test_tiles_are_cut_by_bytes():
+    assert V.choose_tile(10**9, 10**9, 1000, 8 * 768) == V.SIDE_BYTES // (8 * 768)
+    assert V.choose_tile(10**9, 10**9, 1000, 8) == V.MAX_TILE_ROWS
