@@ -12,13 +12,13 @@ Counting merges two kinds of lists. A document is posted only under its rarest
 of hash buckets): documents with enough collisions meet in one of these prefix lists. The
 longer lists are skipped; a pair that meets is looked up in the two signatures instead,
 a quarter of the coordinates at a time, and left as soon as the rest cannot reach the
-threshold. It is counted in the first list that both prefixes share, and nowhere else.
+threshold. It is counted under the first list that both prefixes share, and nowhere else.
 
-Documents with equal sets are one node. Stars come first: every node is held against the
-first nodes of its lists, its best match is confirmed, and nodes linked so need no pair
-inside their component afterwards. A second star round works on what the first one left apart.
-Confirmation deals pairs by their groups, so that a text moves once for each pair of blocks
-of its group, not once for each pair of documents.
+Lists are merged by their first node: a node comes once to each such group (a large one is dealt in
+pairs of blocks), with its signature. A first pass tells which nodes have a match at all; these come
+again with their texts, and matches are confirmed in the same task, those with most collisions first.
+Nodes that a task has linked already are not confirmed again, and it emits one link for each node, so
+a group of copies gives no square of pairs. Documents with equal sets are one node.
 
 Defined results: null, empty and blank texts have no shingles, are linked with nothing,
 and their component is their own id. Rows with one id and different texts each have
@@ -35,24 +35,17 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, work_partitions
 from .frames import whole_text
-from .ngram_join import BROADCAST_BYTES, components, node_of, shingle_set
+from .groups import WORDS, Sets, components, grouped, in_blocks, links_of, list_heads, node_of, node_texts, shingle_set, similar
 
-WORDS = 5
 SIMILARITY = 85  # per cent
-COORDINATES = 64
+COORDINATES = 64  # at most, as prefixes are bits of a long
 MISS = 1e-8
 BUCKET_BITS = 18
-# Longer posting lists are dealt to several tasks in pairs of blocks of this size.
-BLOCK = 1024
-# Nodes of one group of candidates that are confirmed side by side.
-GROUP_BLOCK = 512
-STAR_ROUNDS = 2
 _MIX = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, (2, 256), np.uint64) | np.uint64(1)
 
 
@@ -137,7 +130,7 @@ def prefix_mask(tokens: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray
 
 
 def postings(nodes: DataFrame, counts: np.ndarray, coordinates: int, threshold: int) -> DataFrame:
-    """(`__token`, `__node`): each node under the coordinate-value pairs of its prefix."""
+    """(`__token`, `__node`, `__at`): each node under the coordinate-value pairs of its prefix."""
     shared = nodes.sparkSession.sparkContext.broadcast(counts)
     size = coordinates - threshold + 1
 
@@ -147,212 +140,79 @@ def postings(nodes: DataFrame, counts: np.ndarray, coordinates: int, threshold:
             tokens = tokens_of(signatures)
             mask = prefix_mask(tokens, shared.value, size)
             node = np.repeat(batch.column("__node").to_numpy(), mask.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[mask].view(np.int64)), pa.array(node)], names=["__token", "__node"])
+            columns = [tokens[mask].view(np.int64), node, np.nonzero(mask)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["__token", "__node", "__at"])
 
-    return nodes.select("__node", "__sig").mapInArrow(run, "__token long, __node long")
+    return nodes.select("__node", "__sig").mapInArrow(run, "__token long, __node long, __at long")
 
 
-def shared_lists(rows: DataFrame, partitions: int) -> DataFrame:
-    """Postings of the lists with two nodes or more, with `__rank`, the place in the list, and its first node.
+def members(rows: DataFrame, partitions: int) -> DataFrame:
+    """(`__head`, `__node`, `__own`): the nodes of each group, with the bits of the coordinates whose lists they share there."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__at").cast("int"))
+    return list_heads(rows, partitions).groupBy("__head", "__node").agg(F.bit_or(bit).alias("__own"))
 
-    The rows stream through in the order of the token; a list is never held as a whole.
-    """
-    names = ["__token", "__node", "__rank", "__head"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        rank, head = 0, 0
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            if held:
-                columns = [np.append(h, c) for h, c in zip(held, columns)]
-            token, node = columns
-            opens = np.append(True, token[1:] != token[:-1])
-            start = np.maximum.accumulate(np.where(opens, np.arange(len(token)), 0))
-            first = start == 0
-            place = np.arange(len(token)) - start + np.where(first, rank, 0)
-            heads = np.where(first & (rank > 0), head, node[start])
-            several = (place > 0) | np.append(~opens[1:], False)
-            # The last row waits for the next batch, which tells whether its list goes on.
-            kept = np.flatnonzero(several[:-1])
-            if len(kept):
-                yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (token, node, place, heads)], names=names)
-            held, rank, head = [token[-1:], node[-1:]], int(place[-1]), int(heads[-1])
-        if held and rank:
-            last = [held[0], held[1], np.array([rank]), np.array([head])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=names)
-
-    dealt = rows.repartition(partitions, "__token").sortWithinPartitions("__token", "__node")
-    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-
-
-def star_pairs(lists: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """(`__a`, `__b`): for each node the first node of its lists that it meets most often, from another group where groups are known."""
-    met = lists.where("__node <> __head").groupBy("__node", "__head").agg(F.count(F.lit(1)).alias("__n"))
-    if groups is not None:
-        side = lambda c: groups.select(F.col("__node").alias(c), F.col("__group").alias(f"{c}_group"))
-        met = met.join(side("__node"), "__node").join(side("__head"), "__head").where("__node_group <> __head_group")
-        # One candidate for each pair of groups that meet: the links between groups matter, not their number.
-        best = met.groupBy("__node_group", "__head_group").agg(F.max(F.struct("__n", "__head", "__node")).alias("__best"))
-    else:
-        best = met.groupBy("__node").agg(F.max(F.struct("__n", "__head", "__node")).alias("__best"))
-    return best.select(F.col("__best.__head").alias("__a"), F.col("__best.__node").alias("__b")).distinct()
-
-
-def block_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """List rows with signature and group, once for each pair of blocks of the list: `__i` <= `__j`, own block `__own`."""
-    long = lists.where(F.pmod("__rank", F.lit(BLOCK)) == 0).groupBy("__token").agg(F.max("__rank").alias("__top"))
-    long = long.where(F.col("__top") > 0).withColumnRenamed("__token", "__long")
-    own = F.floor(F.col("__rank") / BLOCK).cast("int")
-    blocks = F.floor(F.coalesce("__top", F.lit(0)) / BLOCK).cast("int")
-    rows = lists.select("__token", "__node", "__rank").join(long, F.col("__token") == F.col("__long"), "left")
-    rows = rows.select("__token", "__node", own.alias("__own"), F.explode(F.sequence(F.lit(0), blocks)).alias("__other")).join(nodes, "__node")
-    i, j = F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j")
-    return rows.select("__token", i, j, "__own", "__node", "__group", "__size", "__sig", "__mask")
-
-
-def _met(table: pa.Table, coordinates: int, threshold: int, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes with enough collisions that count in these lists; the rows lie in the order of the lists."""
-    names = ["__token", "__i", "__j"]
-    column = {c: table.column(c).to_numpy() for c in (*names, "__own", "__node", "__group", "__size")}
-    raw = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    signature = raw("__sig", np.uint32).reshape(-1, coordinates)
-    mask = np.unpackbits(raw("__mask", np.uint8).reshape(len(signature), -1), axis=1)[:, :coordinates].astype(bool)
-    token = tokens_of(signature)
-    here = token.view(np.int64) == column["__token"][:, None]
-    opens = np.any([column[c][1:] != column[c][:-1] for c in names], axis=0)
-    list_of = np.cumsum(np.append(False, opens))
-    one_block = column["__i"] == column["__j"]
-    group, own, node, size = (column[c] for c in ("__group", "__own", "__node", "__size"))
-    at = here.argmax(axis=1)
-    i = np.arange(len(node))
+def matches(table: pa.Table, coordinates: int, threshold: int, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, collisions) of the pairs of a group with at least `threshold` collisions that count here."""
+    column = {c: table.column(c).to_numpy() for c in ("__in", "__size", "__own", "__mask")}
+    signature = np.frombuffer(b"".join(table.column("__sig").to_pylist()), np.uint32).reshape(-1, coordinates)
+    bits = np.arange(coordinates, dtype=np.int64)
+    own, mask = ((column[c][:, None] >> bits) & 1 == 1 for c in ("__own", "__mask"))
+    size, block = column["__size"], column["__in"]
+    crossing = table.column("__i")[0].as_py() != table.column("__j")[0].as_py()
     step = max(1, coordinates // 4)
-    for d in range(1, len(node)):
-        i = i[: np.searchsorted(i, len(node) - d)]
-        i = i[list_of[i] == list_of[i + d]]
-        if not len(i):
-            return
-        j = i + d
-        fits = (group[i] != group[j]) & (one_block[i] | (own[i] != own[j]))
-        fits &= 100 * np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
-        x, y = i[fits], j[fits]
-        found = np.zeros(len(x), np.int64)
-        first = np.full(len(x), coordinates)
+    n = len(size)
+    found: list[tuple[np.ndarray, ...]] = []
+    for d in range(1, n):
+        x = np.arange(n - d)
+        y = x + d
+        fits = 100 * np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
+        if crossing:
+            fits &= block[x] != block[y]
+        x, y = x[fits], y[fits]
+        count, first = np.zeros(len(x), np.int64), np.full(len(x), coordinates)
         for start in range(0, coordinates, step):
+            if not len(x):
+                break
             part = slice(start, min(coordinates, start + step))
             equal = signature[x, part] == signature[y, part]
-            found += equal.sum(axis=1)
+            count += equal.sum(axis=1)
             both = equal & mask[x, part] & mask[y, part]
             first = np.where((first == coordinates) & both.any(axis=1), start + both.argmax(axis=1), first)
-            live = found + coordinates - part.stop >= threshold
-            x, y, found, first = x[live], y[live], found[live], first[live]
-        ok = first == at[x]
-        if ok.any():
-            yield np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])
+            live = count + coordinates - part.stop >= threshold
+            x, y, count, first = x[live], y[live], count[live], first[live]
+        if len(x):
+            here = (first < coordinates) & own[x, np.minimum(first, coordinates - 1)]
+            found.append((x[here], y[here], count[here]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def matching_pairs(blocks: DataFrame, partitions: int, coordinates: int, threshold: int, similarity: int) -> DataFrame:
-    """(`__a`, `__b`): pairs of nodes of different groups with at least `threshold` collisions, each once."""
-    names = ["__token", "__i", "__j"]
+def matched_nodes(blocks: DataFrame, partitions: int, coordinates: int, threshold: int, similarity: int) -> DataFrame:
+    """(`__head`, `__node`): the nodes of each group that have a match there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        x, y, _ = matches(table, coordinates, threshold, similarity)
+        at = np.unique(np.concatenate([x, y]))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(pa.array(at)) for c in names], names=names)
 
-        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            for a, b in _met(table, coordinates, threshold, similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["__a", "__b"])
+    names = ["__head", "__node"]
+    return grouped(blocks, partitions, work, "__head long, __node long").distinct()
 
-        for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in names]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            # The last list waits for the next batch, which may go on with it.
-            last = int(cuts[-1]) if len(cuts) else 0
-            if last or held and any(k[0] != held[0].column(c)[0].as_py() for k, c in zip(keys, names)):
-                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield from pairs(pa.Table.from_batches(held))
-
-    dealt = blocks.repartition(partitions, *names).sortWithinPartitions(*names)
-    return dealt.mapInArrow(run, "__a long, __b long")
-
-
-def node_texts(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(`__node`, `__blob`): one compressed text of each wanted (`__node`, `__id`)."""
-    rows = docs.select(F.col(key).alias("__id"), whole_text(text).alias("__text"))
-    needed = F.broadcast(wanted) if wanted.count() * 24 <= BROADCAST_BYTES else wanted
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            nodes, blobs = [], []
-            for node, t in zip(batch.column("__node").to_pylist(), batch.column("__text").to_pylist()):
-                # Other texts under the same id have another set.
-                if len(s := shingle_set(t, words)) and node_of(s) == node:
-                    nodes.append(node)
-                    blobs.append(packer.compress(t.encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], names=["__node", "__blob"])
-
-    return rows.join(needed, "__id").select("__node", "__text").mapInArrow(run, "__node long, __blob binary").dropDuplicates(["__node"])
 
+def confirmed(blocks: DataFrame, partitions: int, coordinates: int, threshold: int, similarity: int, words: int) -> DataFrame:
+    """Links (`__a`, `__b`) by whole sets, one from each node to the first of those it is connected with in its group."""
 
-def confirmed(pairs: DataFrame, texts: DataFrame, values: DataFrame, partitions: int, words: int, similarity: int) -> DataFrame:
-    """Links (`__a`, `__b`) among stored `pairs`, by whole sets; a link between nodes that others connect already may be left out.
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        x, y, count = matches(table, coordinates, threshold, similarity)
+        sets = Sets(table.column("__blob"), words)
+        order = np.argsort(-count, kind="stable")
+        pairs = zip(x[order].tolist(), y[order].tolist())
+        yield from links_of(table.column("__node").to_numpy(), pairs, lambda i, j: similar(sets[i], sets[j], similarity))
 
-    Pairs are dealt by the group that they form; a group of more than `GROUP_BLOCK` nodes in pairs of blocks.
-    """
-    ends = pairs.select(F.col("__a").alias("__node")).unionByName(pairs.select(F.col("__b").alias("__node"))).distinct()
-    group = components(pairs, values.join(ends, "__node", "left_semi")).withColumn("__group", F.xxhash64("__value")).drop("__value")
-    sizes = group.groupBy("__group").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).alias("__blocks"))
-    placed = group.join(sizes, "__group").select(
-        "__node", "__group", F.pmod(F.xxhash64(F.lit("block"), "__node"), F.col("__blocks")).cast("int").alias("__block")
-    )
-    placed = materialize(placed, "placed")
-    a = placed.select(F.col("__node").alias("__a"), "__group", F.col("__block").alias("__x"))
-    b = placed.select(F.col("__node").alias("__b"), F.col("__block").alias("__y"))
-    tasks = ["__group", "__i", "__j"]
-    dealt = pairs.join(a, "__a").join(b, "__b")
-    dealt = materialize(dealt.select("__group", F.least("__x", "__y").alias("__i"), F.greatest("__x", "__y").alias("__j"), "__a", "__b"), "dealt")
-    # A text goes to those pairs of blocks in which some pair needs it.
-    needs = dealt.select(*tasks, F.explode(F.array("__a", "__b")).alias("__node")).distinct().join(texts, "__node")
-    needs = needs.select(*tasks, F.lit(0).alias("__kind"), F.col("__node").alias("__a"), F.lit(None).cast("long").alias("__b"), "__blob")
-    asks = dealt.select(*tasks, F.lit(1).alias("__kind"), "__a", "__b", F.lit(None).cast("binary").alias("__blob"))
-    rows = needs.unionByName(asks).repartition(partitions, *tasks).sortWithinPartitions(*tasks, "__kind", "__a", "__b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        sets: dict[int, np.ndarray] = {}
-        parent: dict[int, int] = {}
-        current = None
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for batch in batches:
-            keys = list(zip(*[batch.column(c).to_pylist() for c in tasks]))
-            kinds, a, b = (batch.column(c).to_pylist() for c in ("__kind", "__a", "__b"))
-            blobs = batch.column("__blob")
-            kept: list[int] = []
-            for row, task in enumerate(keys):
-                if task != current:
-                    current, sets, parent = task, {}, {}
-                if kinds[row] == 0:
-                    raw = unpack.decompress(blobs[row].as_py())
-                    sets[a[row]] = shingle_set(raw.decode("utf-8", "surrogatepass"), words)
-                elif root(a[row]) != root(b[row]):
-                    x, y = sets[a[row]], sets[b[row]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= similarity * (len(x) + len(y) - common):
-                        parent[root(a[row])] = root(b[row])
-                        kept.append(row)
-            if kept:
-                yield batch.select(["__a", "__b"]).take(pa.array(kept, pa.int64()))
-
-    return rows.mapInArrow(run, "__a long, __b long")
+    return grouped(blocks, partitions, work, "__a long, __b long")
 
 
 def near_duplicates(
@@ -379,28 +239,16 @@ def near_duplicates(
     values = classes.select("__node", "__value")
     # A set without any id cannot be linked.
     own = classes.where(F.col("__value").isNotNull())
-    lists = materialize(shared_lists(postings(own, counts, coordinates, threshold), partitions), "lists")
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
-        ends = pairs.select(F.explode(F.array("__a", "__b")).alias("__node")).distinct()
-        wanted = materialize(ends.join(values.withColumnRenamed("__value", "__id"), "__node"), "wanted")
-        texts = materialize(node_texts(docs, wanted, key, text, words), "texts")
-        return materialize(confirmed(pairs, texts, values, partitions, words, similarity), "links")
-
-    met = materialize(lists.select("__node").distinct().join(values, "__node"), "met")
-    groups = met.select("__node", F.col("__value").alias("__group"))
-    links = links_of(star_pairs(lists, None))
-    for round_ in range(STAR_ROUNDS):
-        least = components(links, met).withColumnRenamed("__value", "__least")
-        groups = met.join(least, "__node", "left").select("__node", F.coalesce("__least", "__value").alias("__group"))
-        groups = materialize(groups, "groups")
-        if round_ < STAR_ROUNDS - 1:
-            links = materialize(links.unionByName(links_of(star_pairs(lists, groups))), "links")
-    nodes = masked(own.select("__node", "__size", "__sig").join(groups, "__node"), counts, coordinates, threshold)
-    pairs = matching_pairs(block_pairs(lists, nodes), partitions, coordinates, threshold, similarity)
-    links = links.unionByName(links_of(pairs))
-    found = components(materialize(links, "links"), met).withColumnRenamed("__value", "__component")
+    groups = materialize(members(postings(own, counts, coordinates, threshold), partitions), "members")
+    masks = groups.groupBy("__node").agg(F.bit_or("__own").alias("__mask"))
+    nodes = materialize(own.join(masks, "__node"), "nodes")
+    signed = in_blocks(groups.join(nodes.drop("__value"), "__node"))
+    wanted = materialize(matched_nodes(signed, partitions, coordinates, threshold, similarity), "wanted")
+    ids = materialize(nodes.select("__node", F.col("__value").alias("__id")).join(wanted.select("__node").distinct(), "__node"), "ids")
+    texts = materialize(node_texts(docs, ids, key, text, words), "texts")
+    chosen = groups.join(wanted, ["__head", "__node"]).join(nodes.drop("__value").join(texts, "__node"), "__node")
+    links = materialize(confirmed(in_blocks(chosen), partitions, coordinates, threshold, similarity, words), "links")
+    found = components(links, values).withColumnRenamed("__value", "__component")
     labels = classes.select("__node", F.col("__value").alias("__class")).join(found, "__node", "left")
     component = F.coalesce("__component", "__class", "__id")
     return sets.select("__id", "__n", "__node").join(labels, "__node", "left").select(
@@ -411,18 +259,3 @@ def near_duplicates(
         F.coalesce("__class", "__id").alias("class_id"),
     )
 
-
-def masked(nodes: DataFrame, counts: np.ndarray, coordinates: int, threshold: int) -> DataFrame:
-    """The nodes with `__mask`, the bits of the coordinates in their prefix."""
-    shared = nodes.sparkSession.sparkContext.broadcast(counts)
-    size = coordinates - threshold + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signatures = np.frombuffer(b"".join(batch.column("__sig").to_pylist()), np.uint32).reshape(-1, coordinates)
-            mask = prefix_mask(tokens_of(signatures), shared.value, size)
-            blobs = pa.array([m.tobytes() for m in np.packbits(mask, axis=1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, blobs], names=[*batch.schema.names, "__mask"])
-
-    schema = ", ".join(f"{c} {t}" for c, t in nodes.dtypes) + ", __mask binary"
-    return materialize(nodes.mapInArrow(run, schema), "nodes")
