@@ -19,7 +19,7 @@ from ..sinks import results as W
 from ..sources import benchmarks as B
 from ..sources.files import count_files, list_files
 from ..sources.records import manifest_samples, read_manifest, read_records, synthetic_pairs
-from ..sources.retrieval_sets import join_annotations, read_karpathy
+from ..sources.retrieval_sets import join_annotations, read_coco_captions, read_karpathy
 from ..sources.tar import read_tar_shards
 from ..streaming.running import refresh_accuracy
 from . import fixtures as fx
@@ -159,6 +159,32 @@ def _(t: Tables) -> DataFrame:
     return captions.join(placed, "image_idx").select("image_idx", "text_idx", "image_path", F.md5("caption").alias("caption"))
 
 
+@query(
+    "src8_coco_captions",
+    f"""WITH i AS (SELECT DISTINCT conv_id, concat(lpad((conv_id * 7919 % 1000)::varchar, 4, '0'), '-', conv_id, '.jpg') AS f FROM conversations),
+        j AS (SELECT f, i.conv_id, turn, {q.strip("text")} AS caption FROM i JOIN conversations USING (conv_id) WHERE {q.strip("text")} <> '')
+        SELECT dense_rank() OVER (ORDER BY f, conv_id) - 1 AS image_idx, row_number() OVER (ORDER BY f, conv_id, turn) - 1 AS text_idx,
+          concat('/coco/', f) AS image_path, md5(caption) AS caption, md5(first_value(caption) OVER (PARTITION BY conv_id ORDER BY turn)) AS cue FROM j""",
+)
+def _(t: Tables) -> DataFrame:
+    """Documents with an `info` object, an image list and an annotation list each, read back as one retrieval set."""
+    conv, part = F.col("conv_id"), F.floor(F.col("conv_id") / 50).alias("part")
+    name = F.concat(F.lpad((conv * 7919 % 1000).cast("string"), 4, "0"), F.lit("-"), conv.cast("string"), F.lit(".jpg"))
+    note = F.to_json(F.struct(conv.alias("image_id"), F.col("text").alias("caption")))
+    notes = t.conversations.groupBy(part).agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn", note.alias("r")))).alias("notes"))
+    image = F.to_json(F.struct(conv.alias("id"), name.alias("file_name")))
+    images = t.conversations.select("conv_id").distinct().groupBy(part).agg(F.collect_list(image).alias("images"))
+    body = F.concat(
+        F.lit('{"info": {"images": [0], "note": "a, \\"b\\" ["}, "images": ['), F.array_join("images", ", "), F.lit('], "annotations": ['),
+        F.array_join(F.transform("notes", lambda n: n["r"]), ",\n"), F.lit("]}"),
+    )
+    path = scratch_path(t.spark, "coco")
+    images.join(notes, "part").select("part", body.alias("value")).repartition("part").write.partitionBy("part").text(path)
+    placed, captions = read_coco_captions(t.spark, path, "/coco")
+    joined = captions.join(placed, "image_idx")
+    return joined.select("image_idx", "text_idx", "image_path", F.md5("caption").alias("caption"), F.md5("cue").alias("cue"))
+
+
 def _listing(t: Tables) -> DataFrame:
     """Images exist for labelled documents only, under their language."""
     docs = t.documents.join(t.labels, "doc_id", "left_semi")
@@ -213,6 +239,34 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "src9_relation_pairs",
+    f"""WITH d AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS idx, concat(doc_id, '.jpg') AS ref FROM documents),
+        o AS (SELECT d.*, {_OUTCOME.format(absent="d.doc_id % 10 = 3", ref="ref")} AS outcome FROM d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+        SELECT CASE outcome WHEN 'ok' THEN concat('rel_rel_', idx, '_', idx) ELSE concat('rel_', idx) END AS sample_id, outcome,
+          CASE outcome WHEN 'ok' THEN concat('/img/', lang, '/', ref) END AS image_path,
+          CASE outcome WHEN 'ok' THEN md5({q.clean_text("text")}) END AS positive, CASE outcome WHEN 'ok' THEN {q.clean_text("concat('not ', source)")} END AS negative,
+          CASE WHEN outcome = 'ok' AND doc_id % 4 <> 0 THEN concat(lang, ' of ', source) END AS subcategory FROM o""",
+)
+def _(t: Tables) -> DataFrame:
+    """Relation records without ids and boxes, some without a relation name."""
+    d = F.col("doc_id")
+    records = B.number_rows(
+        t.documents.select(
+            "doc_id",
+            F.concat(d.cast("string"), F.lit(".jpg")).alias("image_path"),
+            F.when(d % 10 != 3, F.col("text")).otherwise("").alias("true_caption"),
+            F.concat(F.lit("not "), "source").alias("false_caption"),
+            F.when(d % 4 != 0, F.concat("lang", F.lit(" of "), "source")).otherwise("").alias("relation_name"),
+            F.lit("visual_genome_relation.json").alias("source_file"),
+        ),
+        "doc_id",
+    )
+    good, bad = B.load_attribution(records.drop("doc_id"), "rel", LANGUAGE_DIRS, _listing(t))
+    negative = F.get("negative_captions", F.lit(0)).alias("negative")
+    return _outcomes(good, bad, "image_path", F.md5("positive_caption").alias("positive"), negative, "subcategory")
+
+
 @query(
     "src10_word_order_pairs",
     order_negatives_sql(
@@ -365,6 +419,30 @@ def _(t: Tables) -> DataFrame:
     return good.select("sample_id", "category", F.md5("caption_0").alias("caption_0"), "caption_1")
 
 
+@query(
+    "src14_rows_set_aside",
+    """SELECT doc_id::varchar AS sample_id, 'image_0 or image_1 not found' AS reason, 'examples.jsonl' AS source_file
+        FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) OR doc_id % 5 = 0""",
+)
+def _(t: Tables) -> DataFrame:
+    """Wide records of which an image is not listed: all without a label, and every fifth by its second image."""
+    d = F.col("doc_id").cast("string")
+    rows = B.number_rows(
+        t.documents.select(
+            "doc_id",
+            d.alias("id"),
+            F.col("lang").alias("caption_0"),
+            F.col("source").alias("caption_1"),
+            F.concat(F.lit("/img/"), "lang", F.lit("/"), d, F.lit(".jpg")).alias("image_0_path"),
+            F.concat("lang", F.when(F.col("doc_id") % 5 == 0, "/no-").otherwise("/"), d, F.lit(".jpg")).alias("image_1_path"),
+            F.lit("examples.jsonl").alias("source_file"),
+        ),
+        "doc_id",
+    )
+    _good, bad = B.load_winoground(rows.drop("doc_id"), ["/img"], _listing(t))
+    return bad.select("sample_id", "reason", "source_file")
+
+
 @query(
     "src15_synthetic_pairs",
     """SELECT concat('synthetic sample ', i) AS caption, i::varchar AS image_id, i::varchar AS sample_id
@@ -703,6 +781,38 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "q1_q2_verified_manifest",
+    f"""WITH c AS (SELECT d.lang AS name, l.doc_id IS NOT NULL OR d.lang <> 'de' AS passed,
+          row_number() OVER (PARTITION BY d.lang ORDER BY {_H7.replace("doc_id", "d.doc_id")}, d.doc_id) AS rn FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+        s AS (SELECT name, bool_and(passed) AS passed FROM c WHERE rn <= 8 GROUP BY name),
+        f AS (SELECT lang AS name, count(*) AS images, sum(n_chars)::bigint AS chars FROM documents GROUP BY lang)
+        SELECT name, CASE WHEN images >= 20 THEN 'ready' ELSE 'failed' END AS status, images, chars, name <> 'es' AS checked_files_exist,
+          (name = 'es')::bigint AS num_missing_files, s.passed AS sample_read_success FROM f JOIN s USING (name)
+        UNION ALL SELECT 'broken', 'failed', 0, 0, false, 0, false""",
+)
+def _(t: Tables) -> DataFrame:
+    """Every language is a data set, verified on its own; one cannot be read. The reports feed the manifest."""
+    labelled = t.labels.select("doc_id", "quality")
+
+    def rows_of(lang: str):
+        checked = t.documents.where(F.col("lang") == lang).join(labelled, "doc_id", "left")
+        return checked.select(F.col("doc_id").alias("row_id"), (F.col("quality").isNotNull() | (F.col("lang") != "de")).alias("passed"))
+
+    sets = [Q.DatasetCheck(lang, [f"/img/{lang}", *(["/img/es.json"] if lang == "es" else [])], lambda lang=lang: rows_of(lang)) for lang in LANGUAGES]
+    sets.append(Q.DatasetCheck("broken", [], lambda: t.spark.read.parquet(f"{t.folder}/no_such_table.parquet")))
+    report = Q.verify_datasets(t.spark, sets, _listing(t).unionByName(t.documents.select(F.concat_ws("/", F.lit("/img"), "lang", F.lit("x")).alias("path"))))
+    wide = t.documents.groupBy(F.col("lang").alias("name")).agg(F.count(F.lit(1)).alias("images"), F.sum("n_chars").alias("chars"))
+    facts = wide.unpivot(["name"], ["images", "chars"], "fact", "value")
+    facts = facts.unionByName(t.spark.range(1).select(F.lit("broken").alias("name"), F.lit("images").alias("fact"), F.lit(0).cast("bigint").alias("value")))
+    rules = facts.select("name").distinct().select(
+        "name", F.lit(1).alias("priority"), F.lit("ready").alias("status"), F.lit("images").alias("fact"),
+        F.lit(20).cast("bigint").alias("min_value"), F.lit(None).cast("bigint").alias("max_value"),
+    )
+    found = Q.dataset_manifest(facts, Q.readiness(facts, rules), report, ["images", "chars"])
+    return found.select("name", "status", "images", "chars", "checked_files_exist", "num_missing_files", "sample_read_success")
+
+
 @query(
     "q4_load_status",
     """WITH b AS (SELECT lang AS benchmark, count(*) FILTER (n_chars >= 400) AS loaded, count(*) FILTER (n_chars >= 400 AND lang <> 'es') AS kept,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordering import FILE_ORDER, dense_index, file_order
+from .documents import json_entries
 
 Schema = T.StructType | str
 
@@ -19,23 +20,6 @@ def _suffix(path: str, fmt: str | None) -> str:
     return (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower().lstrip(".")
 
 
-def _entries(text: Column, unwrap: str | None) -> Column:
-    """array<struct<key,record>> of one JSON document: the members of an object, or the
-    elements of a list; with `unwrap`, of the list an object holds under that name."""
-    listed = lambda c: F.transform(
-        F.from_json(c, "array<string>"), lambda r: F.struct(F.lit(None).cast("string").alias("key"), r.alias("record"))
-    )
-    members = F.transform(
-        F.map_entries(F.from_json(text, "map<string,string>")),
-        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("record")),
-    )
-    out = F.when(F.ltrim(text).startswith("["), listed(text))
-    if unwrap:
-        inner = F.get_json_object(text, f"$.{unwrap}")
-        out = out.when(F.ltrim(inner).startswith("["), listed(inner))
-    return out.otherwise(members)
-
-
 def read_records(
     spark: SparkSession,
     path: str | list[str],
@@ -54,8 +38,8 @@ def read_records(
     `string_or_list`. Adds `source_file` and, if `numbered`, `record_index`,
     the row's place in its file.
 
-    One JSON document cannot be split, so each file is one task; JSONL, CSV and
-    Parquet are split as usual.
+    JSON documents of any size are read in byte ranges by many tasks (`json_entries`);
+    JSONL, CSV and Parquet are split as usual.
     """
     struct = _struct(spark, schema)
     if id_field not in struct.names:
@@ -65,18 +49,15 @@ def read_records(
     names = struct.names
     kind = _suffix(path if isinstance(path, str) else path[0], fmt)
     if kind == "json":
-        files = spark.read.text(path, wholetext=True).select(
-            F.col("value").alias("__text"), F.col("_metadata.file_path").alias("source_file")
-        )
-        items = files.select("source_file", F.posexplode(_entries(F.col("__text"), unwrap)).alias("__pos", "__e"))
-        record, key = F.col("__e.record"), F.col("__e.key")
+        items = json_entries(spark, path, unwrap)
+        record, key = F.col("record"), F.col("key")
         is_object = F.ltrim(record).startswith("{")
         parsed = items.select(
             F.from_json(F.when(is_object, record), struct).alias("__r"),
             key.alias("__key"),
             F.when(~is_object, record).alias("__scalar"),
             "source_file",
-            F.col("__pos").cast("bigint").alias("record_index"),
+            F.col("record_index").cast("bigint").alias("record_index"),
         )
         id_type = struct[id_field].dataType
         columns = [F.col(f"__r.{n}").alias(n) for n in names if n not in (id_field, "value")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import caption_text, strip
 from ..operators.ordering import dense_index
+from .documents import json_entries
 from .records import read_records
 
 # Fixed value: folder of an image whose record names none.
@@ -62,13 +63,13 @@ def read_coco_captions(
     caption are dropped. Captions keep the order of the annotations; the first
     one is the cue.
     """
-    document = spark.read.text(path, wholetext=True)
-    image_type = "array<struct<id:bigint,file_name:string>>"
-    note_type = "array<struct<image_id:bigint,caption:string>>"
-    images = document.select(F.inline(F.from_json(F.get_json_object("value", "$.images"), image_type)))
-    notes = document.select(
-        F.posexplode(F.from_json(F.get_json_object("value", "$.annotations"), note_type)).alias("pos", "a")
-    ).select("pos", F.col("a.image_id").alias("id"), strip(F.coalesce("a.caption", F.lit(""))).alias("caption"))
+    image = F.from_json("record", "id bigint, file_name string")
+    note = F.from_json("record", "image_id bigint, caption string")
+    images = json_entries(spark, path, "images").where(F.col("key").isNull()).select(image.alias("i")).select("i.id", "i.file_name")
+    listed = json_entries(spark, path, "annotations").where(F.col("key").isNull())
+    notes = listed.select(F.col("record_index").alias("pos"), note.alias("a")).select(
+        "pos", F.col("a.image_id").alias("id"), strip(F.coalesce("a.caption", F.lit(""))).alias("caption")
+    )
     return join_annotations(images, notes, image_root, limit_images)
 
 

@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import random
 import tarfile
 
 import pytest
@@ -14,6 +15,7 @@ from lumenpair.operators import curation as C
 from lumenpair.operators import duplicates as U
 from lumenpair.sinks import results as W
 from lumenpair.sources import benchmarks as B
+from lumenpair.sources.documents import json_entries
 from lumenpair.sources.files import count_files, list_files
 from lumenpair.sources.records import manifest_samples, read_manifest, read_records, synthetic_pairs
 from lumenpair.sources.retrieval_sets import read_coco_captions, read_karpathy
@@ -259,3 +261,58 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     assert rows(refresh_accuracy(spark, inbox, out, state)) == [("m", "b", 1, 2, 0.5)]
     df.limit(1).write.mode("append").json(inbox)
     assert rows(refresh_accuracy(spark, inbox, out, state)) == [("m", "b", 2, 3, pytest.approx(2 / 3))]
+
+
+def _json_value(rng, depth=0):
+    kind = rng.random()
+    if kind < 0.35:
+        return "".join(rng.choice('ab,"\\[]{}: é\n,,') for _ in range(rng.randint(0, 30)))
+    if kind < 0.6:
+        return rng.choice([None, True, 7, -3, 10**6])
+    if depth > 3:
+        return 1.5
+    if kind < 0.8:
+        return [_json_value(rng, depth + 1) for _ in range(rng.randint(0, 5))]
+    return {rng.choice(["images", 'a"b', "x,", "y"]): _json_value(rng, depth + 1) for _ in range(rng.randint(0, 5))}
+
+
+@pytest.mark.parametrize("range_bytes", [64, 300, 1 << 27])
+def test_json_documents_cut_into_ranges(spark, tmp_path, range_bytes):
+    """Quotes, escapes, brackets and commas across the ends of ranges; entries longer than several ranges."""
+    rng = random.Random(range_bytes)
+    value = lambda n: [_json_value(rng) for _ in range(n)]
+    cases = {
+        "list": (value(50), None),
+        "object": ({f"m{i}": v for i, v in enumerate(value(50))}, None),
+        "named": ({"info": {"images": [1, 2]}, "images": value(40), "z": [1, {"images": [3]}]}, "images"),
+        "late": ({"a": value(30), "images": value(30)}, "images"),
+        "no_list": ({"images": {"a": 1}, "b": [1, 2]}, "images"),
+        "long": (["x" * 3000 + ",", {"a": "y," * 500}], None),
+        "empty_list": ([], None),
+        "empty_object": ({}, None),
+        "empty_named": ({"images": []}, "images"),
+    }
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(range_bytes))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for name, (doc, unwrap) in cases.items():
+            path = tmp_path / f"{name}.json"
+            path.write_text(json.dumps(doc, ensure_ascii=False, indent=rng.choice([None, 2])))
+            if range_bytes == 64 and name == "long":
+                assert spark.read.option("lineSep", ",").text(str(path)).rdd.getNumPartitions() > 50
+            got = sorted(json_entries(spark, str(path), unwrap).collect(), key=lambda r: r.record_index)
+            inner = doc[unwrap] if unwrap and isinstance(doc[unwrap], list) else doc
+            want = list(inner.items()) if isinstance(inner, dict) else [(None, v) for v in inner]
+            assert [(r.key, r.record_index) for r in got] == [(k, n) for n, (k, _) in enumerate(want)], name
+            assert [r.record if isinstance(v, str) or r.record is None else json.loads(r.record) for r, (_, v) in zip(got, want)] == [v for _, v in want], name
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_json_keys_given_twice(spark, tmp_path):
+    path = tmp_path / "twice.json"
+    path.write_text('{"a": 1, "b": {"c": 2}, "a": "x, y"}')
+    got = json_entries(spark, str(path)).collect()
+    assert sorted((r.record_index, r.key, r.record) for r in got) == [(0, "a", "x, y"), (1, "b", '{"c":2}')]
