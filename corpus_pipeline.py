@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenpair.llm.decontaminate import find_items, is_contaminated
-from lumenpair.llm.ngram_join import BROADCAST_BYTES, similar_groups
+from lumenpair.llm.groups import BROADCAST_BYTES
+from lumenpair.llm.ngram_join import similar_groups
 from lumenpair.llm.secrets import BASE_KINDS, METHOD, find_secrets, masked
 from lumenpair.llm.sentencepiece_lattice import encode_documents
 from lumenpair.llm.toxicity import fit_chain, score_chain

@@ -9,12 +9,13 @@ chooses its own l from 1 to `MAX_LEVEL` by the estimated cost of its candidates;
 pair is verified only if it shares as many prefix shingles as the smaller of its
 two levels asks for, counted up to that level.
 
-Groups of copies come first: every node is verified against the one it shares the
-most lists with among their first nodes, and the links found join nodes to
-components. Then each posting list is compared block by block inside a task. Pairs of one
-component need no more links; sizes and a bitmap bound on the symmetric difference
-discard most others without emitting them, and neither drops a pair that reaches
-the similarity. What is left is counted and verified on whole shingle sets.
+Lists are merged by their first node: a node comes once to each such group (a large one
+is dealt in pairs of blocks). A first pass holds the nodes of a group against each other by
+sizes and by a bitmap bound on the symmetric difference, as wide as the sets ask for; neither
+drops a pair that reaches the similarity. Nodes with a pair left come again with their texts,
+and the shared prefix shingles are counted and pairs verified on whole shingle sets in the
+same task, the most similar first. Nodes that a task has linked already are not verified
+again, and it emits one link for each node, so a group of copies gives no square of pairs.
 
 Documents with equal sets count as one in the join (a node, named by a 64-bit
 digest of the set) and share its component.
@@ -33,77 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, work_partitions
 from .frames import whole_text
+from .groups import WORDS, Sets, components, grouped, in_blocks, links_of, list_heads, node_of, node_texts, shingle_set, similar
 
-WORDS = 5
 SIMILARITY = 75  # per cent
 MAX_LEVEL = 4
 VERIFY_COST = 20.0
 BUCKET_BITS = 18
-BITMAP_WORDS = 8
-LIST_COLUMNS = ["__token", "__node", "__meta", "__rank", "__head", "__head_size"]
-# Longer posting lists are dealt to several tasks in pairs of blocks of this size.
-BLOCK = 2048
-# Ids of documents to fetch for verification are broadcast up to this many bytes, and joined with a shuffle beyond.
-BROADCAST_BYTES = 32 << 20
-# Sets that a task keeps while it verifies pairs.
-KEPT_SETS = 256
-
-def _random_table(size: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, size, np.uint64, endpoint=False)
-
-
-BYTE_VALUES = _random_table(256)
-IS_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-LONG_WORD = 64
-with np.errstate(over="ignore"):
-    POWERS = np.cumprod(np.append(np.uint64(1), np.full(LONG_WORD - 1, 0xD1342543DE82EF95, np.uint64)))
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words between ASCII blanks: a polynomial over the bytes, or xxHash for long words."""
-    points = np.frombuffer(data, np.uint8)
-    blank = IS_BLANK[points]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]])))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    terms = BYTE_VALUES[points[~blank]] * POWERS[place & (LONG_WORD - 1)]
-    hashes = np.add.reduceat(terms, first) ^ (lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    for i in np.flatnonzero(lengths > LONG_WORD):
-        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
-    return hashes
-
-
-def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of a text; a text of fewer words is one shingle."""
-    # bytes.lower knows A-Z only, as asked for.
-    hashes = word_hashes(text.encode("utf-8", "surrogatepass").lower())
-    if not len(hashes):
-        return hashes
-    width = min(words, len(hashes))
-    count = len(hashes) - width + 1
-    mixed = np.full(count, width, np.uint64)
-    for i in range(width):
-        mixed = (mixed ^ hashes[i : i + count]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(29)
-    mixed.sort()
-    return mixed[np.append(True, mixed[1:] != mixed[:-1])]
-
-
-def node_of(shingles: np.ndarray) -> int:
-    """Signed 64-bit name of a set."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+# Bits of a bitmap for each shingle of its set, and the words it has at least; widths are powers of two.
+BITS_PER_SHINGLE = 2
+LEAST_WORDS = 4
 
 
 def least_overlap(n: int, similarity: int) -> int:
@@ -116,12 +60,16 @@ def bucket_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def bitmap_of(shingles: np.ndarray) -> np.ndarray:
-    """Parities of the set's members in 64 * BITMAP_WORDS bits.
+    """Parities of the set's members in a power of two of words, by the size of the set.
 
-    Two bitmaps differ in no more bits than the sets' symmetric difference has members.
+    Two bitmaps of one width differ in no more bits than the sets' symmetric difference has
+    members; the two halves of one xor-ed give the bitmap of half the width.
     """
-    at = ((shingles >> np.uint64(7)) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)
-    odd = (np.bincount(at, minlength=64 * BITMAP_WORDS) & 1).astype(np.uint8)
+    words = LEAST_WORDS
+    while 64 * words < BITS_PER_SHINGLE * len(shingles):
+        words *= 2
+    at = ((shingles >> np.uint64(7)) % np.uint64(64 * words)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.uint64)
 
 
@@ -196,220 +144,112 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, text: str, words: int, similarity: int) -> DataFrame:
-    """(`__token`, `__node`, `__meta`): the prefixes of all documents; meta holds size, level and chosen level."""
+    """(`__token`, `__node`): the prefixes of all documents, the node of equal sets once a batch."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, nodes, meta = [], [], []
+            found: dict[int, np.ndarray] = {}
             for t in batch.column("__text").to_pylist():
                 s = shingle_set(t, words)
-                if len(s):
-                    prefix, own, level = prefix_of(s, shared.value, similarity)
-                    tokens.append(prefix)
-                    nodes.append(np.full(len(prefix), node_of(s), np.int64))
-                    meta.append(len(s) * 64 + own * 8 + level)
-            if tokens:
-                columns = [np.concatenate(tokens).view(np.int64), np.concatenate(nodes), np.concatenate(meta)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["__token", "__node", "__meta"])
-
-    return docs.select(whole_text(text).alias("__text")).mapInArrow(run, "__token long, __node long, __meta long")
-
-
-def shared_lists(rows: DataFrame, partitions: int) -> DataFrame:
-    """The posting lists with two nodes or more: prefix rows with `__rank`, the place in the list, and its first node.
-
-    The rows stream through in the order of the token; a list is never held as a whole.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int]] = []
-        rank, head, head_size = 0, 0, 0
-        for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(3)]
-            if held:
-                columns = [np.append(h, c) for h, c in zip(held[0], columns)]
-            token, node, meta = columns
-            # Equal sets give equal rows, which count once.
-            new = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-            token, node, meta = token[new], node[new], meta[new]
-            opens = np.append(True, token[1:] != token[:-1])
-            start = np.maximum.accumulate(np.where(opens, np.arange(len(token)), 0))
-            place = np.arange(len(token)) - start
-            place = np.where(start == 0, place + rank, place)
-            heads, sizes = node[start], meta[start] // 64
-            if rank:
-                heads, sizes = np.where(start == 0, head, heads), np.where(start == 0, head_size, sizes)
-            # The last row waits for the next batch, which tells whether its list goes on.
-            several = (place > 0) | np.append(~opens[1:], False)
-            yield from _lists(several[:-1], *[c[:-1] for c in (token, node, meta, place, heads, sizes)])
-            held, rank = [(token[-1], node[-1], meta[-1])], int(place[-1])
-            head, head_size = int(heads[-1]), int(sizes[-1])
-        if held and rank:
-            yield from _lists(np.array([True]), *[np.array([x]) for x in (*held[0], rank, head, head_size)])
-
-    dealt = rows.repartition(partitions, "__token").sortWithinPartitions("__token", "__node")
-    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in LIST_COLUMNS))
-
-
-def _lists(kept: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if kept.any():
-        yield pa.RecordBatch.from_arrays([pa.array(c[kept].astype(np.int64)) for c in columns], names=LIST_COLUMNS)
-
-
-def star_pairs(lists: DataFrame, similarity: int) -> DataFrame:
-    """(`__a`, `__b`): for each node that one among the first nodes of its lists which it shares the most with."""
-    size, head = F.floor(F.col("__meta") / 64), F.col("__head_size")
-    fits = F.least(size, head) * 100 >= F.greatest(size, head) * similarity
-    shared = lists.where((F.col("__node") != F.col("__head")) & fits).groupBy("__node", "__head").agg(F.count(F.lit(1)).alias("__n"))
-    best = shared.groupBy("__node").agg(F.max(F.struct("__n", "__head")).alias("__best"))
-    return best.select(F.col("__best.__head").alias("__a"), F.col("__node").alias("__b"))
-
-
-def block_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """List rows with the bitmap and group of their node, once for each pair of blocks of the list: `__i` <= `__j`, own block `__own`."""
-    long = lists.where(F.pmod("__rank", F.lit(BLOCK)) == 0).groupBy("__token").agg(F.max("__rank").alias("__top"))
-    long = long.where(F.col("__top") > 0).withColumnRenamed("__token", "__long")
-    rows = lists.join(nodes, "__node").join(long, F.col("__token") == F.col("__long"), "left")
-    own = F.floor(F.col("__rank") / BLOCK).cast("int")
-    blocks = F.floor(F.coalesce("__top", F.lit(0)) / BLOCK).cast("int")
-    rows = rows.select("__token", "__node", "__meta", "__bitmap", "__group", own.alias("__own"), F.explode(F.sequence(F.lit(0), blocks)).alias("__other"))
-    return rows.select(
-        "__token", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), "__own", "__node", "__meta", "__bitmap", "__group"
-    )
-
-
-def _compare(node, meta, bits, known, group, one_block, own, similarity: int) -> Iterator[list[np.ndarray]]:
-    """[a, b, level needed] of the pairs within the groups of sorted rows that may be similar and are not `known` as linked.
-
-    Rows are paired with the next row, then with the one after it, and so on, all groups at once.
-    """
-    size, level, chosen = meta // 64, meta // 8 % 8, meta % 8
-    i = np.arange(len(node))
-    for d in range(1, len(node)):
-        i = i[: np.searchsorted(i, len(node) - d)]
-        i = i[group[i] == group[i + d]]
-        if not len(i):
-            return
-        j = i + d
-        both = size[i] + size[j]
-        least = -(-similarity * both // (100 + similarity))
-        need = np.minimum(chosen[i], chosen[j])
-        fits = (level[i] <= need) & (level[j] <= need) & (least <= np.minimum(size[i], size[j])) & (known[i] != known[j]) & (one_block[i] | (own[i] != own[j]))
-        x, y = i[fits], j[fits]
-        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
-        ok = apart <= (both - 2 * least)[fits]
-        if ok.any():
-            x, y = x[ok], y[ok]
-            yield [np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), need[fits][ok]]
-
-
-def _counted_pairs(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-    """Equal pairs of a task folded to one row with their number."""
-    a, b, need = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((b, a))
-    a, b, need = a[order], b[order], need[order]
-    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    counts = np.diff(np.append(first, len(a)))
-    columns = [a[first], b[first], need[first].astype(np.int32), counts.astype(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["__a", "__b", "__need", "__n"])
-
-
-def candidates(blocks: DataFrame, partitions: int, similarity: int) -> DataFrame:
-    """Distinct pairs (`__a`, `__b`) that share as many prefix shingles as their levels ask for."""
-    names = ["__token", "__i", "__j"]
-
-    def compare(table: pa.Table) -> Iterator[list[np.ndarray]]:
-        columns = {c: table.column(c).to_numpy() for c in (*names, "__own", "__node", "__meta", "__group")}
-        bits = np.frombuffer(b"".join(table.column("__bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
-        opens = np.any([columns[c][1:] != columns[c][:-1] for c in names], axis=0)
-        group = np.cumsum(np.append(False, opens))
-        same = columns["__i"] == columns["__j"]
-        yield from _compare(columns["__node"], columns["__meta"], bits, columns["__group"], group, same, columns["__own"], similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        out: list[list[np.ndarray]] = []
-
-        def collect(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            for part in compare(table):
-                out.append(part)
-                if sum(len(p[0]) for p in out) > 500_000:
-                    yield _counted_pairs(out)
-                    out.clear()
-
-        for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in names]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            # The last group waits for the next batch, which may go on with it.
-            last = int(cuts[-1]) if len(cuts) else 0
-            if last:
-                yield from collect(pa.Table.from_batches([*held, batch.slice(0, last)]))
-                held = []
-            held.append(batch.slice(last))
-        if held:
-            yield from collect(pa.Table.from_batches(held))
-        if out:
-            yield _counted_pairs(out)
-
-    dealt = blocks.repartition(partitions, *names).sortWithinPartitions(*names)
-    pairs = dealt.mapInArrow(run, "__a long, __b long, __need int, __n long")
-    counted = pairs.groupBy("__a", "__b").agg(F.sum("__n").alias("__n"), F.max("__need").alias("__need"))
-    return counted.where(F.col("__n") >= F.col("__need")).select("__a", "__b")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
-    """The pairs whose whole sets reach the similarity. `texts`: `__node`, `__text`."""
-    left = texts.select(F.col("__node").alias("__a"), F.col("__text").alias("__left"))
-    right = texts.select(F.col("__node").alias("__b"), F.col("__text").alias("__right"))
-    both = pairs.join(left, "__a").join(right, "__b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, y = None, np.empty(0, np.uint64)
-        sets: dict[int, np.ndarray] = {}
-        for batch in batches:
-            a, b = batch.column("__a").to_pylist(), batch.column("__b").to_pylist()
-            kept = []
-            for row in range(batch.num_rows):
-                if b[row] != last:  # the join gives equal ones together
-                    last, y = b[row], shingle_set(batch.column("__right")[row].as_py(), words)
-                x = sets.get(a[row])
-                if x is None:
-                    if len(sets) >= KEPT_SETS:
-                        sets.clear()
-                    x = sets[a[row]] = shingle_set(batch.column("__left")[row].as_py(), words)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= similarity * (len(x) + len(y) - common):
-                    kept.append(row)
-            yield batch.select(["__a", "__b"]).take(pa.array(kept, pa.int64()))
-
-    return both.select("__a", "__b", "__left", "__right").mapInArrow(run, "__a long, __b long")
-
-
-def components(links: DataFrame, values: DataFrame) -> DataFrame:
-    """(`__node`, `__value`): the least value in each node's component, for the nodes with links.
-
-    `links`: `__a`, `__b`; `values`: `__node`, `__value`. Least values spread along the links, and each round also
-    takes over the value of the node that holds a node's least one, so long chains shorten quickly.
-    """
-    both = links.unionByName(links.select(F.col("__b").alias("__a"), F.col("__a").alias("__b")))
-    both = materialize(both.distinct(), "links")
-    state = both.select(F.col("__a").alias("__node")).distinct().join(values, "__node")
-    state = materialize(state.select("__node", "__value", F.col("__node").alias("__holder")), "state")
-    best = F.min(F.struct("__value", "__holder"))
-    while True:
-        near = both.join(state.withColumnRenamed("__node", "__b"), "__b").select(F.col("__a").alias("__node"), "__value", "__holder")
-        jump = state.select("__node", "__holder").join(
-            state.select(F.col("__node").alias("__holder"), "__value", F.col("__holder").alias("__next")), "__holder"
-        ).select("__node", "__value", F.col("__next").alias("__holder"))
-        joined = state.unionByName(near).unionByName(jump).groupBy("__node").agg(best.alias("__best"))
-        after = materialize(joined.select("__node", "__best.__value", "__best.__holder"), "state")
-        changed = after.join(state.withColumnRenamed("__value", "__old").drop("__holder"), "__node").where(
-            ~F.col("__value").eqNullSafe(F.col("__old"))
-        )
-        if changed.isEmpty():
-            return after.select("__node", "__value")
-        state = after
+                if len(s) and (node := node_of(s)) not in found:
+                    found[node] = prefix_of(s, shared.value, similarity)[0]
+            if found:
+                tokens = np.concatenate(list(found.values())).view(np.int64)
+                nodes = np.repeat(np.array(list(found), np.int64), [len(p) for p in found.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes)], names=["__token", "__node"])
+
+    return docs.select(whole_text(text).alias("__text")).mapInArrow(run, "__token long, __node long")
+
+
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def close_pairs(table: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, differing bits) of the pairs of a group whose sizes and bitmaps allow the similarity."""
+    size, block = table.column("__size").to_numpy(), table.column("__in").to_numpy()
+    blobs = table.column("__bitmap").to_pylist()
+    width = np.array([len(b) // 8 for b in blobs])
+    crossing = table.column("__i")[0].as_py() != table.column("__j")[0].as_py()
+    found: list[tuple[np.ndarray, ...]] = []
+    for words in np.unique(width).tolist():
+        # Sets that reach the similarity have widths at most one step apart.
+        own = np.flatnonzero(width == words)
+        next_ = np.flatnonzero(width == 2 * words)
+        rows = np.append(own, next_)
+        bits = [np.frombuffer(b"".join([blobs[i] for i in at]), np.uint64).reshape(len(at), -1) for at in (own, next_) if len(at)]
+        bits = np.concatenate([_fold(b, words) for b in bits])
+        for k in range(len(own)):
+            x, others = rows[k], rows[k + 1 :]
+            both = size[x] + size[others]
+            least = -(-similarity * both // (100 + similarity))
+            fits = least <= np.minimum(size[x], size[others])
+            if crossing:
+                fits &= block[x] != block[others]
+            at = np.flatnonzero(fits)
+            if len(at):
+                apart = np.bitwise_count(bits[k] ^ bits[k + 1 + at]).sum(axis=1)
+                ok = apart <= (both - 2 * least)[at]
+                if ok.any():
+                    y = others[at[ok]]
+                    found.append((np.full(len(y), x), y, apart[ok].astype(np.int64)))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def close_nodes(blocks: DataFrame, partitions: int, similarity: int) -> DataFrame:
+    """(`__head`, `__node`): the nodes of each group that a pair is left of."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        x, y, _ = close_pairs(table, similarity)
+        at = np.unique(np.concatenate([x, y]))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(pa.array(at)) for c in names], names=names)
+
+    names = ["__head", "__node"]
+    return grouped(blocks, partitions, work, "__head long, __node long").distinct()
+
+
+class Prefixes:
+    """The prefixes of a group's sets: sorted shingles with their levels, and the chosen levels."""
+
+    def __init__(self, sets: Sets, counts: np.ndarray, similarity: int) -> None:
+        self.sets, self.counts, self.similarity = sets, counts, similarity
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        if i not in self.kept:
+            tokens, own, level = prefix_of(self.sets[i], self.counts, self.similarity)
+            order = np.argsort(tokens)
+            self.kept[i] = tokens[order], own[order], level
+        return self.kept[i]
+
+    def enough(self, i: int, j: int) -> bool:
+        """Whether two sets share as many prefix shingles as the smaller of their levels asks for, counted up to that level."""
+        (x, own_x, level_x), (y, own_y, level_y) = self[i], self[j]
+        need = min(level_x, level_y)
+        common = np.intersect1d(x[own_x <= need], y[own_y <= need], assume_unique=True)
+        return len(common) >= need
+
+
+def confirmed(blocks: DataFrame, counts: np.ndarray, partitions: int, words: int, similarity: int) -> DataFrame:
+    """Links (`__a`, `__b`) by whole sets, one from each node to the first of those it is connected with in its group."""
+    shared = blocks.sparkSession.sparkContext.broadcast(counts)
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        x, y, apart = close_pairs(table, similarity)
+        sets = Sets(table.column("__blob"), words)
+        prefixes = Prefixes(sets, shared.value, similarity)
+        order = np.argsort(apart, kind="stable")
+        linked = lambda i, j: prefixes.enough(i, j) and similar(sets[i], sets[j], similarity)
+        yield from links_of(table.column("__node").to_numpy(), zip(x[order].tolist(), y[order].tolist()), linked)
+
+    return grouped(blocks, partitions, work, "__a long, __b long")
 
 
 def similar_groups(
@@ -424,60 +264,26 @@ def similar_groups(
     stored = materialize(document_sets(docs, key, text, words), "sets")
     sets = stored.where(F.col("__bucket").isNull())
     counts = bucket_counts(stored)
-    lists = materialize(shared_lists(prefixes(docs, counts, text, words, similarity), partitions), "lists")
+    named = sets.where(F.col("__node").isNotNull()).groupBy("__node")
     classes = materialize(
-        sets.where(F.col("__node").isNotNull())
-        .groupBy("__node")
-        .agg(F.min("__id").alias("__value"), F.first("__bitmap").alias("__bitmap")),
-        "classes",
+        named.agg(F.min("__id").alias("__value"), F.first("__n").alias("__size"), F.first("__bitmap").alias("__bitmap")), "classes"
     )
     values = classes.select("__node", "__value")
-    # One pair for each node first: its links join most of a large group, and pairs inside a component need no more work.
-    first = materialize(star_pairs(lists, similarity), "stars")
-    links = materialize(verified(first, _texts_of(docs, first, values, key, text, words), words, similarity), "verified")
-    joined = components(links, values).withColumnRenamed("__value", "__least")
-    numbered = joined.select("__node", F.xxhash64("__least").alias("__group"))
-    nodes = classes.select("__node", "__bitmap").join(numbered, "__node", "left")
-    nodes = nodes.select("__node", "__bitmap", F.coalesce("__group", F.xxhash64(F.lit("node"), "__node")).alias("__group"))
-    pairs = materialize(candidates(block_pairs(lists, nodes), partitions, similarity), "candidates")
-    more = materialize(verified(pairs, _texts_of(docs, pairs, values, key, text, words), words, similarity), "verified")
-    # The second round of links joins components, so it is resolved among their names alone.
-    label = materialize(
-        values.join(joined, "__node", "left").select("__node", F.coalesce("__least", "__value").alias("__value")), "labels"
-    )
-    end = lambda c: label.select(F.col("__node").alias(c), F.col("__value").alias(f"{c}_name"))
-    bridges = more.join(end("__a"), "__a").join(end("__b"), "__b").select(F.col("__a_name").alias("__a"), F.col("__b_name").alias("__b"))
-    names = label.select(F.col("__value").alias("__node"), "__value").distinct()
-    merged = components(bridges.where("__a <> __b").distinct(), names).select(F.col("__node").alias("__value"), F.col("__value").alias("__least"))
-    found = label.join(merged, "__value", "left").select("__node", F.coalesce("__least", "__value").alias("__value"))
-    named = classes.select("__node", F.col("__value").alias("__class")).join(
-        found.withColumnRenamed("__value", "__component"), "__node", "left"
-    )
-    return sets.select("__id", "__n", "__node").join(named, "__node", "left").select(
+    # A set without any id cannot be linked.
+    nodes = classes.where(F.col("__value").isNotNull()).select("__node", "__size", "__bitmap")
+    heads = list_heads(prefixes(docs, counts, text, words, similarity), partitions)
+    # A set without any id, whose rows are among the prefixes, finds no node here.
+    groups = materialize(heads.distinct(), "groups")
+    close = materialize(close_nodes(in_blocks(groups.join(nodes, "__node")), partitions, similarity), "close")
+    ids = materialize(close.select("__node").distinct().join(values.withColumnRenamed("__value", "__id"), "__node"), "ids")
+    texts = materialize(node_texts(docs, ids, key, text, words), "texts")
+    chosen = close.join(nodes.join(texts, "__node"), "__node")
+    links = materialize(confirmed(in_blocks(chosen), counts, partitions, words, similarity), "links")
+    found = components(links, values).withColumnRenamed("__value", "__component")
+    labels = classes.select("__node", F.col("__value").alias("__class")).join(found, "__node", "left")
+    return sets.select("__id", "__n", "__node").join(labels, "__node", "left").select(
         F.col("__id").alias(key),
         F.col("__n").alias("n_shingles"),
         F.coalesce("__component", "__class", "__id").alias("component_id"),
         F.coalesce("__class", "__id").alias("class_id"),
     )
-
-
-def _texts_of(docs: DataFrame, pairs: DataFrame, values: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(`__node`, `__text`) of the nodes in stored pairs: one text each, by the least id of its class."""
-    ids = pairs.select(F.col("__a").alias("__node")).unionByName(pairs.select(F.col("__b").alias("__node"))).distinct()
-    wanted = materialize(ids.join(values.withColumnRenamed("__value", "__id"), "__node"), "wanted")
-    rows = docs.select(F.col(key).alias("__id"), whole_text(text).alias("__text"))
-    needed = F.broadcast(wanted) if wanted.count() * 24 <= BROADCAST_BYTES else wanted
-    own = _own_text(rows.join(needed, "__id").select("__node", "__text"), words)
-    return materialize(own.dropDuplicates(["__node"]), "texts")
-
-
-def _own_text(texts: DataFrame, words: int) -> DataFrame:
-    """Of the texts under one id only the one whose set is the node's."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, found = batch.column("__node").to_pylist(), batch.column("__text").to_pylist()
-            kept = [i for i, (n, t) in enumerate(zip(nodes, found)) if len(s := shingle_set(t, words)) and node_of(s) == n]
-            yield batch.take(pa.array(kept, pa.int64()))
-
-    return texts.mapInArrow(run, "__node long, __text string")
