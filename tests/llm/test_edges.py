@@ -7,10 +7,12 @@ import pytest
 from lumenpair.llm import (
     decontaminate,
     fingerprints,
+    minhash_join,
     ngram_join,
     quote_links,
     secrets,
     sentencepiece_lattice,
+    spelling_groups,
     substring_dedup,
     token_counts,
     toxicity,
@@ -56,6 +58,8 @@ def operators(spark, docs, tmp_path):
         "toxicity": toxicity.toxicity(docs, labels_of(spark), CATEGORIES, "toxic"),
         "secrets": secrets.scan_report(docs),
         "join": ngram_join.similar_groups(docs),
+        "minhash": minhash_join.near_duplicates(docs),
+        "words": spelling_groups.spelling_groups(docs, least_count=1),
         "items": decontaminate.contaminations(docs, items_of(spark)),
         "fingerprints": fingerprints.compare_with_next(docs),
         "pieces": sentencepiece_lattice.encode_documents(docs, PIECE_BPE),
@@ -65,7 +69,7 @@ def operators(spark, docs, tmp_path):
 def test_odd_rows(spark, tmp_path):
     got = {k: df.collect() for k, df in operators(spark, docs_of(spark, ROWS), tmp_path).items()}
     one = lambda name, i: [r for r in got[name] if r.doc_id == i]
-    for name in ("without", "tokens", "toxicity", "secrets", "join", "pieces"):
+    for name in ("without", "tokens", "toxicity", "secrets", "join", "minhash", "pieces"):
         assert len(got[name]) == len(ROWS), name
     assert {r.doc_id for r in got["substring"]} >= {6}
     assert one("tokens", 2)[0].n_tokens == 0 and one("tokens", 3)[0].n_bytes == 0
@@ -73,6 +77,10 @@ def test_odd_rows(spark, tmp_path):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got["join"]} == {
         (1, 1, 1), (6, 1, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (None, 1, None), (5, one("join", 5)[0].n_shingles, 5),
     }
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got["minhash"]} == {
+        (r.doc_id, r.n_shingles, r.component_id, r.doc_id == r.component_id) for r in got["join"]
+    }
+    assert {(r.word, r.n) for r in got["words"]} >= {("repeated", 3), ("password", 6000)}
     assert {(r.doc_id, r.item_id) for r in got["items"]} == {(1, 0), (6, 0), (1, 3), (6, 3)}
     assert len(got["fingerprints"]) == len(ROWS) - 1
     assert one("fingerprints", 1)[0].fingerprint == one("fingerprints", 6)[0].fingerprint

@@ -15,16 +15,20 @@ from pyspark.sql import functions as F
 from lumenpair.llm import (
     decontaminate,
     fingerprints,
+    hard_negatives,
+    minhash_join,
     ngram_join,
     queries,
     quote_links,
     secrets,
     sentencepiece_lattice,
+    spelling_groups,
     substring_dedup,
     token_counts,
     toxicity,
     url_filter,
 )
+from lumenpair.llm import groups as candidate_groups
 
 SMALL = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.1"
@@ -241,7 +245,7 @@ def shingles(text):
     return frozenset([tuple(w)]) if len(w) < 5 else frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4))
 
 
-def groups(texts):
+def groups(texts, similarity=75):
     sets = {i: shingles(t) for i, t in texts.items()}
     holders, shared, parent = defaultdict(list), Counter(), {i: i for i in sets}
     for i, s in sets.items():
@@ -255,7 +259,7 @@ def groups(texts):
         return x
 
     for (a, b), n in shared.items():
-        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= similarity * (len(sets[a]) + len(sets[b]) - n):
             parent[max(find(a), find(b))] = min(find(a), find(b))
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
@@ -267,23 +271,156 @@ def edited(rnd, words, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_ngram_join(spark, texts, monkeypatch, block):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+def near_copies(texts):
     rnd = random.Random(5)
     base = [f"w{rnd.randrange(500)}" for _ in range(150)]
     docs = dict(list(texts.items())[:60])
-    # A group around the similarity, exact copies, short texts, shared passages.
+    # A group around the similarity, exact copies, short texts, shared passages, long texts.
     for i in range(60):
         docs[1000 + i] = edited(rnd, base, rnd.randrange(6))
     docs |= {2000: "One Two", 2001: "one  two", 2002: "one", 2003: "", 2004: " \n", 2005: docs[1000]}
     passage = " ".join(base[:30])
     docs |= {3000 + i: passage + " " + " ".join(f"u{rnd.randrange(10**6)}" for _ in range(rnd.randrange(5, 12))) for i in range(20)}
+    long = [f"v{rnd.randrange(10**5)}" for _ in range(3000)]
+    docs |= {4000 + i: edited(rnd, long, 25 * i) for i in range(8)}
+    return docs
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_ngram_join(spark, texts, monkeypatch, block):
+    monkeypatch.setattr(candidate_groups, "BLOCK", block)
+    docs = near_copies(texts)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df).collect()}
     assert got == groups(docs)
 
 
+@pytest.mark.parametrize("block", [3, 512])
+def test_minhash_join(spark, texts, monkeypatch, block):
+    monkeypatch.setattr(candidate_groups, "BLOCK", block)
+    docs = near_copies(texts)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_join.near_duplicates(df).collect()}
+    assert got == {i: (n, c, i == c) for i, (n, c) in groups(docs, 85).items()}
+
+
+def test_match_threshold_and_collisions():
+    """Pairs right at the similarity pass; the rate of collisions follows the similarity."""
+    t = minhash_join.match_threshold(85)
+    miss = sum(math.comb(64, k) * 0.85**k * 0.15 ** (64 - k) for k in range(t))
+    assert miss < minhash_join.MISS <= miss + math.comb(64, t) * 0.85**t * 0.15 ** (64 - t)
+    rnd = np.random.default_rng(4)
+    rates = []
+    for _ in range(60):
+        pool = rnd.integers(0, 1 << 63, 400).astype(np.uint64)
+        a, b = np.sort(pool[:370]), np.sort(pool[30:])  # 340 of 400 are shared
+        rates.append((minhash_join.signature_of(a) == minhash_join.signature_of(b)).mean())
+    assert abs(np.mean(rates) - 0.85) < 0.02
+
+
+def mined(rows, every=50, positives=5, negatives=3, window=(50, 95)):
+    ok = lambda v: v is not None and all(x is not None and math.isfinite(x) for x in v)
+    rows = sorted({(i, c, tuple(math.floor(256 * x) for x in v)) for i, c, v in rows if i is not None and c is not None and ok(v)})
+    out = []
+    for i, c, v in [r for r in rows if r[0] % every == 0]:
+        scored = [(-sum(x * y for x, y in zip(v, w)), j, d) for j, d, w in rows if j != i and len(w) == len(v)]
+        for p, j, _ in sorted(x for x in scored if x[2] == c)[:positives]:
+            fits = sorted((s, k) for s, k, d in scored if d != c and window[0] * -p <= 100 * -s <= window[1] * -p)
+            out += [(i, j, n + 1, k, -p, -s) for n, (s, k) in enumerate(fits[:negatives])]
+    return out
+
+
+def test_hard_negatives(spark, monkeypatch):
+    """Many small tiles, pages, blocks and runs; ties, equal vectors, two widths, odd rows."""
+    for name, value in {"MAX_TILE_ROWS": 5, "LEAF": 2, "PAGE_TILES": 3, "RUN_TILES": 2, "BLOCK_QUERIES": 4}.items():
+        monkeypatch.setattr(hard_negatives, name, value)
+    rnd = np.random.default_rng(12)
+    rows = [(int(i), int(rnd.integers(0, 4)), np.round(rnd.normal(size=6), 1).tolist()) for i in range(160)]
+    rows += [(200 + i, 1, [0.5] * 6) for i in range(40)]
+    rows += [(300 + i, int(rnd.integers(0, 3)), rnd.normal(size=3).tolist()) for i in range(30)]
+    rows += [(None, 1, [1.0] * 6), (401, None, [1.0] * 6), (402, 1, None), (403, 1, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (400, 1, [float("nan")] * 6)]
+    rows += [(404, 1, [float("inf")] + [0.0] * 5), (450, 2, []), (451, 2, []), (452, 3, []), rows[0], (0, 2, rows[1][2])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, label int, embedding array<double>, __x string")
+    got = [tuple(r) for r in hard_negatives.hard_negatives(df, every=10).collect()]
+    assert sorted(got) == sorted(mined(rows, every=10)) and len(got) > 200
+    assert hard_negatives.hard_negatives(df.limit(0)).collect() == []
+    assert hard_negatives.hard_negatives(df.where("vec_id % 50 <> 0")).collect() == []
+
+
+def test_bounds_hold_every_score():
+    rnd = np.random.default_rng(2)
+    x, q = np.floor(rnd.normal(size=(500, 8)) * 256), np.floor(rnd.normal(size=(20, 8)) * 256)
+    order, ends = hard_negatives.leaf_order(x)
+    assert sorted(order.tolist()) == list(range(500)) and max(np.diff([0, *ends])) <= hard_negatives.LEAF
+    blob = lambda a, t: np.ascontiguousarray(a, t).tobytes()
+    block = {"__query": blob(range(20), np.int64), "__id": blob(range(-20, 0), np.int64), "__label": blob([0] * 20, np.int64),
+             "__least": blob([-np.inf] * 20, float), "__most": blob([np.inf] * 20, float), "__x": blob(q, float), "__width": 8}
+    own = hard_negatives.Queries(block, 3, True)
+    assert (own.bounds(x, x) == q @ x.T).all()
+    assert (own.bounds(x.min(axis=0)[None], x.max(axis=0)[None])[:, 0] >= (q @ x.T).max(axis=1)).all()
+    own.walk({"__ids": blob(order, np.int64), "__ends": blob(ends, np.int32), "__x": blob(x[order], float), "__label": 0})
+    want = [sorted(range(500), key=lambda j: (-s[j], j))[:3] for s in q @ x.T]
+    assert own.ids.tolist() == want
+
+
+def spelled(docs, least_length=6, least_count=5):
+    import zlib
+
+    counts = Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{i}:{run}".encode())
+            if i is not None and h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= least_length and n >= least_count}
+    near = defaultdict(set)
+    deleted = defaultdict(list)
+    for w in words:
+        for i in range(len(w)):
+            deleted[w[:i] + w[i + 1 :], i].append(w)
+            if (shorter := w[:i] + w[i + 1 :]) in words:
+                near[w].add(shorter)
+                near[shorter].add(w)
+    for same in deleted.values():
+        for w in same:
+            near[w] |= set(same) - {w}
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        if best and words[best] >= 5 * n:
+            form[w] = best
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return {w: (n, len(near[w]), form.get(w), words.get(form.get(w)), root(w)) for w, n in words.items()}
+
+
+@pytest.mark.parametrize("chunk", [3, 1024])
+def test_spelling_groups(spark, texts, monkeypatch, chunk):
+    visits = spelling_groups.visits
+    monkeypatch.setattr(spelling_groups, "visits", lambda words, classes: visits(words, classes, chunk))
+    rnd = random.Random(7)
+    docs = list(texts.items())[:80]
+    roots = ["étranger", "Straßenbahn", "abcdefgh", "aabbaabb", "z" * 300]
+    for k, w in enumerate(roots):
+        docs += [(5000 + 1000 * k + i, f"{w} {w.upper()}") for i in range(40)]
+        for _ in range(12):
+            j = rnd.randrange(len(w))
+            variant = w[:j] + rnd.choice(["", "x", "é", w[j] + "q"]) + w[j + 1 :]
+            docs += [(20_000 + 100 * k + i, " ".join([variant] * rnd.randrange(1, 4))) for i in range(4)]
+    docs += [(None, "abcdefgh abcdefgx"), (7, None), (8, ""), (9, "×÷×÷×÷ " * 6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.word: (r.n, r.n_near, r.form, r.form_n, r.root) for r in spelling_groups.spelling_groups(df).collect()}
+    assert got == spelled(docs)
+    assert any(f and got[f][2] for _, _, f, _, _ in got.values()) or chunk  # chains of forms may occur
+    assert spelling_groups.spelling_groups(df.limit(0)).collect() == []
+
+
 def test_bitmap_bound():
     rnd = np.random.default_rng(1)
     for _ in range(50):
