@@ -68,12 +68,31 @@ def words_apart(path: str) -> bool:
     return alone and all(count(f"{a}{s}{b}") == count(a) + count(b) for a in probes for b in probes for s in " \n")
 
 
+def folds_words(path: str) -> bool:
+    """Whether lower-casing a text, and putting a blank before a closing mark, changes no token.
+
+    Read off the tokenizer's own steps: its normaliser has to give the same for a
+    letter and its lower case, its word splitter has to part a mark from a letter.
+    """
+    tokenizer = load_tokenizer(path)
+    normal, split = tokenizer.normalizer, tokenizer.pre_tokenizer
+    if normal is None or split is None:
+        return False
+    letters = [chr(c) for c in range(0x21, 0x250) if not OTHER_CHARACTERS.search(chr(c)) and chr(c) != chr(c).lower()]
+    pieces = lambda text: [word for word, _ in split.pre_tokenize_str(normal.normalize_str(text))]
+    marks = [chr(c) for c in range(0x21, 0x250) if CLOSING_MARKS.sub(r" \1", f"a{chr(c)}") != f"a{chr(c)}"]
+    return all(normal.normalize_str(f"a{c}b") == normal.normalize_str(f"a{c.lower()}b") for c in letters) and all(
+        pieces(f"a{m}") == pieces("a") + pieces(m) for m in marks
+    )
+
+
 class TokenCounter:
     """Counts the tokens of whole texts as the library gives them."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load_tokenizer(path)
         self.by_word = words_apart(path)
+        self.folds = self.by_word and folds_words(path)
         self.known: dict[str, int] = {"": 0}
 
     def count(self, texts: list[str]) -> list[int]:
@@ -83,7 +102,7 @@ class TokenCounter:
 
     def _by_words(self, text: str) -> int:
         text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if "<|" not in text and not OTHER_CHARACTERS.search(text):
+        if self.folds and "<|" not in text and not OTHER_CHARACTERS.search(text):
             # Fewer distinct words: the tokenizer lower-cases, and marks after a letter are words of their own to it.
             text = CLOSING_MARKS.sub(r" \1", text.lower())
         words = text.split(" ")
@@ -170,7 +189,9 @@ def count_tokens(
     texts = rows.join(misses, F.col("__id").eqNullSafe(F.col("__first")) & (F.col("digest") == F.col("__digest")), "left_semi")
     fresh = encode_counts(texts, tokenizer_path).dropDuplicates(["digest"])
     fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+    # Runs that overlap may both have stored a digest; it counts once.
+    stored = read_cache(spark, cache_path).where(F.col("tokenizer") == version)
+    counts = stored.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     return keyed.join(counts, "digest", "left").select(
         F.col("__id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

@@ -271,6 +271,26 @@ def edited(rnd, words, n):
     return " ".join(out)
 
 
+def test_token_counts_of_a_cased_tokenizer_and_a_doubled_cache(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.BPE(vocab={"A": 0, "B": 1, "AB": 2, "a": 3, "b": 4}, merges=[("A", "B")]))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    path, cache = str(tmp_path / "cased.json"), str(tmp_path / "cache")
+    own.save(path)
+    assert token_counts.words_apart(path) and not token_counts.folds_words(path)
+    assert token_counts.folds_words(WORD_BPE)
+    docs = [(1, "AB AB"), (2, "ab A"), (3, None), (4, "AB AB")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {i: len(own.encode(t or "", add_special_tokens=False).ids) for i, t in docs}
+    for _ in range(2):  # the second run finds every digest stored twice
+        got = token_counts.count_tokens(df, path, cache).collect()
+        assert len(got) == len(docs) and {r.doc_id: r.n_tokens for r in got} == want
+        stored = spark.read.parquet(cache)
+        rows = stored.collect()
+        spark.createDataFrame(rows, stored.schema).write.mode("append").parquet(cache)
+
+
 def near_copies(texts):
     rnd = random.Random(5)
     base = [f"w{rnd.randrange(500)}" for _ in range(150)]
