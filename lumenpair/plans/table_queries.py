@@ -911,5 +911,5 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     """The offline job over tar shards: presence and relabel filters, caption pool, four draws, epoch shuffle."""
-    samples, _problems = read_tar_shards(t.spark, f"{fx.document_shards(t)}/shard-*.tar")
+    samples, _problems = read_tar_shards(t.spark, f"{fx.document_shards(t)}/shard-*.tar", members=["txt", "json"], keep_names=True)
     return curate(samples).select("key", "draw", F.md5("subcaption").alias("subcaption"))

@@ -14,9 +14,9 @@ RUNTIME_CONF = {
     # Split skewed join sides even when that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Collected lists of many small groups stay in a hash table; beyond so many groups a task sorts.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Conditions on the shard reach the tar source.
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 _fallback_dir: str | None = None

@@ -4,6 +4,10 @@ A first pass walks the headers of each shard, one task per shard, and yields
 where every member of a sample lies. A second pass fetches only the members
 asked for, with the byte ranges of large shards spread over many tasks: a job
 over captions never reads image bytes, and one giant shard is no bottleneck.
+Members that lie next to each other are read at once.
+
+Conditions on `shard` reach the index scan (with `spark.sql.python.filterPushdown.enabled`),
+so shards that they rule out are never opened.
 """
 
 from __future__ import annotations
@@ -12,12 +16,12 @@ import io
 import math
 import re
 import tarfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
 from ..session import materialize, work_partitions
 from .files import open_input
@@ -30,6 +34,9 @@ KEY_AND_EXTENSION = re.compile(r"^((?:.*/)?[^/.][^/.]*)\.([^/]*)$")
 # Read-ahead while walking headers: larger buffers would read the payload as well.
 HEADER_BYTES = 4096
 FETCH_BYTES = 64 * 1024 * 1024
+# Bytes between two wanted members up to which one read takes both: less than a further request costs.
+GAP_BYTES = 64 * 1024
+RUN_BYTES = 16 * 1024 * 1024
 
 
 class ShardPartition(InputPartition):
@@ -72,10 +79,28 @@ def index_shard(path: str, fail: bool) -> Iterator[tuple]:
         yield path, count, key, members, None
 
 
+def f_on_shard(f: Filter) -> bool:
+    return isinstance(f, (EqualTo, In, StringStartsWith)) and f.attribute == ("shard",)
+
+
+def shard_passes(f: Filter, path: str) -> bool:
+    if isinstance(f, In):
+        return path in f.value
+    return path.startswith(f.value) if isinstance(f, StringStartsWith) else path == f.value
+
+
 class TarShardReader(DataSourceReader):
     def __init__(self, paths: list[str], fail: bool) -> None:
         self.paths, self.fail = paths, fail
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Shards that a condition on `shard` rules out get no partition; all other conditions stay with Spark."""
+        for f in filters:
+            if f_on_shard(f):
+                self.paths = [p for p in self.paths if shard_passes(f, p)]
+            else:
+                yield f
+
     def partitions(self) -> list[InputPartition]:
         return [ShardPartition(p) for p in self.paths]
 
@@ -115,11 +140,13 @@ def read_tar_shards(
     members: Sequence[str] | None = None,
     errors: str = "skip",
     where=None,
+    keep_names: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(samples, problems) of tar shards.
 
     samples is (shard, sample_index, key, members map<string,binary>) with only
-    the extensions in `members` fetched (all by default). `where` is a condition
+    the extensions in `members` fetched (all by default); with `keep_names` the others
+    stay in the map without bytes, for filters on what a sample has. `where` is a condition
     on the index, such as a presence filter on the member names: samples it
     drops are never fetched. problems is (shard, key, error). The index is
     written once and serves both.
@@ -131,17 +158,46 @@ def read_tar_shards(
         wanted = wanted.where(where)
     if members is not None:
         names = F.array(*[F.lit(m.lower()) for m in members])
-        wanted = wanted.withColumn("members", F.map_filter("members", lambda k, _: F.array_contains(names, k)))
+        if keep_names:
+            unread = lambda k, v: F.when(F.array_contains(names, k), v)
+            wanted = wanted.withColumn("members", F.transform_values("members", unread))
+        else:
+            wanted = wanted.withColumn("members", F.map_filter("members", lambda k, _: F.array_contains(names, k)))
     return fetch_members(wanted), problems
 
 
+def read_runs(read_at, spans: list[tuple[int, int]]) -> list[bytes]:
+    """The bytes of (offset, size) spans in their order, neighbours read at once."""
+    data: list[bytes] = [b""] * len(spans)
+    run: list[int] = []
+    start = end = 0
+
+    def flush() -> None:
+        if run:
+            block = read_at(end - start, start)
+            for i in run:
+                offset, size = spans[i]
+                data[i] = bytes(block[offset - start : offset - start + size])
+
+    for i in sorted(range(len(spans)), key=lambda i: spans[i]):
+        offset, size = spans[i]
+        if run and offset - end <= GAP_BYTES and max(end, offset + size) - start <= RUN_BYTES:
+            end = max(end, offset + size)
+        else:
+            flush()
+            run, start, end = [], offset, offset + size
+        run.append(i)
+    flush()
+    return data
+
+
 def fetch_members(index: DataFrame) -> DataFrame:
     """Replace member offsets by bytes; byte ranges of one shard go to different tasks.
 
     The number of tasks follows the bytes to fetch, which the small index rows
     do not show, and is at least the usual one: what comes next is often costly.
     """
-    sizes = F.transform(F.map_values("members"), lambda m: m["size"])
+    sizes = F.transform(F.map_values("members"), lambda m: F.coalesce(m["size"], F.lit(0).cast("bigint")))
     total = index.agg(F.sum(F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     tasks = max(work_partitions(index.sparkSession), math.ceil(total / FETCH_BYTES))
     start = F.array_min(F.transform(F.map_values("members"), lambda m: m["offset"]))
@@ -162,10 +218,12 @@ def fetch_members(index: DataFrame) -> DataFrame:
                         if handle is not None:
                             handle.close()
                         handle, current = open_input(shard), shard
-                    names, data = [], []
-                    for parts in rows["parts"]:
-                        names.append([p["name"] for p in parts])
-                        data.append([handle.read_at(p["size"], p["offset"]) for p in parts])
+                    names = [[p["name"] for p in parts] for parts in rows["parts"]]
+                    # A member that is not wanted has no place; pandas shows that as None or NaN.
+                    wanted = [[not pd.isna(p["size"]) for p in parts] for parts in rows["parts"]]
+                    spans = [(int(p["offset"]), int(p["size"])) for parts in rows["parts"] for p in parts if not pd.isna(p["size"])]
+                    found = iter(read_runs(handle.read_at, spans))
+                    data = [[next(found) if w else None for w in flags] for flags in wanted]
                     yield pd.DataFrame(
                         {
                             "shard": rows["shard"].to_numpy(),

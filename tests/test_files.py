@@ -20,6 +20,7 @@ from lumenpair.sources.files import count_files, list_files
 from lumenpair.sources.records import manifest_samples, read_manifest, read_records, synthetic_pairs
 from lumenpair.sources.retrieval_sets import read_coco_captions, read_karpathy
 from lumenpair.sources.shards import expand_braces, expand_shards
+from lumenpair.sources import tar as tar_source
 from lumenpair.sources.tar import read_tar_shards
 from lumenpair.streaming.running import refresh_accuracy
 
@@ -316,3 +317,37 @@ def test_json_keys_given_twice(spark, tmp_path):
     path.write_text('{"a": 1, "b": {"c": 2}, "a": "x, y"}')
     got = json_entries(spark, str(path)).collect()
     assert sorted((r.record_index, r.key, r.record) for r in got) == [(0, "a", "x, y"), (1, "b", '{"c":2}')]
+
+
+def test_tar_reads_neighbours_at_once_and_nothing_else():
+    body = bytes(range(256)) * 4000
+    asked = []
+
+    def read_at(size, offset):
+        asked.append((offset, size))
+        return body[offset : offset + size]
+
+    far = tar_source.GAP_BYTES + 1000
+    spans = [(0, 10), (512, 20), (far * 2, 7), (30, 5), (far * 5, 0), (far * 5 + 100, 50)]
+    assert tar_source.read_runs(read_at, spans) == [body[o : o + n] for o, n in spans]
+    assert asked == [(0, 532), (far * 2, 7), (far * 5, 150)]
+
+
+def test_tar_pushdown(spark, tmp_path):
+    """A condition on the shard opens no other one; unread members stay as names."""
+    for k in range(3):
+        with tarfile.open(tmp_path / f"p{k}.tar", "w") as archive:
+            for name, data in ((f"a{k}.txt", b"text"), (f"a{k}.jpg", b"x" * 5000)):
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                archive.addfile(info, io.BytesIO(data))
+    reader = tar_source.TarShardReader([f"{tmp_path}/p{k}.tar" for k in range(3)], False)
+    other = tar_source.EqualTo(("key",), "a1")
+    assert list(reader.pushFilters([tar_source.EqualTo(("shard",), f"{tmp_path}/p1.tar"), other])) == [other]
+    assert [p.path for p in reader.partitions()] == [f"{tmp_path}/p1.tar"]
+    index = tar_source.read_index(spark, f"{tmp_path}/p{{0..2}}.tar")
+    assert index.where(F.col("shard") == f"{tmp_path}/p2.tar").select("key").collect() == [("a2",)]
+    samples, _ = read_tar_shards(spark, f"{tmp_path}/p0.tar", members=["txt"], keep_names=True)
+    row = samples.collect()[0]
+    assert {k: v and bytes(v) for k, v in row.members.items()} == {"txt": b"text", "jpg": None}
+    assert samples.where(has_caption_and_image(F.col("members"))).count() == 1
