@@ -19,7 +19,7 @@ from lumenpair.llm.ngram_join import similar_groups
 from lumenpair.llm.secrets import BASE_KINDS, METHOD, find_secrets, masked
 from lumenpair.llm.sentencepiece_lattice import encode_documents
 from lumenpair.llm.toxicity import fit_chain, score_chain
-from lumenpair.session import materialize
+from lumenpair.session import materialize, tune
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,6 +34,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain does not call toxic. Null and empty texts stay."""
+    tune(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     models = fit_chain(docs, labels, CATEGORIES)
     scored = score_chain(_packed(docs), models, list(CATEGORIES), ["row"])
@@ -42,6 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the least id. Rows with the same id stay or go together."""
+    tune(spark)
     groups = similar_groups(docs)
     gone = materialize(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "dropped")
     # Ids only, broadcast while they are few; beyond that the join shuffles.
@@ -51,12 +53,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    tune(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return find_items(_packed(docs), items, ["row"]).where(~is_contaminated()).select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced in the text; n_chars is that of the new text."""
+    tune(spark)
     found = find_secrets(_packed(docs), ["row"])
     spans = F.concat(*[F.col(k) for k in (*BASE_KINDS, METHOD)])
     changed = F.size(spans) > 0
@@ -70,6 +74,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, with counts and the check of the round trip."""
+    tune(spark)
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
