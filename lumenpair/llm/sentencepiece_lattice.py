@@ -39,12 +39,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import let
-from ..session import materialize, work_partitions
+from ..session import materialize, tune, work_partitions
 from .frames import whole_text
 
 SPACE = "▁"
 LONGEST = 60
 BLOCK_BYTES = 32 << 20
+# Distinct units that a task keeps of a block before it gives them.
+KEPT_UNITS = 200_000
 LETTER = re.compile(r"[^\W\d_]")
 FINE_UNIT = re.compile(rf"{SPACE}*(?:[^\W\d_]+|(?:[^\w{SPACE}]|[\d_])+)|{SPACE}+")
 COARSE_UNIT = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -136,8 +138,9 @@ def _bit(i: Column) -> Column:
 def merge_fold(unit: Column, edges: Column) -> Column:
     """Starts of the chosen pieces, by merging the best neighbours until none can be merged.
 
-    The state has a bit for each boundary. An edge can be merged if its ends are
-    boundaries with one other boundary between them. Of equal scores the leftmost wins.
+    The state has a bit for each boundary, and the edges that may still be merged: an edge
+    can be if its ends are boundaries with one other boundary between them. Of equal scores
+    the leftmost wins.
     """
     n = F.length(unit)
 
@@ -151,16 +154,19 @@ def merge_fold(unit: Column, edges: Column) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         b = state["b"]
-        open_ = F.filter(
-            state["edges"],
-            lambda x: (b.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(b.bitwiseAND(x["between"])) == 1),
-        )
-        best = F.array_max(open_)
-        return F.struct(
-            F.coalesce(b.bitwiseAND(F.bitwise_not(best["between"])), b).alias("b"), state["edges"].alias("edges")
-        )
+        open_ = F.filter(state["edges"], lambda x: F.bit_count(b.bitwiseAND(x["between"])) == 1)
+
+        def merged(best: Column) -> Column:
+            after = F.coalesce(b.bitwiseAND(F.bitwise_not(best["between"])), b)
+            # An edge that has lost an end, or has nothing left to merge, is out for good.
+            alive = lambda x: (after.bitwiseAND(x["ends"]) == x["ends"]) & (after.bitwiseAND(x["between"]) != 0)
+            left = F.when(best.isNull(), F.array().cast(kind)).otherwise(F.filter(state["edges"], alive))
+            return F.struct(after.alias("b"), left.alias("edges"))
+
+        return let(F.array_max(open_), merged)
 
-    start = F.struct((_bit(n + 1) - 1).alias("b"), ready.alias("edges"))
+    kind = "array<struct<score: double, left: int, between: bigint, ends: bigint>>"
+    start = F.struct((_bit(n + 1) - 1).alias("b"), ready.cast(kind).alias("edges"))
     # Every step merges one edge or is the last that could.
     most = F.least(n - 1, F.size(ready))
     steps = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
@@ -304,10 +310,10 @@ def block_units(rows: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for block, text in zip(batch.column("__block").to_pylist(), batch.column("__text").to_pylist()):
                 found.setdefault(block, set()).update(units_of(text, pieces))
-            if len(found) > 1 or sum(map(len, found.values())) > 1_000_000:
+            if len(found) > 1 or sum(map(len, found.values())) > KEPT_UNITS:
                 last = batch.column("__block")[batch.num_rows - 1].as_py()
                 for block in list(found):
-                    if block != last or len(found[block]) > 1_000_000:
+                    if block != last or len(found[block]) > KEPT_UNITS:
                         yield from _unit_batches(block, found.pop(block))
         for block, units in found.items():
             yield from _unit_batches(block, units)
@@ -341,14 +347,14 @@ def encode_documents(
     docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False
 ) -> DataFrame:
     """One row for each row: key, n_chars, n_pieces, ids_sha256 (of 32-bit little-endian ids), round_trip, and `ids` on demand."""
-    spark = docs.sparkSession
+    spark = tune(docs.sparkSession)
     pieces = load_pieces(model_path)
     partitions = work_partitions(spark)
     rows = in_blocks(docs, key, text)
     kind = dict(rows.dtypes)["__id"]
-    # Both the distinct units and the blocks' demands come from this one shuffle.
-    asked = block_units(rows, model_path).repartition(partitions, "__unit")
-    encoded = encode_units(asked.select("__unit").distinct(), pieces)
+    # Stored once, as both the distinct units and the blocks' demands are read from it.
+    asked = materialize(block_units(rows, model_path), "units")
+    encoded = encode_units(asked.select("__unit").distinct().repartition(partitions, "__unit"), pieces)
     given = asked.join(encoded, "__unit").select(
         "__block", F.lit(0).alias("__kind"), "__unit", "__ids", F.lit(None).cast(kind).alias("__id"), F.lit(None).cast("binary").alias("__blob")
     )
