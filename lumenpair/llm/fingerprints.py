@@ -2,7 +2,7 @@
 
 The terms of a text are its words between white space, weighted by their counts.
 For each of `SAMPLES` samples a term w with weight S draws r and c from
-Gamma(2, 1) and b from [0, 1), all from hashes of the term and the sample:
+Gamma(2, 1) and b from [0, 1), all out of two hashes of the term and the sample:
 t = floor(ln S / r + b), ln a = ln c - r (t - b + 1). The term with the least a
 is the sample, as the pair (term, t). Two texts agree in a sample with a chance
 equal to their generalised Jaccard similarity: the sum of the smaller weights
@@ -30,7 +30,9 @@ from .frames import whole_text
 
 SAMPLES = 64
 BLANKS = "[ \\t\\n\\r\\x0b\\f]+"
-_HALF = 1 << 32
+_MASK = (1 << 32) - 1
+# Samples computed side by side: with more of them the generated method is too long for the JVM to compile (five times slower at 16).
+GROUP = 4
 
 
 def weighted_terms(text: Column) -> Column:
@@ -55,60 +57,67 @@ def _runs(digests: Column) -> Column:
     )
 
 
-def _unit(bits: Column) -> Column:
-    """32 bits as a number between 0 and 1, both excluded."""
-    return (bits.bitwiseAND(F.lit(_HALF - 1)).cast("double") + 0.5) / _HALF
+def _unit(bits: Column, width: int) -> Column:
+    """The lowest `width` bits as a number between 0 and 1, both excluded."""
+    return (bits.bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) / (1 << width)
 
 
-def _product(digest: Column) -> Column:
-    """Product of the two numbers in a digest; its negative logarithm is a draw from Gamma(2, 1)."""
-    return _unit(digest) * _unit(F.shiftrightunsigned(digest, 32))
+def _gamma(a: Column, b: Column) -> Column:
+    """A draw from Gamma(2, 1) out of two uniform ones."""
+    return -F.log(a * b)
 
 
 def samples(terms: DataFrame, keys: list[str], carried: list[str], count: int = SAMPLES) -> DataFrame:
-    """Per `keys` the samples `__s0`, ...: 32-bit digests of the chosen (term, t), zero where there is no term.
+    """Per `keys` and `carried` the signature `__sig`: 32-bit digests of the chosen (term, t), zero where there is no term.
 
     Numbers in `carried` are the same in all rows of a key.
 
-    `terms` has `__term` and `__weight`. A candidate is one number, ln a in its
-    upper bits and the digest of (term, t) in the lower, so the least one is found
-    by a plain minimum that combines early.
+    `terms` has `__term` and `__weight`. Samples go in groups of `GROUP`, one row for each
+    term and group, so that no plan step has more columns than generated code takes. Two
+    digests of the term and the sample hold all draws and the sample's name. A candidate
+    is one number, ln a in its upper bits and the name in the lower, so the least one
+    is found by a plain minimum that combines early.
     """
-    term = F.col("__term")
-    drawn = terms.withColumn("__ln", F.log(F.col("__weight").cast("double")))
-    drawn = drawn.select(
-        *keys,
-        *carried,
-        "__term",
-        "__ln",
-        *[(-F.log(_product(F.xxhash64(term, F.lit(3 * k))))).alias(f"__r{k}") for k in range(count)],
-        *[_unit(F.xxhash64(term, F.lit(3 * k + 1))).alias(f"__b{k}") for k in range(count)],
-    )
-    drawn = drawn.select(
-        *keys,
-        *carried,
-        "__term",
-        *[f"__r{k}" for k in range(count)],
-        *[f"__b{k}" for k in range(count)],
-        *[F.floor(F.col("__ln") / F.col(f"__r{k}") + F.col(f"__b{k}")).alias(f"__t{k}") for k in range(count)],
+    groups = -(-count // GROUP)
+    term, group = F.col("__term"), F.col("__group")
+    spread = terms.select(
+        *keys, *carried, "__term", F.log(F.col("__weight").cast("double")).alias("__ln"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__group"),
+    )
+    first = group * (2 * GROUP)
+    size = min(GROUP, count)
+    digests = spread.select(
+        *keys, *carried, "__group", "__ln",
+        *[F.xxhash64(term, first + 2 * k).alias(f"__p{k}") for k in range(size)],
+        *[F.xxhash64(term, first + (2 * k + 1)).alias(f"__q{k}") for k in range(size)],
+    )
+    p, q = (lambda k: F.col(f"__p{k}")), (lambda k: F.col(f"__q{k}"))
+    drawn = digests.select(
+        *keys, *carried, "__group", "__ln",
+        *[c for k in range(size) for c in (p(k), q(k))],
+        *[_gamma(_unit(p(k), 21), _unit(F.shiftrightunsigned(p(k), 21), 21)).alias(f"__r{k}") for k in range(size)],
+    )
+    b = lambda k: _unit(F.shiftrightunsigned(p(k), 42), 21)
+    placed = drawn.select(
+        *drawn.columns, *[F.floor(F.col("__ln") / F.col(f"__r{k}") + b(k)).alias(f"__t{k}") for k in range(size)]
     )
 
     def candidate(k: int) -> Column:
-        r, b, t = (F.col(f"__{x}{k}") for x in "rbt")
-        ln_a = F.log(-F.log(_product(F.xxhash64(term, F.lit(3 * k + 2))))) - r * (t - b + 1)
+        r, t = F.col(f"__r{k}"), F.col(f"__t{k}")
+        c = _gamma(_unit(q(k), 32), _unit(F.shiftrightunsigned(q(k), 32), 32))
+        ln_a = F.log(c) - r * (t - b(k) + 1)
         upper = F.greatest(F.lit(0.0), F.least(F.lit(255.999), ln_a + 128.0)) * (1 << 23)
-        chosen = F.xxhash64(term, t, F.lit(k)).bitwiseAND(F.lit(_HALF - 1))
-        return F.shiftleft(F.floor(upper), 32).bitwiseOR(chosen)
+        name = p(k).bitwiseXOR(q(k)).bitwiseXOR(F.shiftleft(t, 7)).bitwiseAND(F.lit(_MASK))
+        return F.shiftleft(F.floor(upper), 32).bitwiseOR(name)
 
-    least = drawn.groupBy(*keys).agg(
-        *[F.min(c).alias(c) for c in carried], *[F.min(candidate(k)).alias(f"__s{k}") for k in range(count)]
+    least = placed.groupBy(*keys, "__group").agg(
+        *[F.min(c).alias(c) for c in carried], *[F.min(candidate(k)).alias(f"__s{k}") for k in range(size)]
     )
-    chosen = [F.coalesce(F.col(f"__s{k}").bitwiseAND(F.lit(_HALF - 1)), F.lit(0)) for k in range(count)]
-    return least.select(*keys, *carried, *[c.alias(f"__s{k}") for k, c in enumerate(chosen)])
-
-
-def signature(count: int = SAMPLES) -> Column:
-    return F.array(*[F.col(f"__s{k}") for k in range(count)])
+    part = F.array(*[F.coalesce(F.col(f"__s{k}").bitwiseAND(F.lit(_MASK)), F.lit(0)) for k in range(size)])
+    parts = least.select(*keys, *carried, F.struct(F.col("__group").alias("g"), part.alias("s")).alias("__part"))
+    whole = parts.groupBy(*keys).agg(*[F.min(c).alias(c) for c in carried], F.sort_array(F.collect_list("__part")).alias("__parts"))
+    joined = F.flatten(F.transform("__parts", lambda x: x["s"]))
+    return whole.select(*keys, *carried, F.slice(joined, 1, count).alias("__sig"))
 
 
 def as_text(signature: Column) -> Column:
@@ -127,7 +136,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str, carried: list[str
     digests = texts.select(*keys, *carried, F.sort_array(weighted_terms(F.col(text))).alias("__digests"))
     runs = digests.select(*keys, *carried, F.explode_outer(_runs(F.col("__digests"))).alias("__run"))
     terms = runs.select(*keys, *carried, F.col("__run.term").alias("__term"), F.col("__run.weight").alias("__weight"))
-    return samples(terms, keys, carried, count).select(*keys, *carried, signature(count).alias("__sig"))
+    return samples(terms, keys, carried, count)
 
 
 def next_documents(rows: DataFrame) -> DataFrame:
