@@ -30,7 +30,7 @@ CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 # Runs of these become one space. No tokenizer this is used with (`words_apart`) gives a token for them.
 BLANKS = "[ \\t\\n\\r]+"
 # Word counts that a worker remembers; it starts anew beyond this. The counts are the same either way.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 LONGEST_REMEMBERED = 64
 TOGETHER = 256
 # A text of these characters only has the same tokens in lower case.
