@@ -2,11 +2,15 @@
 
 The terms of a text are its words between white space, weighted by their counts.
 For each of `SAMPLES` samples a term w with weight S draws r and c from
-Gamma(2, 1) and b from [0, 1), all out of two hashes of the term and the sample:
-t = floor(ln S / r + b), ln a = ln c - r (t - b + 1). The term with the least a
-is the sample, as the pair (term, t). Two texts agree in a sample with a chance
-equal to their generalised Jaccard similarity: the sum of the smaller weights
-over the sum of the larger ones.
+Gamma(2, 1) and b from [0, 1): t = floor(ln S / r + b), a = c exp(-r (t - b + 1)).
+The term with the least a is the sample, as the pair (term, t). Two texts agree
+in a sample with a chance equal to their generalised Jaccard similarity: the sum
+of the smaller weights over the sum of the larger ones.
+
+r is drawn as the sum of two exponential numbers, e = -ln u and f = -ln v, and b
+as e / r, which is uniform and independent of r. So t = floor((ln S + e) / r) and
+a = c exp(e - r (t + 1)); for the weight 1 that is t = 0 and a = c v, and only c
+takes a logarithm. A text and its edited text share the draws of their terms.
 
 Everything is DataFrame functions. A text's terms are counted in its own row, so
 the samples come out of one aggregation over rows that lie together already.
@@ -31,16 +35,21 @@ from .frames import whole_text
 SAMPLES = 64
 BLANKS = "[ \\t\\n\\r\\x0b\\f]+"
 _MASK = (1 << 32) - 1
-# Samples computed side by side: with more of them the generated method is too long for the JVM to compile (five times slower at 16).
-GROUP = 4
+# Samples computed side by side: with too many of them the generated method is too long for the JVM to compile.
+GROUP = 3
 
 
 def weighted_terms(text: Column) -> Column:
-    """Array of (term, weight): 64-bit digests of the words with their counts."""
+    """Array of 64-bit digests of the words, one for each occurrence."""
     words = F.filter(F.split(text, BLANKS), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _on_side(digests: Column, side: int) -> Column:
+    """Digests with the side (0 or 1) in place of their lowest bit."""
+    return F.transform(digests, lambda d: d.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(side)))
+
+
 def _runs(digests: Column) -> Column:
     """(term, weight) of each run in a sorted array."""
     n = F.size(digests)
@@ -57,67 +66,89 @@ def _runs(digests: Column) -> Column:
     )
 
 
-def _unit(bits: Column, width: int) -> Column:
-    """The lowest `width` bits as a number between 0 and 1, both excluded."""
-    return (bits.bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) / (1 << width)
+def _entries(runs: Column) -> Column:
+    """(term, weight, on0, on1) out of the runs of two texts' digests, the side in the lowest bit.
 
+    A term of equal weights is one entry for both sides, any other one for each side that has it.
+    """
+    run = lambda i: F.get(runs, i)
+    even = lambda i: run(i)["term"].bitwiseAND(F.lit(-2))
+    like = lambda i, j: F.coalesce((even(i) == even(j)) & (run(i)["weight"] == run(j)["weight"]), F.lit(False))
+    places = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: ~like(i, i - 1))
+
+    def entry(i: Column) -> Column:
+        left = run(i)["term"].bitwiseAND(F.lit(1)) == 0
+        return F.struct(
+            even(i).alias("term"), run(i)["weight"].cast("bigint").alias("weight"), left.alias("on0"), (~left | like(i, i + 1)).alias("on1")
+        )
+
+    return F.when(F.size(runs) > 0, F.transform(places, entry))
 
-def _gamma(a: Column, b: Column) -> Column:
-    """A draw from Gamma(2, 1) out of two uniform ones."""
-    return -F.log(a * b)
+
+def _unit(bits: Column, width: int) -> Column:
+    """The lowest `width` bits as a number between 0 and 1, both excluded."""
+    return (bits.bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) * 2.0**-width
 
 
 def samples(terms: DataFrame, keys: list[str], carried: list[str], count: int = SAMPLES) -> DataFrame:
-    """Per `keys` and `carried` the signature `__sig`: 32-bit digests of the chosen (term, t), zero where there is no term.
+    """Per `keys` the two signatures `__sig0` and `__sig1`: 32-bit digests of the chosen (term, t), zero where there is no term.
 
-    Numbers in `carried` are the same in all rows of a key.
+    `terms` has `__term`, `__weight` (zero for no term) and, for the sides it counts on,
+    `__on0` and `__on1`; no nulls. Numbers in `carried` are the same in all rows of a key.
 
-    `terms` has `__term` and `__weight`. Samples go in groups of `GROUP`, one row for each
-    term and group, so that no plan step has more columns than generated code takes. Two
-    digests of the term and the sample hold all draws and the sample's name. A candidate
-    is one number, ln a in its upper bits and the name in the lower, so the least one
-    is found by a plain minimum that combines early.
+    Samples go in groups of `GROUP`, one row for each term and group, so that no plan step
+    has more columns than generated code takes. A digest of the term and the sample holds
+    c, v and the name; another one, for u, is needed for weights above 1 alone. A candidate
+    is one number, the root of `a` in its upper bits and the name in the lower, so the
+    least one is found by a plain minimum that combines early.
     """
     groups = -(-count // GROUP)
-    term, group = F.col("__term"), F.col("__group")
+    size = min(GROUP, count)
     spread = terms.select(
-        *keys, *carried, "__term", F.log(F.col("__weight").cast("double")).alias("__ln"),
+        *keys, *carried, "__term", "__weight", "__on0", "__on1",
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__group"),
     )
-    first = group * (2 * GROUP)
-    size = min(GROUP, count)
-    digests = spread.select(
-        *keys, *carried, "__group", "__ln",
-        *[F.xxhash64(term, first + 2 * k).alias(f"__p{k}") for k in range(size)],
-        *[F.xxhash64(term, first + (2 * k + 1)).alias(f"__q{k}") for k in range(size)],
-    )
-    p, q = (lambda k: F.col(f"__p{k}")), (lambda k: F.col(f"__q{k}"))
-    drawn = digests.select(
-        *keys, *carried, "__group", "__ln",
-        *[c for k in range(size) for c in (p(k), q(k))],
-        *[_gamma(_unit(p(k), 21), _unit(F.shiftrightunsigned(p(k), 21), 21)).alias(f"__r{k}") for k in range(size)],
-    )
-    b = lambda k: _unit(F.shiftrightunsigned(p(k), 42), 21)
-    placed = drawn.select(
-        *drawn.columns, *[F.floor(F.col("__ln") / F.col(f"__r{k}") + b(k)).alias(f"__t{k}") for k in range(size)]
+    p, c, v, e, r, t = (lambda k, x=x: F.col(f"__{x}{k}") for x in "pcvert")
+
+    def each(df: DataFrame, **made) -> DataFrame:
+        return df.select(*df.columns, *[f(k).alias(f"__{x}{k}") for x, f in made.items() for k in range(size)])
+
+    place = lambda k: F.col("__group") * GROUP + k
+    heavy = F.col("__weight") > 1
+    u = lambda k: _unit(F.xxhash64("__term", place(k), F.lit("u")), 32)
+    rows = each(spread, p=lambda k: F.xxhash64("__term", place(k)))
+    rows = each(
+        rows,
+        v=lambda k: _unit(p(k), 21),
+        c=lambda k: -F.log(_unit(F.shiftrightunsigned(p(k), 21), 21) * _unit(F.shiftrightunsigned(p(k), 42), 21)),
+        e=lambda k: F.when(heavy, -F.log(u(k))).otherwise(0.0),
     )
+    rows = each(rows, r=lambda k: F.when(heavy, e(k) - F.log(v(k))).otherwise(1.0))
+    ln = F.when(heavy, F.log(F.col("__weight").cast("double"))).otherwise(0.0)
+    rows = each(rows.withColumn("__ln", ln), t=lambda k: F.floor((F.col("__ln") + e(k)) / r(k)))
 
     def candidate(k: int) -> Column:
-        r, t = F.col(f"__r{k}"), F.col(f"__t{k}")
-        c = _gamma(_unit(q(k), 32), _unit(F.shiftrightunsigned(q(k), 32), 32))
-        ln_a = F.log(c) - r * (t - b(k) + 1)
-        upper = F.greatest(F.lit(0.0), F.least(F.lit(255.999), ln_a + 128.0)) * (1 << 23)
-        name = p(k).bitwiseXOR(q(k)).bitwiseXOR(F.shiftleft(t, 7)).bitwiseAND(F.lit(_MASK))
-        return F.shiftleft(F.floor(upper), 32).bitwiseOR(name)
-
-    least = placed.groupBy(*keys, "__group").agg(
-        *[F.min(c).alias(c) for c in carried], *[F.min(candidate(k)).alias(f"__s{k}") for k in range(size)]
+        a = c(k) * F.when(heavy, F.exp(e(k) - r(k) * (t(k) + 1))).otherwise(v(k))
+        upper = F.floor(F.least(F.sqrt(a), F.lit(7.99)) * float(1 << 28))
+        name = p(k).bitwiseXOR(F.shiftrightunsigned(p(k), 32)).bitwiseXOR(F.shiftleft(t(k), 7))
+        return F.when(F.col("__weight") > 0, F.shiftleft(upper, 32).bitwiseOR(name.bitwiseAND(F.lit(_MASK))))
+
+    found = each(rows, s=candidate)
+    least = found.groupBy(*keys, "__group").agg(
+        *[F.min(n).alias(n) for n in carried],
+        *[F.min(F.when(F.col(on), F.col(f"__s{k}"))).alias(f"{x}{k}") for x, on in (("__a", "__on0"), ("__b", "__on1")) for k in range(size)],
     )
-    part = F.array(*[F.coalesce(F.col(f"__s{k}").bitwiseAND(F.lit(_MASK)), F.lit(0)) for k in range(size)])
-    parts = least.select(*keys, *carried, F.struct(F.col("__group").alias("g"), part.alias("s")).alias("__part"))
-    whole = parts.groupBy(*keys).agg(*[F.min(c).alias(c) for c in carried], F.sort_array(F.collect_list("__part")).alias("__parts"))
-    joined = F.flatten(F.transform("__parts", lambda x: x["s"]))
-    return whole.select(*keys, *carried, F.slice(joined, 1, count).alias("__sig"))
+    part = lambda x: F.array(
+        *[F.coalesce(F.col(f"__{x}{k}").bitwiseAND(F.lit(_MASK)), F.lit(0)) for k in range(size)]
+    )
+    parts = least.select(
+        *keys, *carried, F.struct(F.col("__group").alias("g"), part("a").alias("a"), part("b").alias("b")).alias("__part")
+    )
+    whole = parts.groupBy(*keys).agg(
+        *[F.min(n).alias(n) for n in carried], F.sort_array(F.collect_list("__part")).alias("__parts")
+    )
+    joined = lambda x: F.slice(F.flatten(F.transform("__parts", lambda e: e[x])), 1, count)
+    return whole.select(*keys, *carried, joined("a").alias("__sig0"), joined("b").alias("__sig1"))
 
 
 def as_text(signature: Column) -> Column:
@@ -131,11 +162,14 @@ def likeness(a: Column, b: Column) -> Column:
     return same.cast("double") / F.size(a)
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str, carried: list[str], count: int = SAMPLES) -> DataFrame:
-    """`keys`, `carried` and `__sig` for every row; `keys` are unique together."""
-    digests = texts.select(*keys, *carried, F.sort_array(weighted_terms(F.col(text))).alias("__digests"))
-    runs = digests.select(*keys, *carried, F.explode_outer(_runs(F.col("__digests"))).alias("__run"))
-    terms = runs.select(*keys, *carried, F.col("__run.term").alias("__term"), F.col("__run.weight").alias("__weight"))
+def fingerprints(pairs: DataFrame, keys: list[str], texts: tuple[str, str], carried: list[str], count: int = SAMPLES) -> DataFrame:
+    """`keys`, `carried`, `__sig0` and `__sig1`, the signatures of both texts of every row; `keys` are unique together."""
+    sides = [_on_side(weighted_terms(F.col(text)), side) for side, text in enumerate(texts)]
+    digests = pairs.select(*keys, *carried, F.sort_array(F.concat(*sides)).alias("__digests"))
+    runs = digests.select(*keys, *carried, _runs(F.col("__digests")).alias("__runs"))
+    entries = runs.select(*keys, *carried, F.explode_outer(_entries(F.col("__runs"))).alias("__e"))
+    none = {"term": 0, "weight": 0, "on0": False, "on1": False}
+    terms = entries.select(*keys, *carried, *[F.coalesce(F.col(f"__e.{x}"), F.lit(n)).alias(f"__{x}") for x, n in none.items()])
     return samples(terms, keys, carried, count)
 
 
@@ -176,22 +210,15 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     whole = F.col("__text")
     kept = F.substr(whole, F.lit(1), F.length(whole) - F.col("__need"))
     pair = rows.join(heads, "__key").select("__key", "__text", F.concat(kept, F.col("__head")).alias("__edited"))
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("__text").alias("text")),
-        F.struct(F.lit(1).alias("side"), F.col("__edited").alias("text")),
-    )
-    texts = pair.select("__key", F.explode(sides).alias("__x")).select(
-        "__key", F.col("__x.side").alias("__side"), F.col("__x.text").alias("__text")
-    )
-    digest = texts.withColumn("__sha", F.sha2("__text", 256))
+    hashed = pair.withColumn("__sha", F.sha2("__edited", 256))
     carried = [f"__d{i}" for i in range(4)]
-    digest = digest.select("__key", "__side", "__text", *[p.alias(c) for p, c in zip(_parts(F.col("__sha")), carried)])
-    signed = materialize(fingerprints(digest, ["__key", "__side"], "__text", carried, count), "fingerprints")
+    numbers = [x.alias(n) for x, n in zip(_parts(F.col("__sha")), carried)]
+    sides = hashed.select("__key", "__text", "__edited", *numbers)
+    signed = materialize(fingerprints(sides, ["__key"], ("__text", "__edited"), carried, count), "fingerprints")
 
-    own = signed.where("__side = 0").select("__key", F.col("__sig").alias("__own"))
-    edited = signed.where("__side = 1").select("__key", F.col("__sig").alias("__edit"), *carried)
-    after = own.select(F.col("__key").alias("__next"), F.col("__own").alias("__after"))
-    joined = links.join(own, "__key").join(edited, "__key").join(after, "__next")
+    near = signed.select("__key", F.col("__sig0").alias("__own"), F.col("__sig1").alias("__edit"), *carried)
+    after = signed.select(F.col("__key").alias("__next"), F.col("__sig0").alias("__after"))
+    joined = links.join(near, "__key").join(after, "__next")
     return joined.select(
         F.col("__key.id").alias(key),
         F.col("__n").cast("bigint").alias("n_chars"),
