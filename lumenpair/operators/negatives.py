@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import hkey, let
 from ..functions.text import words
-from .ordering import dense_index
+from .ordering import attach, dense_index
 
 # Names of the perturbations, in the order they are tried.
 REVERSE, SWAP, TRIGRAMS, SHUFFLE = (
@@ -69,23 +69,34 @@ def _distinct_from(caption: Column, made: Column) -> Column:
     return let(made, first_of_each)
 
 
+def negative_links(samples: DataFrame, order: list[str], seed: int = 42) -> DataFrame:
+    """`order` and `other`, a struct of the same columns: the key of a uniformly drawn other sample.
+
+    Positions come from the order of `order` (unique). A draw at or past the
+    row's own position moves up by one, so no row draws itself. No rows when there
+    are fewer than two samples. Only the key columns are read, sorted and joined.
+    """
+    placed = dense_index(samples.select(*order), *order, name="__idx")
+    n = placed.count()
+    draw = F.pmod(hkey(seed, F.col("__idx")), F.lit(max(1, n - 1)))
+    left = placed.where(F.lit(n > 1)).withColumn("__other", F.when(draw >= F.col("__idx"), draw + 1).otherwise(draw))
+    right = placed.select(F.col("__idx").alias("__other"), F.struct(*order).alias("other"))
+    return left.join(right, "__other").select(*order, "other")
+
+
 def random_negatives(
     samples: DataFrame, order: list[str], caption: str = "positive_caption", seed: int = 42
 ) -> DataFrame:
-    """Add `random_negative_caption`: the caption of a uniformly drawn other sample.
+    """Add `random_negative_caption`: the caption of a uniformly drawn other sample (`negative_links`).
 
-    Positions come from the order of `order` (unique). A draw at or past the
-    row's own position moves up by one, so no row draws itself. Null when there
-    are fewer than two samples.
+    Null when there are fewer than two samples. Keys and captions alone are moved to
+    find it; the whole rows take part in the last join only.
     """
-    indexed = dense_index(samples, *order, name="__idx")
-    n = indexed.count()
-    if n < 2:
-        return indexed.withColumn("random_negative_caption", F.lit(None).cast("string")).drop("__idx")
-    draw = F.pmod(hkey(seed, F.col("__idx")), F.lit(n - 1))
-    left = indexed.withColumn("__other", F.when(draw >= F.col("__idx"), draw + 1).otherwise(draw))
-    right = indexed.select(F.col("__idx").alias("__other"), F.col(caption).alias("random_negative_caption"))
-    return left.join(right, "__other").drop("__idx", "__other")
+    links = negative_links(samples, order, seed)
+    wanted = links.select(F.struct(*order).alias("__for"), "other.*")
+    captions = samples.select(*order, F.col(caption).alias("random_negative_caption"))
+    drawn = attach(wanted, captions, order, "inner").select("__for.*", "random_negative_caption")
+    return attach(samples, drawn, order)
 
 
 def explode_negatives(samples: DataFrame) -> DataFrame:

@@ -42,6 +42,18 @@ def dense_index(df: DataFrame, *keys: str | Column, name: str = "idx") -> DataFr
     )
 
 
+def key_index(df: DataFrame, keys: Sequence[str], name: str = "idx") -> DataFrame:
+    """`dense_index` by named columns that are unique together, of which one may be null.
+
+    Only the key columns are sorted and stored; the rows get their positions in
+    one join on the keys, so wide rows are neither sorted nor written.
+    """
+    placed = dense_index(df.select(*keys), *keys, name=name)
+    if set(df.columns) == set(keys):
+        return placed.select(*df.columns, name)
+    return attach(df, placed, keys, "inner")
+
+
 def file_order(df: DataFrame) -> DataFrame:
     """Tag rows of a file scan with their place in the input: file, block, row in the block."""
     return df.select(
@@ -162,4 +174,4 @@ def one_row(*frames: DataFrame) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
-__all__ = ["ACCURACY", "FILE_ORDER", "attach", "dense_index", "exact_median", "file_order", "one_row", "per_group_side", "top_per_group"]
+__all__ = ["ACCURACY", "FILE_ORDER", "attach", "dense_index", "exact_median", "file_order", "key_index", "one_row", "per_group_side", "top_per_group"]

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import DRAW_RANGE, hkey, let
 from ..session import work_partitions
-from .ordering import dense_index, top_per_group
+from .ordering import dense_index, key_index, top_per_group
 
 # Fixed value: joins the sentences of one sub-caption.
 SENTENCE_JOINER = ".\n"
@@ -235,15 +235,15 @@ def resample_rows(df: DataFrame, key: str, weight: Column, seed: int = 0, epoch:
 
 
 def rank_shard(df: DataFrame, world: int, *order: str) -> DataFrame:
-    """Add `rank`: rows dealt out in turn to `world` ranks in the order given."""
-    return dense_index(df, *order, name="__idx").withColumn("rank", (F.col("__idx") % world).cast("int")).drop("__idx")
+    """Add `rank`: rows dealt out in turn to `world` ranks in the order given (columns that are unique together)."""
+    return key_index(df, order, "__idx").withColumn("rank", (F.col("__idx") % world).cast("int")).drop("__idx")
 
 
 def fixed_batches(df: DataFrame, size: int, *order: str, partial: bool = True) -> DataFrame:
-    """Add `batch_id` and `batch_pos`; the short last batch is dropped unless `partial`."""
-    indexed = dense_index(df, *order, name="__idx")
+    """Add `batch_id` and `batch_pos` by `order` (unique together); the short last batch is dropped unless `partial`."""
+    indexed = key_index(df, order, "__idx")
     if not partial:
-        n = indexed.count()
+        n = df.count()
         indexed = indexed.where(F.col("__idx") < n - n % size)
     return indexed.select(
         *df.columns,

@@ -11,8 +11,9 @@ from lumenpair.operators import duplicates as U
 from lumenpair.operators import quality as Q
 from lumenpair.operators import relabel as L
 from lumenpair.operators import sampling as P
-from lumenpair.operators.negatives import explode_negatives, random_negatives
-from lumenpair.operators.ordering import dense_index, exact_median, top_per_group
+from lumenpair.operators import negatives, ordering
+from lumenpair.operators.negatives import explode_negatives, negative_links, random_negatives
+from lumenpair.operators.ordering import dense_index, exact_median, key_index, top_per_group
 from lumenpair.operators.paths import has_image, resolve_paths
 from lumenpair.operators.scoring import HashingEncoder, encode, image_key, score_specs, with_margins
 
@@ -162,6 +163,38 @@ def test_random_negative_is_another_sample(spark):
     assert random_negatives(df.limit(1), ["id"]).first().random_negative_caption is None
 
 
+def test_positions_sort_and_store_keys_only(spark, monkeypatch):
+    stored = []
+    inner = ordering.dense_index
+
+    def watched(df, *keys, **more):
+        stored.append(df.columns)
+        return inner(df, *keys, **more)
+
+    monkeypatch.setattr(ordering, "dense_index", watched)
+    monkeypatch.setattr(negatives, "dense_index", watched)
+    data = [(s, k, f"cap{s}{k}", "wide" * 50) for s in ("a", None, "b") for k in range(40)]
+    df = spark.createDataFrame(data, "source string, k int, positive_caption string, payload string").repartition(5)
+    placed = {(r.source, r.k): r.idx for r in key_index(df, ["source", "k"]).collect()}
+    ranked = sorted(placed, key=lambda e: (e[0] is not None, e[0] or "", e[1]))
+    assert [placed[e] for e in ranked] == list(range(120))
+    got = random_negatives(df, ["source", "k"]).collect()
+    captions = {(r[0], r[1]): r[2] for r in data}
+    links = {(r.source, r.k): (r.other.source, r.other.k) for r in negative_links(df, ["source", "k"]).collect()}
+    assert len(got) == len(links) == 120 and all(a != b for a, b in links.items())
+    assert all(r.random_negative_caption == captions[links[r.source, r.k]] and r.payload == "wide" * 50 for r in got)
+    assert P.rank_shard(df, 7, "source", "k").where("rank = 6").count() == 17
+    full = P.fixed_batches(df, 50, "source", "k", partial=False)
+    assert rows(full.groupBy("batch_id").count()) == [(0, 50), (1, 50)] and full.columns == [*df.columns, "batch_id", "batch_pos"]
+    assert stored and all(set(c) <= {"source", "k"} for c in stored)
+
+
+def test_random_negatives_are_uniform(spark):
+    """4,000 samples draw from ten equal ranges of partners: each range gets its tenth."""
+    drawn = negative_links(spark.range(4000), ["id"]).groupBy(F.floor(F.col("other.id") / 400)).count().collect()
+    assert len(drawn) == 10 and all(abs(r["count"] - 400) < 100 for r in drawn)
+
+
 def test_explode_negatives_default_type(spark):
     df = spark.createDataFrame([("s", ["x", "y"], ["t"])], "sample_id string, negative_captions array<string>, negative_types array<string>")
     assert rows(explode_negatives(df)) == [("s", "x", 0, "t"), ("s", "y", 1, "hard_negative")]
