@@ -913,3 +913,17 @@ def _(t: Tables) -> DataFrame:
     """The offline job over tar shards: presence and relabel filters, caption pool, four draws, epoch shuffle."""
     samples, _problems = read_tar_shards(t.spark, f"{fx.document_shards(t)}/shard-*.tar", members=["txt", "json"], keep_names=True)
     return curate(samples).select("key", "draw", F.md5("subcaption").alias("subcaption"))
+
+
+@query(
+    "st1_redelivered_results",
+    PW + f"""SELECT model_name, benchmark, sum(correct)::bigint AS correct, count(*) AS total, {q.rnd("avg(correct)")} AS accuracy FROM pw GROUP BY 1, 2""",
+)
+def _(t: Tables) -> DataFrame:
+    """The second lot holds the first one again; the totals are those of each result counted once."""
+    inbox, out, state = (scratch_path(t.spark, n) for n in ("inbox", "totals", "stream"))
+    rows = fx.pairwise_scores(t).select("model_name", "benchmark", "sample_id", "negative_index", "correct")
+    rows.where(F.col("model_name") != "m32").write.json(inbox)
+    refresh_accuracy(t.spark, inbox, out, state, remember_days=30)
+    rows.write.mode("append").json(inbox)
+    return tidy(refresh_accuracy(t.spark, inbox, out, state, remember_days=30))

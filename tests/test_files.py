@@ -264,6 +264,24 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     assert rows(refresh_accuracy(spark, inbox, out, state)) == [("m", "b", 2, 3, pytest.approx(2 / 3))]
 
 
+def test_stream_counts_redelivered_results_once(spark, tmp_path):
+    inbox, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "model_name string, benchmark string, sample_id string, negative_index int, correct int"
+    first = spark.createDataFrame([("m", "b", "1", 0, 1), ("m", "b", "1", 1, 0), ("m", "b", "1", 1, 0), ("m", None, None, None, 1)], schema)
+    first.write.json(inbox)
+    refresh = lambda: rows(refresh_accuracy(spark, inbox, out, state, files_per_batch=2, remember_days=30))
+    want = [("m", "b", 1, 2, 0.5), ("m", None, 1, 1, 1.0)]
+    assert refresh() == want
+    first.write.mode("append").json(inbox)
+    assert refresh() == want
+    # A late file, 20 days older than all others: its new result counts, its old one does not.
+    first.limit(1).unionByName(spark.createDataFrame([("m", "b", "3", 0, 1)], schema)).coalesce(1).write.mode("append").json(inbox)
+    newest = max((os.path.join(inbox, n) for n in os.listdir(inbox) if n.endswith(".json")), key=os.path.getmtime)
+    dated = os.path.getmtime(newest) - 20 * 86_400
+    os.utime(newest, (dated, dated))
+    assert refresh() == [("m", "b", 2, 3, pytest.approx(2 / 3)), ("m", None, 1, 1, 1.0)]
+
+
 def _json_value(rng, depth=0):
     kind = rng.random()
     if kind < 0.35:
