@@ -44,3 +44,16 @@ def test_paired_ties_across_strips(spark, monkeypatch):
     same = [1.0, 0.0]
     one = spark.createDataFrame([(k, same, same) for k in range(5)], "pair_id bigint, image array<double>, text array<double>")
     assert rows(V.paired_ranks(one)) == [(s, k, k + 1) for s in "it" for k in range(5)]
+
+
+def test_attention_block_equals_single_pairs():
+    rng = np.random.default_rng(4)
+    tokens, cues, feature = rng.normal(size=(6, 3, 4)), rng.normal(size=(9, 2, 4)), rng.normal(size=(9, 4))
+    # Tokens that cancel, and an image of zeros.
+    tokens[2] = [[1, 0, 0, 0], [-1, 0, 0, 0], [0, 0, 0, 0]]
+    cues[3], tokens[4] = 0, 0
+    scorer = V.AttentionScorer()
+    got = scorer.block({"tokens": tokens}, {"cues": cues, "text_feature": feature})
+    for n in range(6):
+        single = scorer({"tokens": np.repeat(tokens[n : n + 1], 9, axis=0)}, {"cues": cues, "text_feature": feature})
+        assert np.abs(got[n] - single).max() < 1e-10
