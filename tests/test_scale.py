@@ -6,6 +6,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from lumenpair.operators import retrieval as V
+from lumenpair.operators import walks as W
 
 
 def unit(a):
@@ -19,6 +20,19 @@ def sides(spark, n_left, n_right, width=8, seed=5):
     return unit(left), unit(right), a, b
 
 
+@pytest.mark.parametrize("cell_rows", [7, 30])
+def test_walks_of_several_parts_and_runs(spark, cell_rows):
+    left, right, a, b = sides(spark, 40, 90)
+    sims = np.round(left @ right.T, 12)
+    out = W.walked(a, b, (40, 90), 4, 1, cell_rows).collect()
+    best = {}
+    for r in out:
+        best.setdefault(r["__own"], []).append((-r.sim, r["__other"]))
+    want = {n: sorted((-s, j) for j, s in enumerate(row))[:4] for n, row in enumerate(sims)}
+    assert {n: sorted(v)[:4] for n, v in best.items()} == want
+    assert len(out) <= 4 * 40 * -(-90 // cell_rows)
+
+
 def test_small_tiles_are_joined_where_they_would_be_many(spark):
     _, _, a, b = sides(spark, 600, 600, 2)
     one = lambda l, r: l.select(["image_id"]).slice(0, 1)
