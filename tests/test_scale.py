@@ -71,3 +71,22 @@ def test_attention_block_equals_single_pairs():
     for n in range(6):
         single = scorer({"tokens": np.repeat(tokens[n : n + 1], 9, axis=0)}, {"cues": cues, "text_feature": feature})
         assert np.abs(got[n] - single).max() < 1e-10
+
+
+def test_shards_sort_keys_only_and_hold_every_document_in_order(spark, monkeypatch):
+    from lumenpair.plans import fixtures as fx
+    from lumenpair.plans.registry import Tables
+    from lumenpair.sources.tar import read_tar_shards
+
+    sorted_columns = []
+    index = fx.dense_index
+    monkeypatch.setattr(fx, "_stored", {})
+    monkeypatch.setattr(fx, "dense_index", lambda df, *keys, **kw: sorted_columns.append(df.columns) or index(df, *keys, **kw))
+    t = Tables(spark, "/root/testdata/sf0.001")
+    samples, _ = read_tar_shards(spark, f"{fx.document_shards(t)}/shard-*.tar")
+    text = F.element_at("members", F.lit("txt")).cast("string")
+    found = samples.orderBy("shard", "sample_index").select("key", text.alias("text"), F.map_contains_key("members", F.lit("jpg")).alias("image")).collect()
+    labelled = {r.doc_id for r in t.labels.collect()}
+    want = [(f"{r.doc_id:09d}", r.text, r.doc_id in labelled) for r in t.documents.orderBy("doc_id").collect()]
+    assert [tuple(r) for r in found] == want
+    assert sorted_columns == [["doc_id", "__image"]]
