@@ -36,7 +36,7 @@ SAMPLES = 64
 BLANKS = "[ \\t\\n\\r\\x0b\\f]+"
 _MASK = (1 << 32) - 1
 # Samples computed side by side: with too many of them the generated method is too long for the JVM to compile.
-GROUP = 3
+GROUP = 4
 
 
 def weighted_terms(text: Column) -> Column:
