@@ -1,19 +1,24 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-A text is cut into units that no piece can cross (checked against the piece
-table). Each distinct unit is encoded once: its substrings of bounded length are
-exploded and equi-joined to the piece table, the hits are its lattice, grouped by
-unit, and a fold over the lattice with higher-order functions picks the pieces.
+A text is cut into words and these into units, between neighbouring characters that
+stand together in no piece, so that no piece can cross a cut. Each distinct unit is
+encoded once: its substrings of bounded length are exploded and equi-joined to the
+piece table, the hits are its lattice, grouped by unit, and a fold over the lattice
+with higher-order functions picks the pieces.
 
 Two folds: `viterbi` takes the path of the highest total score, as unigram models
-want it; `merge` joins the best-scoring neighbours step by step, as models trained
-by byte-pair encoding want it. Which one is right is written in the model file;
-Viterbi over a BPE model's scores gives other pieces than the library.
+want it; `merge` joins the best-scoring neighbours, as models trained by byte-pair
+encoding want it. Which one is right is written in the model file; Viterbi over a
+BPE model's scores gives other pieces than the library. Merges come in the order of
+the scores, so one pass over the sorted lattice does, as long as all its pieces can
+be made of better ones (checked against the piece table, see `loose_pieces`);
+units with other pieces are merged step by step.
 
 Texts are dealt to blocks of about `BLOCK_BYTES`, neighbours in the input together.
 A block gets the pieces of its own units only, ahead of its texts, and encodes the
 texts as they stream through, so neither the unit table nor a block's texts are
-ever held whole in one place.
+ever held whole in one place. Partitions grow in number with the bytes of the texts,
+so that the sorts of a task stay in its memory.
 
 Defined results: null and empty texts have no pieces and come back empty. A text
 that holds the blank sign itself (U+2581) decodes to a blank there, as in the
@@ -26,7 +31,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -44,12 +51,16 @@ from .frames import whole_text
 
 SPACE = "▁"
 LONGEST = 60
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 64 << 20
+# Bytes of text for each partition of the distinct units.
+UNIT_BYTES = 8 << 20
 # Distinct units that a task keeps of a block before it gives them.
-KEPT_UNITS = 200_000
-LETTER = re.compile(r"[^\W\d_]")
-FINE_UNIT = re.compile(rf"{SPACE}*(?:[^\W\d_]+|(?:[^\w{SPACE}]|[\d_])+)|{SPACE}+")
-COARSE_UNIT = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+KEPT_UNITS = 800_000
+# Distinct words that a task keeps before it cuts them (units), or with their pieces (texts).
+KEPT_WORDS = 150_000
+# Bytes of text that a task encodes at once.
+CHUNK_BYTES = 4 << 20
+WORD = re.compile(rf"{SPACE}+[^{SPACE}]*")
 
 
 @dataclass(frozen=True)
@@ -59,26 +70,56 @@ class Pieces:
     table: tuple[tuple[str, int, float], ...]
     first_byte: int
     longest: int
-    fine: bool
     fold: str
     texts: tuple[bytes, ...]
-
-    @property
-    def unit(self) -> re.Pattern:
-        return FINE_UNIT if self.fine else COARSE_UNIT
-
-
-def _kind(c: str) -> str:
-    return "W" if c == SPACE else "L" if LETTER.match(c) else "O"
+    loose: frozenset[str]
+    # Class of each code point, and which class may follow which inside a piece.
+    classes: np.ndarray
+    follows: np.ndarray
 
 
 def piece_table(rows: list[tuple[str, int, float]], first_byte: int, texts: list[bytes], fold: str) -> Pieces:
-    """Check where pieces can be crossed: letters against other signs, and anything before a blank."""
-    steps = {_kind(a) + _kind(b) for p, _, _ in rows for a, b in zip(p, p[1:])}
-    if steps & {"LW", "OW"}:
+    """The table of these pieces, checked to be one whose pieces end before a blank."""
+    if any(a != SPACE == b for p, _, _ in rows for a, b in zip(p, p[1:])):
         raise ValueError("a piece has a blank sign after another sign, so texts cannot be cut at blanks")
     longest = max((len(p) for p, _, _ in rows), default=1)
-    return Pieces(tuple(rows), first_byte, longest, not steps & {"LO", "OL"}, fold, tuple(texts))
+    loose = loose_pieces(rows) if fold == "merge" else frozenset()
+    return Pieces(tuple(rows), first_byte, longest, fold, tuple(texts), loose, *_followers(rows))
+
+
+def _followers(rows: list[tuple[str, int, float]]) -> tuple[np.ndarray, np.ndarray]:
+    pairs = {(a, b) for p, _, _ in rows for a, b in zip(p, p[1:])}
+    chars = {c: i for i, c in enumerate(sorted({c for pair in pairs for c in pair}), 1)}
+    # Class 0 holds the characters that stand alone in every piece.
+    classes = np.zeros(0x110000, np.uint16)
+    follows = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+    for c, i in chars.items():
+        classes[ord(c)] = i
+    for a, b in pairs:
+        follows[chars[a], chars[b]] = True
+    return classes, follows
+
+
+def loose_pieces(rows: list[tuple[str, int, float]]) -> frozenset[str]:
+    """Pieces that share their score with others, or that merges of better scores alone do not bring down to two parts.
+
+    If a text has none of them, merges come in descending scores: before a piece can be
+    merged, all better merges inside it are done, and leave the two parts that it is made of.
+    So no merge of a lower score is ever needed to make one of a higher score possible.
+    """
+    score = {p: s for p, _, s in rows}
+    shared = Counter(score.values())
+
+    def made_of_better(piece: str) -> bool:
+        part = list(piece)
+        while len(part) > 2:
+            best, i = max((score.get(a + b, -math.inf), -i) for i, (a, b) in enumerate(zip(part, part[1:])))
+            if best <= score[piece]:
+                return False
+            part[-i : 2 - i] = [part[-i] + part[1 - i]]
+        return True
+
+    return frozenset(p for p in score if len(p) > 1 and (shared[score[p]] > 1 or not made_of_better(p)))
 
 
 @lru_cache(maxsize=2)
@@ -107,72 +148,133 @@ def load_pieces(path: str) -> Pieces:
     return piece_table(rows, model.piece_to_id("<0x00>"), texts, fold)
 
 
-def units_of(text: str, pieces: Pieces) -> list[str]:
-    """The units of a text, with a blank put before it and blanks written as the blank sign."""
-    return pieces.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def words_of(text: str) -> list[str]:
+    """The words of a text, with a blank put before it and blanks written as the blank sign; the first sign of each is left out."""
+    if not text:
+        return []
+    if SPACE in text or "  " in text or text[0] == " ":
+        return [w[1:] for w in WORD.findall(SPACE + text.replace(" ", SPACE))]
+    return text.split(" ")
+
+
+def cut(words: list[str], pieces: Pieces) -> tuple[list[str], list[int]]:
+    """The units of all words (blank sign before them) one after the other, and for each word the number of units up to its end."""
+    if not words:
+        return [], []
+    text = SPACE + SPACE.join(words)
+    kinds = pieces.classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    last = np.cumsum([len(w) + 1 for w in words]) - 1
+    cuts = np.append(~pieces.follows[kinds[:-1], kinds[1:]], True)
+    cuts[last] = True
+    ends = np.flatnonzero(cuts)
+    upto = (np.searchsorted(ends, last) + 1).tolist()
+    ends = (ends + 1).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)], upto
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(`__unit`, `__edges`): for each unit the pieces in it as (e, s, score, id), ends and starts counted from 0.
+    """(`__unit`, `__edges`): for each unit the pieces in it, ends and starts counted from 0.
 
+    For Viterbi an edge is (e, s, score, id); for merges it is one number, see `_packed`.
     `units` has one row for each unit and is partitioned by it, so that grouping needs no shuffle.
     """
     unit = F.col("__unit")
     n = F.length(unit)
     spark = units.sparkSession
-    known = spark.createDataFrame(list(pieces.table), "piece string, id int, score double")
+    s, e = F.col("s"), F.col("e")
+    if pieces.fold == "merge":
+        known = spark.createDataFrame(_packed(pieces), "piece string, code long")
+        edge = F.col("code") + F.shiftleft(s.cast("bigint"), _S) + F.shiftleft(e.cast("bigint"), _E)
+    else:
+        known = spark.createDataFrame(list(pieces.table), "piece string, id int, score double")
+        edge = F.when(F.col("id").isNotNull(), F.struct("e", "s", "score", "id"))
     # Places, then lengths: two explodes of numbers, so that no substring is made before its row.
     places = units.select("__unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = places.select("__unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("k"))
-    rows = spans.select("__unit", "s", (F.col("s") + F.col("k")).alias("e"), F.substr(unit, F.col("s") + 1, F.col("k")).alias("piece"))
+    spans = places.select("__unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s))).alias("k"))
+    rows = spans.select("__unit", "s", (s + F.col("k")).alias("e"), F.substr(unit, s + 1, F.col("k")).alias("piece"))
     # One vocabulary, whose size the model file fixes. The first character stays, known or not, so that no unit is lost.
-    hits = rows.join(F.broadcast(known), "piece", "left").where(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("e") == 1)))
-    edge = F.struct("e", "s", "score", "id")
-    return hits.groupBy("__unit").agg(F.filter(F.collect_list(edge), lambda x: x["id"].isNotNull()).alias("__edges"))
+    joined = rows.join(F.broadcast(known), "piece", "left").select("__unit", "s", "e", edge.alias("edge"))
+    hits = joined.where(F.col("edge").isNotNull() | ((s == 0) & (e == 1)))
+    return hits.groupBy("__unit").agg(F.collect_list("edge").alias("__edges"))
+
+
+# An edge for merges: the place of its score among all (20 bits), start, end (6 bits each), 1 for a loose piece, id (30 bits).
+_ORDER, _S, _E, _LOOSE = 43, 37, 31, 30
+
+
+def _packed(pieces: Pieces) -> list[tuple[str, int]]:
+    """Each piece with its edge number, without start and end. Numbers ascend as scores descend, then by the start."""
+    order = {s: i for i, s in enumerate(sorted({s for _, _, s in pieces.table}, reverse=True))}
+    if len(order) >= 1 << 20 or any(i >= 1 << _LOOSE for _, i, _ in pieces.table):
+        raise ValueError("the piece table is too large for packed edges")
+    return [(p, (order[s] << _ORDER) + ((p in pieces.loose) << _LOOSE) + i) for p, i, s in pieces.table]
 
 
 def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
 
 
+def _start(x: Column) -> Column:
+    return F.shiftrightunsigned(x, _S).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _end(x: Column) -> Column:
+    return F.shiftrightunsigned(x, _E).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _between(x: Column) -> Column:
+    """Bits of the places inside an edge."""
+    return _bit(_end(x)) - _bit(_start(x) + 1)
+
+
+def _has(b: Column, i: Column) -> Column:
+    return F.call_function("shiftright", b, i).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
+def _mergeable(b: Column, x: Column) -> Column:
+    """Whether the ends of edge `x` are boundaries with one other boundary between them."""
+    return _has(b, _start(x)) & _has(b, _end(x)) & (F.bit_count(b.bitwiseAND(_between(x))) == 1)
+
+
 def merge_fold(unit: Column, edges: Column) -> Column:
-    """Starts of the chosen pieces, by merging the best neighbours until none can be merged.
+    """A bit for each boundary of the chosen pieces, by merging the best neighbours until none can be merged.
 
-    The state has a bit for each boundary, and the edges that may still be merged: an edge
-    can be if its ends are boundaries with one other boundary between them. Of equal scores
-    the leftmost wins.
+    `edges` are packed and sorted; of equal scores the leftmost wins.
     """
     n = F.length(unit)
+    start = _bit(n + 1) - 1
+    merged = lambda b, x: b.bitwiseAND(F.bitwise_not(_between(x)))
+    in_order = F.aggregate(edges, start, lambda b, x: F.when(_mergeable(b, x), merged(b, x)).otherwise(b))
 
-    def prepared(x: Column) -> Column:
-        between = _bit(x["e"]) - _bit(x["s"] + 1)
-        return F.struct(
-            x["score"].alias("score"), (-x["s"]).alias("left"), between.alias("between"), (_bit(x["s"]) + _bit(x["e"])).alias("ends")
-        )
+    def step(b: Column, _: Column) -> Column:
+        best = F.array_min(F.filter(edges, lambda x: _mergeable(b, x)))
+        return let(best, lambda x: F.coalesce(merged(b, x), b))
 
-    ready = F.transform(F.filter(edges, lambda x: x["e"] - x["s"] > 1), prepared)
+    # Every step merges one edge or is the last that could.
+    steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    loose = F.exists(edges, lambda x: x.bitwiseAND(F.lit(1 << _LOOSE)) != 0)
+    return F.when(loose, F.aggregate(steps, start, step)).otherwise(in_order)
 
-    def step(state: Column, _: Column) -> Column:
-        b = state["b"]
-        open_ = F.filter(state["edges"], lambda x: F.bit_count(b.bitwiseAND(x["between"])) == 1)
 
-        def merged(best: Column) -> Column:
-            after = F.coalesce(b.bitwiseAND(F.bitwise_not(best["between"])), b)
-            # An edge that has lost an end, or has nothing left to merge, is out for good.
-            alive = lambda x: (after.bitwiseAND(x["ends"]) == x["ends"]) & (after.bitwiseAND(x["between"]) != 0)
-            left = F.when(best.isNull(), F.array().cast(kind)).otherwise(F.filter(state["edges"], alive))
-            return F.struct(after.alias("b"), left.alias("edges"))
+def merged_ids(unit: Column, edges: Column, bounds: Column, first_byte: int) -> Column:
+    """Ids of the pieces between the boundaries; a character that is no piece gives its UTF-8 bytes."""
 
-        return let(F.array_max(open_), merged)
+    def ids(b: Column) -> Column:
+        taken = F.filter(edges, lambda x: _has(b, _start(x)) & _has(b, _end(x)) & (b.bitwiseAND(_between(x)) == 0))
 
-    kind = "array<struct<score: double, left: int, between: bigint, ends: bigint>>"
-    start = F.struct((_bit(n + 1) - 1).alias("b"), ready.cast(kind).alias("edges"))
-    # Every step merges one edge or is the last that could.
-    most = F.least(n - 1, F.size(ready))
-    steps = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-    bounds = F.aggregate(steps, start, step, lambda state: state["b"])
-    # Bound to a variable: inside the filter's lambda the fold would run for each place again.
-    return let(bounds, lambda b: F.filter(F.sequence(F.lit(0), n - 1), lambda i: b.bitwiseAND(_bit(i)) != 0))
+        def of(chosen: Column) -> Column:
+            low = F.lit((1 << _LOOSE) - 1)
+            placed = F.sort_array(F.transform(chosen, lambda x: F.shiftleft(_start(x).cast("bigint"), 32).bitwiseOR(x.bitwiseAND(low))))
+            plain = F.transform(placed, lambda x: x.bitwiseAND(low).cast("int"))
+            starts = F.filter(F.sequence(F.lit(0), F.length(unit) - 1), lambda i: _has(b, i))
+            opened = F.transform(
+                chosen, lambda x: F.struct(_end(x).alias("e"), _start(x).alias("s"), x.bitwiseAND(low).cast("int").alias("id"))
+            )
+            return F.when(F.size(chosen) == F.bit_count(b) - 1, plain).otherwise(piece_ids(unit, opened, starts, first_byte))
+
+        return let(taken, of)
+
+    return let(bounds, ids)
 
 
 def viterbi_fold(unit: Column, edges: Column, unknown: float = -1e6) -> Column:
@@ -220,9 +322,12 @@ def piece_ids(unit: Column, edges: Column, starts: Column, first_byte: int) -> C
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """(`__unit`, `__ids`) for each of the distinct units."""
-    fold = {"merge": merge_fold, "viterbi": viterbi_fold}[pieces.fold]
     unit, edges = F.col("__unit"), F.col("__edges")
-    folded = lattice(units, pieces).select("__unit", "__edges", fold(unit, edges).alias("__starts"))
+    found = lattice(units, pieces)
+    if pieces.fold == "merge":
+        ids = let(F.sort_array(edges), lambda x: merged_ids(unit, x, merge_fold(unit, x), pieces.first_byte))
+        return found.select("__unit", ids.alias("__ids"))
+    folded = found.select("__unit", "__edges", viterbi_fold(unit, edges).alias("__starts"))
     return folded.select("__unit", piece_ids(unit, edges, F.col("__starts"), pieces.first_byte).alias("__ids"))
 
 
@@ -289,8 +394,8 @@ def decode_ids(ids: list[int], pieces: Pieces) -> str:
     return b"".join(map(pieces.texts.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def in_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(`__id`, `__text`, `__block`): neighbouring rows of a file in blocks of about `BLOCK_BYTES`."""
+def in_blocks(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """(`__id`, `__text`, `__block`), neighbouring rows of a file in blocks of about `BLOCK_BYTES`, and the bytes of all texts."""
     try:
         docs.select("_metadata.row_index")
     except AnalysisException:
@@ -298,7 +403,7 @@ def in_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("b")).first()
     rows = max(1, BLOCK_BYTES * size["n"] // max(1, size["b"] or 0)) if size["n"] else 1
     block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows))
-    return docs.select(F.col(key).alias("__id"), whole_text(text).alias("__text"), block.alias("__block"))
+    return docs.select(F.col(key).alias("__id"), whole_text(text).alias("__text"), block.alias("__block")), size["b"] or 0
 
 
 def block_units(rows: DataFrame, path: str) -> DataFrame:
@@ -306,22 +411,26 @@ def block_units(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces(path)
-        found: dict[int, set[str]] = {}
+        block, words, units = None, set(), set()
         for batch in batches:
-            for block, text in zip(batch.column("__block").to_pylist(), batch.column("__text").to_pylist()):
-                found.setdefault(block, set()).update(units_of(text, pieces))
-            if len(found) > 1 or sum(map(len, found.values())) > KEPT_UNITS:
-                last = batch.column("__block")[batch.num_rows - 1].as_py()
-                for block in list(found):
-                    if block != last or len(found[block]) > KEPT_UNITS:
-                        yield from _unit_batches(block, found.pop(block))
-        for block, units in found.items():
-            yield from _unit_batches(block, units)
+            for at, text in zip(batch.column("__block").to_pylist(), batch.column("__text")):
+                if at != block:
+                    yield from _unit_batches(block, words, units, pieces)
+                    block, words, units = at, set(), set()
+                words.update(words_of(text.as_py()))
+                if len(words) > KEPT_WORDS:
+                    units.update(cut(list(words), pieces)[0])
+                    words = set()
+                    if len(units) > KEPT_UNITS:
+                        yield from _unit_batches(block, words, units, pieces)
+                        units = set()
+        yield from _unit_batches(block, words, units, pieces)
 
     return rows.select("__block", "__text").mapInArrow(run, "__block long, __unit string")
 
 
-def _unit_batches(block: int, units: set[str]) -> Iterator[pa.RecordBatch]:
+def _unit_batches(block: int | None, words: set[str], units: set[str], pieces: Pieces) -> Iterator[pa.RecordBatch]:
+    units.update(cut(list(words), pieces)[0])
     short = sorted(u for u in units if len(u) <= LONGEST)
     for i in range(0, len(short), 50_000):
         part = short[i : i + 50_000]
@@ -350,11 +459,13 @@ def encode_documents(
     spark = tune(docs.sparkSession)
     pieces = load_pieces(model_path)
     partitions = work_partitions(spark)
-    rows = in_blocks(docs, key, text)
+    rows, size = in_blocks(docs, key, text)
     kind = dict(rows.dtypes)["__id"]
-    # Stored once, as both the distinct units and the blocks' demands are read from it.
-    asked = materialize(block_units(rows, model_path), "units")
-    encoded = encode_units(asked.select("__unit").distinct().repartition(partitions, "__unit"), pieces)
+    # One shuffle for the distinct units and the blocks' demands: both read the same columns, so the exchange is used again.
+    units = block_units(rows, model_path).where(F.col("__unit").isNotNull())
+    asked = units.repartition(max(partitions, size // UNIT_BYTES), "__unit")
+    distinct = asked.groupBy("__unit").agg(F.min("__block").alias("__first")).where(F.col("__first").isNotNull())
+    encoded = encode_units(distinct, pieces)
     given = asked.join(encoded, "__unit").select(
         "__block", F.lit(0).alias("__kind"), "__unit", "__ids", F.lit(None).cast(kind).alias("__id"), F.lit(None).cast("binary").alias("__blob")
     )
@@ -362,20 +473,22 @@ def encode_documents(
         "__block", F.lit(1).alias("__kind"), F.lit(None).cast("string").alias("__unit"),
         F.lit(None).cast("array<int>").alias("__ids"), "__id", "__blob",
     )
-    dealt = given.unionByName(texts).repartition(partitions, "__block").sortWithinPartitions("__block", "__kind")
+    dealt = given.unionByName(texts).repartition(max(partitions, 2 * size // BLOCK_BYTES), "__block").sortWithinPartitions("__block", "__kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load_pieces(model_path)
         fold = RowFold(own)
         unpack = zstandard.ZstdDecompressor()
         known: dict[str, bytes] = {}
+        words: dict[str, bytes] = {}
+        odd: set[str] = set()
         block = None
         for batch in batches:
             kinds, blocks = batch.column("__kind").to_numpy(), batch.column("__block").to_numpy()
             cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
                 if blocks[a] != block:
-                    known, block = {}, blocks[a]
+                    known, words, odd, block = {}, {}, set(), blocks[a]
                 part = batch.slice(a, b - a)
                 if kinds[a] == 0:
                     ids = part.column("__ids")
@@ -383,28 +496,54 @@ def encode_documents(
                     ends = np.cumsum(ids.value_lengths().to_numpy()).tolist()
                     known.update(zip(part.column("__unit").to_pylist(), [flat[4 * s : 4 * e] for s, e in zip([0, *ends], ends)]))
                 else:
-                    yield _encode_part(part, known, fold, unpack, key, with_ids)
+                    for chunk in _chunks(part, unpack):
+                        if len(words) > KEPT_WORDS:
+                            words, odd = {}, set()
+                        yield _encode_part(*chunk, known, words, odd, fold, key, with_ids)
 
     schema = f"`{key}` {kind}, n_chars long, n_pieces long, ids_sha256 string, round_trip boolean"
     return dealt.mapInArrow(run, schema + ", ids array<int>" * with_ids)
 
 
-def _encode_part(part: pa.RecordBatch, known: dict[str, bytes], fold: RowFold, unpack, key: str, with_ids: bool):
+def _chunks(part: pa.RecordBatch, unpack) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts of the rows, about `CHUNK_BYTES` at a time."""
+    texts: list[str] = []
+    begun = size = 0
+    for i, blob in enumerate(part.column("__blob"), 1):
+        raw = unpack.decompress(blob.as_py())
+        texts.append(raw.decode("utf-8", "surrogatepass"))
+        size += len(raw)
+        if size >= CHUNK_BYTES or i == part.num_rows:
+            yield part.column("__id").slice(begun, i - begun), texts
+            texts, begun, size = [], i, 0
+
+
+def _encode_part(
+    keys: pa.Array, texts: list[str], known: dict[str, bytes], words: dict[str, bytes], odd: set[str], fold: RowFold, key: str, with_ids: bool
+) -> pa.RecordBatch:
+    """One row for each text. `known` has the ids of the units; `words` takes those of the words met, `odd` words that decode to others."""
     pieces = fold.pieces
+    said = [words_of(t) for t in texts]
+    new = list(set().union(*said).difference(words.keys()))
+    units, upto = cut(new, pieces)
+    coded = [known[u] if len(u) <= LONGEST else np.array(fold.ids(u), "<i4").tobytes() for u in units]
+    ids = np.frombuffer(b"".join(coded), "<i4").tolist()
+    all_back = decode_ids(ids, pieces) == " ".join(new).replace(SPACE, " ")
+    for w, a, b in zip(new, [0, *upto], upto):
+        words[w] = code = coded[a] if b - a == 1 else b"".join(coded[a:b])
+        if not all_back and decode_ids(np.frombuffer(code, "<i4").tolist(), pieces) != w.replace(SPACE, " "):
+            odd.add(w)
     out: list[tuple] = []
     lists: list[np.ndarray] = []
-    for blob in part.column("__blob").to_pylist():
-        text = unpack.decompress(blob).decode("utf-8", "surrogatepass")
-        units = units_of(text, pieces)
-        coded = b"".join(
-            [known[u] if len(u) <= LONGEST else np.array(fold.ids(u), "<i4").tobytes() for u in units]
-        )
-        ids = np.frombuffer(coded, "<i4")
-        back = decode_ids(ids.tolist(), pieces)
-        out.append((len(text), len(ids), hashlib.sha256(coded).hexdigest(), back == text))
+    for text, ws in zip(texts, said):
+        code = b"".join(map(words.__getitem__, ws))
+        ids = np.frombuffer(code, "<i4")
+        # Words that decode to themselves, one by one, do so in a row.
+        back = SPACE not in text and odd.isdisjoint(ws) or decode_ids(ids.tolist(), pieces) == text
+        out.append((len(text), len(ids), hashlib.sha256(code).hexdigest(), back))
         if with_ids:
             lists.append(ids)
-    columns = [part.column("__id"), *[pa.array(c) for c in zip(*out)]]
+    columns = [keys, *[pa.array(c) for c in zip(*out)]]
     names = [key, "n_chars", "n_pieces", "ids_sha256", "round_trip"]
     if with_ids:
         columns.append(pa.array(lists, pa.list_(pa.int32())))

@@ -168,3 +168,37 @@ def test_pipeline_by_brute_force(spark):
     final = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     assert set(final) == left and 0 < len(left) < len(clean) < len(texts)
     assert all(r.round_trip and r.ids == model.encode(masked[i]) for i, r in final.items())
+
+
+def test_words_are_cut_where_no_piece_goes_on():
+    rows = [("▁", 0, -9.0), ("a", 1, -8.0), ("b", 2, -7.0), ("▁a", 3, -1.0), ("ab", 4, -2.0), ("▁ab", 5, -3.0)]
+    pieces = sentencepiece_lattice.piece_table(rows, 10, [b""] * 10, "merge")
+    words = sentencepiece_lattice.words_of("ab ba\nab ")
+    assert words == ["ab", "ba\nab", ""]
+    units, upto = sentencepiece_lattice.cut(words, pieces)
+    assert units == ["▁ab", "▁", "b", "a", "\n", "ab", "▁"] and upto == [1, 6, 7]
+    for text in ["  a▁ b", " a", "a  ", "▁", " ", "a b"]:
+        assert "".join("▁" + w for w in sentencepiece_lattice.words_of(text)) == "▁" + text.replace(" ", "▁")
+        assert all("▁" not in w.lstrip("▁") for w in sentencepiece_lattice.words_of(text))
+
+
+def test_pieces_out_of_order_are_merged_step_by_step(spark):
+    # "abcd" is better than the "abc" it is made of where "bc" comes first; "xx" and "xy" share a score.
+    rows = [(c, i, -50.0 - i) for i, c in enumerate("abcdxy")]
+    rows += [("bc", 6, -1.0), ("abc", 7, -5.0), ("abcd", 8, -2.0), ("cd", 9, -3.0), ("xx", 10, -4.0), ("xy", 11, -4.0)]
+    pieces = sentencepiece_lattice.piece_table(rows, 20, [p.encode() for p, _, _ in rows], "merge")
+    assert pieces.loose == {"abcd", "xx", "xy"}
+    units = ["abcd", "abcdabcxx", "xxxy", "xyxx", "cdcd", "abc", "a", "éabé"]
+    df = spark.createDataFrame([(u,) for u in units], "__unit string").repartition(2, "__unit")
+    row = sentencepiece_lattice.RowFold(pieces)
+    got = {r["__unit"]: r["__ids"] for r in sentencepiece_lattice.encode_units(df, pieces).collect()}
+    assert got == {u: row.ids(u) for u in units}
+    assert got["abcd"] == [8]
+
+
+def test_units_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(1, "a b\nc"), (2, "a b")], "doc_id long, text string")
+    got = sentencepiece_lattice.encode_documents(docs, PIECE_BPE)
+    assert len(got.collect()) == 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
