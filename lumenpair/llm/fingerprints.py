@@ -9,8 +9,12 @@ of the smaller weights over the sum of the larger ones.
 
 r is drawn as the sum of two exponential numbers, e = -ln u and f = -ln v, and b
 as e / r, which is uniform and independent of r. So t = floor((ln S + e) / r) and
-a = c exp(e - r (t + 1)); for the weight 1 that is t = 0 and a = c v, and only c
-takes a logarithm. A text and its edited text share the draws of their terms.
+a = c exp(e - r (t + 1)); for the weight 1 that is t = 0 and a = c v. c and v in turn
+come from two exponential numbers, g and h, as c = g + h and v = g / c, which are
+independent and distributed as asked, and then c v = g. Terms are compared by
+1 - exp(-a), which ascends with a: for the weight 1 that is a uniform number, taken
+as it is from the digest, and no logarithm is needed. A text and its edited text
+share the draws of their terms.
 
 Everything is DataFrame functions. A text's terms are counted in its own row, so
 the samples come out of one aggregation over rows that lie together already.
@@ -97,10 +101,10 @@ def samples(terms: DataFrame, keys: list[str], carried: list[str], count: int =
     `__on0` and `__on1`; no nulls. Numbers in `carried` are the same in all rows of a key.
 
     Samples go in groups of `GROUP`, one row for each term and group, so that no plan step
-    has more columns than generated code takes. A digest of the term and the sample holds
-    c, v and the name; another one, for u, is needed for weights above 1 alone. A candidate
-    is one number, the root of `a` in its upper bits and the name in the lower, so the
-    least one is found by a plain minimum that combines early.
+    has more columns than generated code takes. A candidate is one number, 1 - exp(-a) in
+    its upper 31 bits and the name in the lower 32, so the least one is found by a plain
+    minimum that combines early. A digest of the term and the sample is the candidate of
+    weight 1; another one, for u and h, is needed for weights above 1 alone.
     """
     groups = -(-count // GROUP)
     size = min(GROUP, count)
@@ -108,30 +112,37 @@ def samples(terms: DataFrame, keys: list[str], carried: list[str], count: int =
         *keys, *carried, "__term", "__weight", "__on0", "__on1",
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__group"),
     )
-    p, c, v, e, r, t = (lambda k, x=x: F.col(f"__{x}{k}") for x in "pcvert")
+    p, q, g, h, c, e, r, t = (lambda k, x=x: F.col(f"__{x}{k}") for x in "pqghcert")
 
     def each(df: DataFrame, **made) -> DataFrame:
         return df.select(*df.columns, *[f(k).alias(f"__{x}{k}") for x, f in made.items() for k in range(size)])
 
     place = lambda k: F.col("__group") * GROUP + k
     heavy = F.col("__weight") > 1
-    u = lambda k: _unit(F.xxhash64("__term", place(k), F.lit("u")), 32)
-    rows = each(spread, p=lambda k: F.xxhash64("__term", place(k)))
+    if_heavy = lambda x: F.when(heavy, x).otherwise(0.0)
+    rows = each(
+        spread,
+        p=lambda k: F.shiftrightunsigned(F.xxhash64(place(k), "__term"), 1),
+        q=lambda k: F.when(heavy, F.xxhash64(place(k), "__term", F.lit("u"))).otherwise(F.lit(0).cast("bigint")),
+    )
     rows = each(
         rows,
-        v=lambda k: _unit(p(k), 21),
-        c=lambda k: -F.log(_unit(F.shiftrightunsigned(p(k), 21), 21) * _unit(F.shiftrightunsigned(p(k), 42), 21)),
-        e=lambda k: F.when(heavy, -F.log(u(k))).otherwise(0.0),
+        g=lambda k: if_heavy(-F.log(1.0 - _unit(F.shiftrightunsigned(p(k), 32), 31))),
+        h=lambda k: if_heavy(-F.log(_unit(F.shiftrightunsigned(q(k), 32), 32))),
+        e=lambda k: if_heavy(-F.log(_unit(q(k), 32))),
     )
-    rows = each(rows, r=lambda k: F.when(heavy, e(k) - F.log(v(k))).otherwise(1.0))
-    ln = F.when(heavy, F.log(F.col("__weight").cast("double"))).otherwise(0.0)
-    rows = each(rows.withColumn("__ln", ln), t=lambda k: F.floor((F.col("__ln") + e(k)) / r(k)))
+    rows = each(rows, c=lambda k: if_heavy(g(k) + h(k)))
+    rows = each(rows, r=lambda k: F.when(heavy, e(k) - F.log(g(k) / c(k))).otherwise(1.0))
+    ln = if_heavy(F.log(F.col("__weight").cast("double")))
+    rows = each(rows.withColumn("__ln", ln), t=lambda k: F.when(heavy, F.floor((F.col("__ln") + e(k)) / r(k))).otherwise(F.lit(0).cast("bigint")))
 
     def candidate(k: int) -> Column:
-        a = c(k) * F.when(heavy, F.exp(e(k) - r(k) * (t(k) + 1))).otherwise(v(k))
-        upper = F.floor(F.least(F.sqrt(a), F.lit(7.99)) * float(1 << 28))
-        name = p(k).bitwiseXOR(F.shiftrightunsigned(p(k), 32)).bitwiseXOR(F.shiftleft(t(k), 7))
-        return F.when(F.col("__weight") > 0, F.shiftleft(upper, 32).bitwiseOR(name.bitwiseAND(F.lit(_MASK))))
+        a = c(k) * F.exp(e(k) - r(k) * (t(k) + 1))
+        upper = F.floor(F.least(-F.expm1(-a) * float(1 << 31), F.lit(float((1 << 31) - 1))))
+        # With t = 0 the name of weight 1.
+        name = p(k).bitwiseXOR(F.shiftleft(t(k), 7)).bitwiseAND(F.lit(_MASK))
+        chosen = F.when(heavy, F.shiftleft(upper, 32).bitwiseOR(name)).otherwise(p(k))
+        return F.when(F.col("__weight") > 0, chosen)
 
     found = each(rows, s=candidate)
     least = found.groupBy(*keys, "__group").agg(
