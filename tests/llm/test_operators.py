@@ -559,6 +559,21 @@ def test_fingerprints_of_the_query(spark, texts):
     assert abs(np.mean(gaps)) < 0.02 and np.std(gaps) < 0.0625 and np.abs(gaps).max() < 0.28
 
 
+def test_fingerprints_leave_draws_out(spark):
+    rnd = random.Random(5)
+    words = lambda n, of: " ".join("w%d" % rnd.randrange(of) for _ in range(n))
+    docs = [(i, words(n, of)) for i, (n, of) in enumerate([(1, 9), (9, 9), (300, 5), (300, 200), (2000, 9000), (40, 1)])]
+    docs += [(10, ""), (11, " " * 90), (12, None), (None, "a b a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    every = sorted(fingerprints.compare_with_next(df, count=16, cut=math.inf).collect(), key=str)
+    for cut in (0.3, 2.0, fingerprints.CUT):
+        assert sorted(fingerprints.compare_with_next(df, count=16, cut=cut).collect(), key=str) == every
+    # Of 64 x 4,000 draws few are worth a logarithm and a row to aggregate.
+    pair = spark.createDataFrame([(1, *[" ".join("w%d" % i for i in range(4000))] * 2)], "k long, a string, b string")
+    terms = fingerprints.counted_terms(pair, ["k"], ("a", "b"), [])
+    assert terms.count() == 4000 and fingerprints.candidates(terms, ["k"], []).count() < 64 * 4000 / 50
+
+
 def test_weights(spark):
     df = spark.createDataFrame([("b a  b\nc b a",)], "t string")
     runs = df.select(F.explode(fingerprints._runs(F.sort_array(fingerprints.weighted_terms(F.col("t"))))).alias("x")).select("x.*")
