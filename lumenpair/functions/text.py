@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from .expressions import existing, let
 
 # They must match the reference for equal results.
-SENTENCE_BOUNDARY = r"</s>|\r?\n+|[.!?。！？]+"
+# The look-ahead tells with one look whether a character can begin a boundary.
+SENTENCE_BOUNDARY = r"(?=[<\r\n.!?[\u3002-\uff1f&&[。！？]]])(?:</s>|\r?\n+|[.!?。！？]+)"
 REPEATED_CHARACTER = r"(.)\1{12,}"
 URL_MARKS = ("http://", "https://", "www.")  # in any letter case
 MIN_CHARS, MIN_WORDS, MAX_CHARS = 8, 3, 320
@@ -28,12 +30,16 @@ TOP_LEVEL_CAPTIONS = (
     "longLLA_captions",
 )
 
-# Unicode white space; the separators \x1c-\x1f count as space as well. Spelled out as
-# ranges, which Java matches several times faster than the property class.
-SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE = f"[{SPACE_CLASS}]+"
+# Unicode white space; the separators \x1c-\x1f count as space as well. Java looks up single
+# Latin characters in one set and tries ranges one by one, so the first are spelled out and
+# the others tried inside one range only.
+OTHER_SPACES = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0[ -　&&[  -     　]]"
+SPACE_CLASS = rf"\x20{OTHER_SPACES}"
+# Runs of white space that are not a plain single space already.
+SPACE_TO_COLLAPSE = rf"[{OTHER_SPACES}][{SPACE_CLASS}]*+|\x20[{SPACE_CLASS}]++"
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 QUOTES_AND_SPACES = " \t\r\n\"'`"
+ALNUM, CJK = string.ascii_letters + string.digits, "一-鿿"
 
 
 def strip(col: Column) -> Column:
@@ -43,7 +49,7 @@ def strip(col: Column) -> Column:
 
 def clean_sentence(col: Column) -> Column:
     """NUL to space, white space collapsed, spaces and quotes stripped at both ends."""
-    spaced = F.regexp_replace(F.replace(F.coalesce(col, F.lit("")), F.lit("\x00"), F.lit(" ")), SPACE, " ")
+    spaced = F.regexp_replace(F.replace(F.coalesce(col, F.lit("")), F.lit("\x00"), F.lit(" ")), SPACE_TO_COLLAPSE, " ")
     return F.btrim(spaced, F.lit(QUOTES_AND_SPACES))
 
 
@@ -61,8 +67,8 @@ def is_valid_sentence(
     return (
         F.length(col).between(max(min_chars, 1), max_chars)
         & (
-            col.rlike(_at_least("[A-Za-z0-9]++|[一-鿿]", "A-Za-z0-9一-鿿", min_words))
-            | col.rlike(_at_least("[一-鿿]", "一-鿿", MIN_CJK))
+            col.rlike(_at_least(f"[{ALNUM}]++|[{CJK}]", f"{ALNUM}{CJK}", min_words))
+            | col.rlike(_at_least(f"[{CJK}]", CJK, MIN_CJK))
         )
         & let(letters, lambda n: (n >= max(3, min_chars // 2)) & (n / F.length(col) >= MIN_ALNUM_SHARE))
         & ~let(lowered, lambda s: F.contains(s, F.lit(URL_MARKS[0])) | F.contains(s, F.lit(URL_MARKS[1])) | F.contains(s, F.lit(URL_MARKS[2])))
@@ -70,44 +76,52 @@ def is_valid_sentence(
     )
 
 
-def valid_or_given(kept: Column) -> Column:
-    """The valid ones among cleaned sentences, or all of them where none is valid."""
-    return let(
-        F.filter(kept, lambda s: is_valid_sentence(s)),
-        lambda valid: F.when(F.size(valid) > 0, valid).otherwise(kept),
-    )
+def _judged(cleaned: Column) -> Column:
+    """struct<sentences,valid>: the valid sentences, or every non-empty one where none is valid."""
+
+    def judge(kept: Column) -> Column:
+        return let(
+            F.filter(kept, lambda s: is_valid_sentence(s)),
+            lambda valid: F.struct(
+                F.when(F.size(valid) > 0, valid).otherwise(kept).alias("sentences"), (F.size(valid) > 0).alias("valid")
+            ),
+        )
+
+    return let(F.filter(cleaned, lambda s: s != ""), judge)
 
 
-def _valid_or_all(cleaned: Column) -> Column:
-    """The valid sentences, or every non-empty one where none is valid."""
+def _judged_split(col: Column) -> Column:
+    """`_judged` for a caption string. One of nothing but sentence marks is its own only sentence, and never valid."""
+    parts = F.split(F.coalesce(col, F.lit("")), SENTENCE_BOUNDARY)
+    whole = F.filter(F.array(clean_sentence(col)), lambda s: s != "")
     return let(
-        F.filter(cleaned, lambda s: s != ""),
-        valid_or_given,
+        _judged(F.transform(parts, lambda s: clean_sentence(s))),
+        lambda j: F.when(F.size(j["sentences"]) > 0, j).otherwise(F.struct(whole.alias("sentences"), F.lit(False).alias("valid"))),
     )
 
 
+def _judged_list(col: Column) -> Column:
+    """`_judged` for captions that are already a list: cleaned, not split."""
+    empty = F.array().cast("array<string>")
+    return _judged(F.transform(F.coalesce(col, empty), lambda s: clean_sentence(s)))
+
+
 def split_sentences(col: Column) -> Column:
     """Sentences of a caption string; an empty array for null or blank text.
 
     A text of nothing but sentence marks is its own only sentence.
     """
-    parts = F.split(F.coalesce(col, F.lit("")), SENTENCE_BOUNDARY)
-    found = _valid_or_all(F.transform(parts, lambda s: clean_sentence(s)))
-    return let(
-        found,
-        lambda xs: F.when(F.size(xs) > 0, xs).otherwise(F.filter(F.array(clean_sentence(col)), lambda s: s != "")),
-    )
+    return _judged_split(col)["sentences"]
 
 
 def clean_sentence_list(col: Column) -> Column:
     """As `split_sentences` for captions that are already a list: cleaned, not split."""
-    empty = F.array().cast("array<string>")
-    return _valid_or_all(F.transform(F.coalesce(col, empty), lambda s: clean_sentence(s)))
+    return _judged_list(col)["sentences"]
 
 
 def clean_text(col: Column, max_words: int | None = None) -> Column:
     """White space collapsed; at most the first `max_words` words."""
-    value = F.regexp_replace(strip(col), SPACE, " ")
+    value = F.regexp_replace(strip(col), SPACE_TO_COLLAPSE, " ")
     if max_words is None or max_words <= 0:
         return value
     return F.array_join(F.slice(F.split(value, " "), 1, max_words), " ")
@@ -153,9 +167,14 @@ def string_or_list(col: Column) -> Column:
     return F.when(col.isNotNull(), F.coalesce(json_list(col), F.array(col)))
 
 
+def _judged_json(col: Column) -> Column:
+    """`_judged` for a JSON field that holds one caption string or a list of them."""
+    return let(json_list(col), lambda xs: F.when(xs.isNotNull(), _judged_list(xs)).otherwise(_judged_split(col)))
+
+
 def json_sentences(col: Column) -> Column:
     """Sentences of a JSON field that holds one caption string or a list of them."""
-    return let(json_list(col), lambda xs: F.when(xs.isNotNull(), clean_sentence_list(xs)).otherwise(split_sentences(col)))
+    return _judged_json(col)["sentences"]
 
 
 def has_json_sentence(col: Column) -> Column:
@@ -171,16 +190,28 @@ def caption_pool(
     captions: Column,
     top_level: dict[str, Column] | None = None,
     success_key: str = "longSV",
+    valid_first: bool = False,
 ) -> Column:
     """Sentences of the caption groups in fixed order, then of the top-level fields.
 
     `captions` is map<string,string>; duplicates are kept. Where both give
-    nothing the success key alone is used.
+    nothing the success key alone is used. With `valid_first` the pool as a whole
+    is filtered: a group without any valid sentence gives way to others.
     """
     fields = [F.element_at(captions, F.lit(k)) for k in CAPTION_GROUPS]
     fields += [top_level[k] for k in TOP_LEVEL_CAPTIONS if k in (top_level or {})]
-    # One lambda over the fields keeps the expression small; an absent field gives no sentence.
-    pooled = lambda values: F.flatten(F.transform(F.array(*values), lambda v: json_sentences(v)))
+
+    def sentences(judged: Column) -> Column:
+        return F.flatten(F.transform(judged, lambda j: j["sentences"]))
+
+    def pooled(values: list[Column]) -> Column:
+        # One lambda over the fields keeps the expression small; an absent field gives no sentence.
+        judged = F.transform(F.array(*values), lambda v: _judged_json(v))
+        if not valid_first:
+            return sentences(judged)
+        # A field gives valid sentences only or none that is valid, so none is judged again.
+        return let(judged, lambda js: sentences(F.when(F.exists(js, lambda j: j["valid"]), F.filter(js, lambda j: j["valid"])).otherwise(js)))
+
     if success_key in CAPTION_GROUPS:
         return pooled(fields)
     return let(

@@ -15,7 +15,6 @@ from ..functions.text import (
     json_sentences,
     split_sentences,
     strip,
-    valid_or_given,
 )
 from .sampling import epoch_shuffle, sample_subcaptions
 
@@ -56,9 +55,9 @@ def caption_sentences(
     raw = split_sentences(strip(raw_text) if raw_text is not None else F.lit(""))
     if metadata is None:
         return raw if text is None else F.when(text.isNotNull(), split_sentences(text)).otherwise(raw)
-    pool = caption_pool(metadata["captions"], {n: metadata[n] for n in TOP_LEVEL_CAPTIONS}, key)
+    pool = caption_pool(metadata["captions"], {n: metadata[n] for n in TOP_LEVEL_CAPTIONS}, key, valid_first=True)
     fallback = F.when(metadata["caption"].isNotNull(), json_sentences(metadata["caption"])).otherwise(raw)
-    return let(pool, lambda p: F.when(F.size(p) > 0, valid_or_given(p)).otherwise(fallback))
+    return let(pool, lambda p: F.when(F.size(p) > 0, p).otherwise(fallback))
 
 
 def relabelled_samples(samples: DataFrame, key: str = SUCCESS_KEY, strict: bool = True) -> DataFrame:

@@ -1,6 +1,6 @@
 """Tar shards of keyed samples.
 
-A first pass walks the headers of each shard, one task per shard, and yields
+A first pass walks the headers of each shard, a few shards to a task, and yields
 where every member of a sample lies. A second pass fetches only the members
 asked for, with the byte ranges of large shards spread over many tasks: a job
 over captions never reads image bytes, and one giant shard is no bottleneck.
@@ -31,6 +31,8 @@ INDEX_SCHEMA = (
     "shard string, sample_index bigint, key string, members map<string,struct<offset:bigint,size:bigint>>, error string"
 )
 KEY_AND_EXTENSION = re.compile(r"^((?:.*/)?[^/.][^/.]*)\.([^/]*)$")
+# Index tasks a core. Starting a task takes longer than walking a shard of some hundred members.
+INDEX_TASKS = 4
 # Read-ahead while walking headers: larger buffers would read the payload as well.
 HEADER_BYTES = 4096
 FETCH_BYTES = 64 * 1024 * 1024
@@ -40,8 +42,13 @@ RUN_BYTES = 16 * 1024 * 1024
 
 
 class ShardPartition(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
+
+    @property
+    def path(self) -> str:
+        """The paths joined as in the option."""
+        return "::".join(self.paths)
 
 
 def index_shard(path: str, fail: bool) -> Iterator[tuple]:
@@ -90,8 +97,8 @@ def shard_passes(f: Filter, path: str) -> bool:
 
 
 class TarShardReader(DataSourceReader):
-    def __init__(self, paths: list[str], fail: bool) -> None:
-        self.paths, self.fail = paths, fail
+    def __init__(self, paths: list[str], fail: bool, tasks: int | None = None) -> None:
+        self.paths, self.fail, self.tasks = paths, fail, tasks
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Shards that a condition on `shard` rules out get no partition; all other conditions stay with Spark."""
@@ -102,16 +109,19 @@ class TarShardReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [ShardPartition(p) for p in self.paths]
+        tasks = min(self.tasks or len(self.paths), len(self.paths))
+        return [ShardPartition(self.paths[i::tasks]) for i in range(tasks)]
 
     def read(self, partition: ShardPartition) -> Iterator[tuple]:
-        yield from index_shard(partition.path, self.fail)
+        for path in partition.paths:
+            yield from index_shard(path, self.fail)
 
 
 class TarShardSource(DataSource):
     """`spark.read.format("tar_shards")`: one row per sample with member offsets.
 
-    Options: `errors` = skip (default) or fail. The path is a pattern with
+    Options: `errors` = skip (default) or fail; `tasks`, to which the shards are dealt
+    in turn (default: one for each shard). The path is a pattern with
     braces and wildcards, several joined by '::'.
     """
 
@@ -124,14 +134,15 @@ class TarShardSource(DataSource):
 
     def reader(self, schema) -> TarShardReader:
         paths = expand_shards(self.options["path"].split("::"))
-        return TarShardReader(paths, self.options.get("errors", "skip") == "fail")
+        return TarShardReader(paths, self.options.get("errors", "skip") == "fail", int(self.options.get("tasks", 0)))
 
 
 def read_index(spark: SparkSession, pattern: str | Sequence[str], errors: str = "skip") -> DataFrame:
     """Sample index of tar shards, errors included as rows without a sample."""
     spark.dataSource.register(TarShardSource)
     path = pattern if isinstance(pattern, str) else "::".join(pattern)
-    return spark.read.format("tar_shards").option("errors", errors).load(path)
+    tasks = INDEX_TASKS * spark.sparkContext.defaultParallelism
+    return spark.read.format("tar_shards").option("errors", errors).option("tasks", tasks).load(path)
 
 
 def read_tar_shards(

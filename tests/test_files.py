@@ -369,3 +369,15 @@ def test_tar_pushdown(spark, tmp_path):
     row = samples.collect()[0]
     assert {k: v and bytes(v) for k, v in row.members.items()} == {"txt": b"text", "jpg": None}
     assert samples.where(has_caption_and_image(F.col("members"))).count() == 1
+
+
+def test_index_deals_many_small_shards_to_few_tasks(spark, tmp_path):
+    n = tar_source.INDEX_TASKS * spark.sparkContext.defaultParallelism + 9
+    for k in range(n):
+        make_tar(tmp_path / f"m{k:03d}.tar", [(f"{k}.txt", b"a")])
+    (tmp_path / "m004.tar").write_bytes(b"not a tar at all" * 64)
+    index = tar_source.read_index(spark, f"{tmp_path}/m*.tar")
+    assert index.rdd.getNumPartitions() < n
+    found = index.collect()
+    assert sorted(r.key for r in found if r.error is None) == sorted(str(k) for k in range(n) if k != 4)
+    assert [r.shard[-8:] for r in found if r.error is not None] == ["m004.tar"]

@@ -191,3 +191,33 @@ def test_crop_box_edges(spark):
     assert tuple(got[0].b) == (5, 6, 6, 7)
     assert tuple(got[1].c) == (99, 2, 100, 12)
     assert got[2].b is None
+
+
+def test_pool_is_judged_once_and_as_a_whole(spark):
+    cases = [
+        ({"raw": "Tiny. Bits", "longSV": "Morning light falls on the shelf. Hi"}, ["Morning light falls on the shelf"]),
+        ({"raw": "Tiny. Bits", "longSV": "..."}, ["Tiny", "Bits", "..."]),
+        ({"raw": json.dumps(["two red mugs.\nhere", "x"]), "longSV": "Ok"}, ["two red mugs. here"]),
+        ({}, None),
+    ]
+    df = spark.createDataFrame([(json.dumps({"captions": c}),) for c, _ in cases], "j string")
+    found = df.select(C.caption_sentences(F.from_json("j", C.METADATA), raw_text=F.lit("raw")).alias("s"))
+    assert [r.s for r in found.collect()] == [want or ["raw"] for _, want in cases]
+    plan = df.select(C.caption_sentences(F.from_json("j", C.METADATA)).alias("s"))._jdf.queryExecution().analyzed().toString()
+    # Texts and lists, in the pool, the `caption` field and the raw text: no further pass over the pool.
+    assert plan.count(X.REPEATED_CHARACTER) == 5
+
+
+def test_character_sets_hold_what_they_held(spark):
+    """Every character of the basic plane, and pairs of what counts with what does not."""
+    chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    spaces = set("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
+    got = values(spark, [f"a{c}b" for c in chars], X.clean_text)
+    assert [c for c, v in zip(chars, got) if v == "a b"] == [c for c in chars if c in spaces]
+    assert all(v == f"a{c}b" for c, v in zip(chars, got) if c not in spaces)
+    cut = values(spark, [f"a{c}b" for c in chars], lambda t: F.size(F.split(t, X.SENTENCE_BOUNDARY)) > 1)
+    assert {c for c, v in zip(chars, cut) if v} == set("\n.!?。！？")
+    assert values(spark, ["a\r\n\nb\rc", "a</s>b<c", "a  \t b", "a \tb", "a\t b", "a  b　 c"], lambda t: F.array_join(F.split(X.clean_text(t), " "), "|")) == [
+        "a|b|c", "a</s>b<c", "a|b", "a|b", "a|b", "a|b|c"
+    ]
+    assert values(spark, ["a\r\n\nb\rc", "a</s>b<c"], lambda t: F.split(t, X.SENTENCE_BOUNDARY)) == [["a", "b\rc"], ["a", "b<c"]]
