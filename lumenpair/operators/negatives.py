@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import hkey, let
-from ..functions.text import words
+from ..functions.expressions import hkey
+from ..functions.text import clean_text
 from .ordering import attach, dense_index
 
 # Names of the perturbations, in the order they are tried.
@@ -18,55 +21,54 @@ REVERSE, SWAP, TRIGRAMS, SHUFFLE = (
 )
 
 
-def _shuffled(items: Column, seed: Column, tag: str) -> Column:
+PERTURBED = "array<struct<type:string,text:binary>>"
+RESULT_TYPE = "array<struct<type:string,text:string>>"
+
+
+def _shuffled(items: list, seed: bytes, tag: bytes) -> list:
     """Items in the order of an md5 over (seed, tag, position)."""
-    keyed = F.transform(
-        items,
-        lambda x, i: F.struct(
-            F.md5(F.concat_ws(":", seed, F.lit(tag), i.cast("string"))).alias("h"), i.alias("i"), x.alias("x")
-        ),
-    )
-    return F.transform(F.sort_array(keyed), lambda e: e["x"])
+    prefix, places = seed + tag + b":", range(len(items))
+    drawn = [md5(prefix + b"%d" % i).digest() for i in places]
+    return [items[i] for i in sorted(places, key=drawn.__getitem__)]
+
+
+def _perturbed(text: bytes | None, seed: bytes | None) -> list[dict]:
+    """The perturbations of a text of words with single spaces, first of each result."""
+    w = [x for x in text.split(b" ") if x] if text else []
+    if len(w) < 2:
+        return []
+    prefix = b"" if seed is None else seed + b":"
+    swapped = w.copy()
+    even = len(w) // 2 * 2
+    swapped[0:even:2], swapped[1:even:2] = w[1:even:2], w[0:even:2]
+    blocks = [w[i : i + 3] for i in range(0, len(w), 3)]
+    made = {
+        REVERSE: w[::-1],
+        SWAP: swapped,
+        TRIGRAMS: [x for block in _shuffled(blocks, prefix, b"trigram") for x in block],
+        SHUFFLE: _shuffled(w, prefix, b"word"),
+    }
+    first: dict[bytes, str] = {}
+    for name, found in made.items():
+        first.setdefault(b" ".join(found), name)
+    return [{"type": name, "text": found} for found, name in first.items()]
+
+
+def _perturb(texts: pa.Array, seeds: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("type", pa.string()), ("text", pa.binary())]))
+    return pa.array([_perturbed(t, s) for t, s in zip(texts.to_pylist(), seeds.to_pylist())], kind)
 
 
 def word_order_negatives(caption: Column, seed: Column, max_words: int | None = 30) -> Column:
     """array<struct<type,text>> of perturbed captions that differ from the caption and each other.
 
     The two shuffles are ordered by a hash of `seed`, so a caption always gets
-    the same negatives. Fewer than two words give an empty array.
+    the same negatives. Fewer than two words give an empty array. Words are hashed and
+    sorted in Arrow batches: lambdas over arrays are interpreted, several steps a word.
     """
-    seed = seed.cast("string")
-
-    def perturb(w: Column) -> Column:
-        last = F.size(w) - 1
-        swapped = F.transform(
-            w,
-            lambda x, i: F.when((i % 2 == 0) & (i < last), F.get(w, i + 1)).when(i % 2 == 1, F.get(w, i - 1)).otherwise(x),
-        )
-        blocks = F.transform(F.sequence(F.lit(0), last, F.lit(3)), lambda i: F.slice(w, i + 1, F.lit(3)))
-        texts = [
-            (REVERSE, F.reverse(w)),
-            (SWAP, swapped),
-            (TRIGRAMS, F.flatten(_shuffled(blocks, seed, "trigram"))),
-            (SHUFFLE, _shuffled(w, seed, "word")),
-        ]
-        made = F.array(*[F.struct(F.lit(n).alias("type"), F.array_join(t, " ").alias("text")) for n, t in texts])
-        return F.when(F.size(w) >= 2, _distinct_from(caption, made)).otherwise(F.array().cast(RESULT_TYPE))
-
-    return let(words(caption, max_words), perturb)
-
-
-RESULT_TYPE = "array<struct<type:string,text:string>>"
-
-
-def _distinct_from(caption: Column, made: Column) -> Column:
-    """First entry per text, without those equal to the caption."""
-
-    def first_of_each(m: Column) -> Column:
-        texts = F.transform(m, lambda e: e["text"])
-        return F.filter(m, lambda e, i: (e["text"] != caption) & (F.array_position(texts, e["text"]) == i + 1))
-
-    return let(made, first_of_each)
+    perturb = F.arrow_udf(_perturb, PERTURBED)
+    made = perturb(clean_text(caption, max_words).cast("binary"), seed.cast("string").cast("binary"))
+    return F.filter(made.cast(RESULT_TYPE), lambda e: e["text"] != caption)
 
 
 def negative_links(samples: DataFrame, order: list[str], seed: int = 42) -> DataFrame:

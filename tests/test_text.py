@@ -221,3 +221,34 @@ def test_character_sets_hold_what_they_held(spark):
         "a|b|c", "a</s>b<c", "a|b", "a|b", "a|b", "a|b|c"
     ]
     assert values(spark, ["a\r\n\nb\rc", "a</s>b<c"], lambda t: F.split(t, X.SENTENCE_BOUNDARY)) == [["a", "b\rc"], ["a", "b<c"]]
+
+
+def test_negatives_of_long_texts_are_not_made_by_lambdas(spark):
+    """The rule written out, for long, null, repeated and uncleaned captions; words are hashed and sorted in batches."""
+    import hashlib
+
+    def plain(caption, seed, cap):
+        w = (caption or "").split()[:cap]
+        if len(w) < 2:
+            return []
+        drawn = lambda xs, tag: [x for _, _, x in sorted((hashlib.md5(f"{seed}:{tag}:{i}".encode()).hexdigest(), i, x) for i, x in enumerate(xs))]
+        blocks = drawn([w[i : i + 3] for i in range(0, len(w), 3)], "trigram")
+        swapped = [w[i + 1] if i % 2 == 0 and i + 1 < len(w) else w[i - 1] if i % 2 else w[i] for i in range(len(w))]
+        made, seen = [], {caption}
+        for kind, xs in (("reverse_words", w[::-1]), ("swap_adjacent_tokens", swapped), ("shuffle_trigrams_seeded", sum(blocks, [])), ("shuffle_all_words_seeded", drawn(w, "word"))):
+            if (text := " ".join(xs)) not in seen:
+                seen.add(text)
+                made.append((kind, text))
+        return made
+
+    long = " ".join(f"wört{i % 97}" for i in range(5003))
+    captions = [long, None, "", " one ", "a b", "b a", "a b a", "x x x x", "a  b\tc ", "湖 é a d e f g"]
+    df = spark.createDataFrame(list(enumerate(captions)), "i int, c string")
+    for cap in (None, 3, 30):
+        made = df.select("i", word_order_negatives(F.col("c"), F.col("i") + 42, cap).alias("m"))
+        got = {r.i: [tuple(x) for x in r.m] for r in made.collect()}
+        assert got == {i: plain(c, i + 42, cap) for i, c in enumerate(captions)}
+    assert "sort_array" not in made._jdf.queryExecution().optimizedPlan().toString()
+    # Filters and generators on the result, and no seed at all.
+    kept = df.select("i", word_order_negatives(F.col("c"), F.lit(None), None).alias("m")).where(F.size("m") > 0)
+    assert {r.i for r in kept.select("i", F.inline("m")).collect()} == {i for i, c in enumerate(captions) if plain(c, 0, None)}
