@@ -435,7 +435,7 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def number_rows(rows: DataFrame, *order: str) -> DataFrame:
+def number_rows(rows: DataFrame, *order: str | Column) -> DataFrame:
     """Add `record_index` to rows that come from a table."""
     return dense_index(rows, *order, name="record_index")
 
